@@ -1,0 +1,10 @@
+"""No streaming operators.
+
+The reference reports are batch queries only: no watermark, event-time
+window, state or late-data handling appears anywhere in them.  The
+30/60/90-day look-back windows are fixed offsets from one end instant and
+are implemented as a batch aggregation (``shopfloor.operators.lookback``).
+A caller that wants a report refreshed on arriving data can run any plan
+inside ``writeStream.foreachBatch`` on their own; nothing here adds
+streaming semantics the reference does not have.
+"""
