@@ -78,11 +78,29 @@ def q_usage_wip_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(usage_by_period(t, TM.END_DATE, tracking_enabled=True))
 
 
+# ------------------------------------------------------------------ OP4
+def q_so_quantity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts at location MAIN: three stacked sources, SOQty <> 0."""
+    from shopfloor.plans.demand import so_quantity_detail
+
+    t = TM.demand_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(so_quantity_detail(t, location="MAIN"))
+
+
+def q_so_quantity_all_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.plans.demand import so_quantity_detail
+
+    t = TM.demand_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(so_quantity_detail(t))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
     "usage_cost_method": q_usage_cost_method,
     "usage_wip_tracking": q_usage_wip_tracking,
+    "so_quantity_detail": q_so_quantity_detail,
+    "so_quantity_all_locations": q_so_quantity_all_locations,
 }
 
 _ORACLE: dict[str, str] = {
@@ -90,6 +108,8 @@ _ORACLE: dict[str, str] = {
     "usage_param_list": SQ.usage_sql(location="MAIN", categories=(2, 5, 6)),
     "usage_cost_method": SQ.usage_sql(location="EAST", system_method=2),
     "usage_wip_tracking": SQ.usage_sql(tracking=True),
+    "so_quantity_detail": SQ.demand_sql(location="MAIN"),
+    "so_quantity_all_locations": SQ.demand_sql(location=None),
 }
 
 

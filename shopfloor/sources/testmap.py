@@ -145,3 +145,127 @@ def master_parts(part: DataFrame) -> DataFrame:
         F.concat(F.lit("G"), F.col("p_partkey").cast("string"), F.lit("-"), F.col("PartNoSuffix")).alias("GUID"),
         F.col("p_name").alias("Description"),
     )
+
+
+# ------------------------------------------------------------------- orders
+def _days(n: int) -> Column:
+    return F.make_dt_interval(F.lit(n))
+
+
+def _odkey(order: str = "l_orderkey", line: str = "l_linenumber") -> Column:
+    return F.col(order) * 8 + F.col(line)
+
+
+def _serial() -> Column:
+    return F.concat(
+        F.lit("SN"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
+    )
+
+
+def order_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Orders and order lines shared by the demand, backlog and label reports."""
+    o, li = raw["orders"], raw["lineitem"]
+    status, prio, key, cust = (F.col(c) for c in ("o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"))
+    date = F.col("o_orderdate")
+    orders = o.select(
+        key.alias("oKey"),
+        F.concat(F.lit("SO"), key.cast("string")).alias("OrderNumber"),
+        date.alias("Date"),
+        (date + _days(30)).alias("ShipDate"),
+        F.when(status == "F", 3)
+        .when(status == "O", 1)
+        .when(prio == "5-LOW", 2)
+        .when(prio == "4-NOT SPECIFIED", F.lit(None))
+        .otherwise(0)
+        .cast("int")
+        .alias("Status"),
+        _case(prio, PRIORITY_ORDER_TYPE).cast("int").alias("OrderType"),
+        F.concat(F.lit("C"), cust.cast("string")).alias("CustomerID"),
+        F.lit("0").alias("SiteID"),
+        F.when(status == "F", F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("G"), (cust + 1).cast("string")))
+        .alias("ProjectGUID"),
+        F.concat(F.lit("E"), (cust % 128).cast("string")).alias("EnteredBy"),
+        F.concat(F.lit("E"), (key % 97).cast("string")).alias("SalesPersonID"),
+        F.concat(F.lit("REF"), key.cast("string")).alias("CustomerRef"),
+        F.concat(F.lit("PO"), cust.cast("string")).alias("PONumber"),
+        F.concat(F.lit("Contact "), cust.cast("string")).alias("OrderContact"),
+        F.when(prio == "2-HIGH", F.lit(1.25)).otherwise(F.lit(1.0)).alias("CurrencyMultiplier"),
+        (F.col("o_totalprice") * F.lit(0.07)).alias("TaxAmount"),
+        prio.alias("Notes"),
+        F.lit("NET30").alias("Terms"),
+        F.when(status == "F", date + _days(45)).alias("CompleteDate"),
+        (date + _days(14)).alias("ReqDate"),
+        F.when(status != "P", date + _days(1)).alias("AckDate"),
+        F.when(status == "F", date + _days(60))
+        .when(prio == "5-LOW", F.lit(None).cast("timestamp_ntz"))
+        .otherwise(F.lit("1900-01-01 00:00:00").cast("timestamp_ntz"))
+        .alias("ClosedDate"),
+        ((prio == "4-NOT SPECIFIED") & (status == "P")).alias("Cancelled"),
+        F.concat(F.lit("order "), key.cast("string")).alias("Comments"),
+        F.concat(F.lit("ship "), cust.cast("string")).alias("ShpAddr_Comments"),
+        F.col("o_totalprice").alias("TotalPrice"),
+    )
+    disc = F.col("l_discount")
+    order_detail = li.select(
+        _odkey().alias("odKey"),
+        F.col("l_orderkey").alias("oKey"),
+        F.when(disc >= F.lit(0.09), 5).when(disc == 0, F.lit(None)).otherwise(4).cast("int").alias("ItemType"),
+        F.when(F.col("l_tax") == F.lit(0.08), F.col("l_orderkey") * 8).alias("AlternativeODKey"),
+        _part_no("l_partkey").alias("PartNo"),
+        _line_suffix().alias("PartNoSuffix"),
+        F.col("l_shipdate").cast("date").alias("PlanDate"),
+        F.col("l_linenumber").alias("LineItem"),
+        F.when(F.col("l_returnflag") == "N", 0).otherwise(1).alias("SubLineItem"),
+        _serial().alias("SerialNumber"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("Comment"),
+        F.concat(F.lit("LREF"), F.col("l_partkey").cast("string")).alias("CustomerRef"),
+    )
+    return {"orders": orders, "order_detail": order_detail}
+
+
+# ------------------------------------------------------------------- demand
+def _line_location() -> Column:
+    return F.when(F.col("l_suppkey") % 2 == 0, F.lit("MAIN")).otherwise(F.lit("EAST"))
+
+
+def demand_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Contracts of the sales-order demand report (OP4)."""
+    li = raw["lineitem"]
+    flag = F.col("l_returnflag")
+    view = li.filter(F.col("l_linestatus") == "O").select(
+        _odkey().alias("odKey"),
+        _part_no("l_partkey").alias("PartNo"),
+        _line_suffix().alias("PartNoSuffix"),
+        _line_location().alias("LocationID"),
+        F.when(flag == "N", F.col("l_quantity"))
+        .when(flag == "A", F.col("l_quantity") - 25)
+        .alias("QuantityOnSalesOrder"),
+    )
+    serialized = li.select(
+        _serial().alias("SerialNumber"),
+        F.concat(F.lit("G"), F.col("l_suppkey").cast("string"), F.lit("-0000")).alias("IssuePartGUID"),
+        F.when(flag == "R", F.concat(F.lit("G"), F.col("l_partkey").cast("string"), F.lit("-0001"))).alias(
+            "SecondaryIssuePartGUID"
+        ),
+        F.col("l_quantity").alias("IssuePartQty"),
+        F.when(F.col("l_tax") < F.lit(0.06), 1).otherwise(0).cast("int").alias("Status"),
+        _line_location().alias("LocationID"),
+    )
+    results = li.select(
+        _odkey().alias("odKey"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))
+        .otherwise(F.floor(F.col("l_quantity") / 2).cast("double"))
+        .alias("CompleteQty"),
+        F.col("l_quantity").alias("TotalQty"),
+    )
+    out = order_tables(raw)
+    out.update(
+        {
+            "master_part_list": master_parts(raw["part"]),
+            "inventory_order_detail_quantities": view,
+            "inventory_detail_serialized": serialized,
+            "inventory_results": results,
+        }
+    )
+    return out

@@ -43,3 +43,81 @@ master_part_list AS (
 categories(ID, Description) AS (
   VALUES (1, 'ECONOMY'), (2, 'LARGE'), (3, 'MEDIUM'), (4, 'PROMO'), (5, 'SMALL'), (6, 'STANDARD'))
 """
+
+ORDERS = """
+orders_m AS (
+  SELECT o_orderkey AS oKey, 'SO' || CAST(o_orderkey AS VARCHAR) AS OrderNumber,
+         o_orderdate AS Date, o_orderdate + INTERVAL 30 DAY AS ShipDate,
+         CAST(CASE WHEN o_orderstatus = 'F' THEN 3 WHEN o_orderstatus = 'O' THEN 1
+                   WHEN o_orderpriority = '5-LOW' THEN 2 WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL
+                   ELSE 0 END AS INTEGER) AS Status,
+         CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 4
+                   WHEN '4-NOT SPECIFIED' THEN 2 WHEN '5-LOW' THEN 3 END AS INTEGER) AS OrderType,
+         'C' || CAST(o_custkey AS VARCHAR) AS CustomerID, '0' AS SiteID,
+         CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'G' || CAST(o_custkey + 1 AS VARCHAR) END AS ProjectGUID,
+         'E' || CAST(o_custkey % 128 AS VARCHAR) AS EnteredBy,
+         'E' || CAST(o_orderkey % 97 AS VARCHAR) AS SalesPersonID,
+         'REF' || CAST(o_orderkey AS VARCHAR) AS CustomerRef,
+         'PO' || CAST(o_custkey AS VARCHAR) AS PONumber,
+         'Contact ' || CAST(o_custkey AS VARCHAR) AS OrderContact,
+         CASE WHEN o_orderpriority = '2-HIGH' THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END AS CurrencyMultiplier,
+         o_totalprice * 0.07::DOUBLE AS TaxAmount,
+         o_orderpriority AS Notes, 'NET30' AS Terms,
+         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 45 DAY END AS CompleteDate,
+         o_orderdate + INTERVAL 14 DAY AS ReqDate,
+         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 1 DAY END AS AckDate,
+         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 60 DAY
+              WHEN o_orderpriority = '5-LOW' THEN NULL
+              ELSE TIMESTAMP '1900-01-01 00:00:00' END AS ClosedDate,
+         (o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P') AS Cancelled,
+         'order ' || CAST(o_orderkey AS VARCHAR) AS Comments,
+         'ship ' || CAST(o_custkey AS VARCHAR) AS ShpAddr_Comments,
+         o_totalprice AS TotalPrice
+  FROM orders),
+order_detail AS (
+  SELECT l_orderkey * 8 + l_linenumber AS odKey, l_orderkey AS oKey,
+         CAST(CASE WHEN l_discount >= 0.09 THEN 5 WHEN l_discount = 0 THEN NULL ELSE 4 END AS INTEGER) AS ItemType,
+         CASE WHEN l_tax = 0.08 THEN l_orderkey * 8 END AS AlternativeODKey,
+         'P' || CAST(l_partkey AS VARCHAR) AS PartNo,
+         CASE WHEN l_linestatus = 'O' THEN '0000' ELSE '0001' END AS PartNoSuffix,
+         CAST(l_shipdate AS DATE) AS PlanDate, l_linenumber AS LineItem,
+         CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS SubLineItem,
+         'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS SerialNumber,
+         'line ' || CAST(l_linenumber AS VARCHAR) AS Comment,
+         'LREF' || CAST(l_partkey AS VARCHAR) AS CustomerRef
+  FROM lineitem)
+"""
+
+PART_SFX = """
+part_sfx AS (
+  SELECT p.*, s.PartNoSuffix FROM part p, (VALUES ('0000'), ('0001')) s(PartNoSuffix)),
+master_part_list AS (
+  SELECT 'P' || CAST(p_partkey AS VARCHAR) AS MasterPartNo, PartNoSuffix,
+         'G' || CAST(p_partkey AS VARCHAR) || '-' || PartNoSuffix AS GUID, p_name AS Description
+  FROM part_sfx)
+"""
+
+DEMAND = """
+iodq AS (
+  SELECT l_orderkey * 8 + l_linenumber AS odKey, 'P' || CAST(l_partkey AS VARCHAR) AS PartNo,
+         CASE WHEN l_linestatus = 'O' THEN '0000' ELSE '0001' END AS PartNoSuffix,
+         CASE WHEN l_suppkey % 2 = 0 THEN 'MAIN' ELSE 'EAST' END AS LocationID,
+         CASE WHEN l_returnflag = 'N' THEN l_quantity WHEN l_returnflag = 'A' THEN l_quantity - 25 END
+           AS QuantityOnSalesOrder
+  FROM lineitem WHERE l_linestatus = 'O'),
+ids_m AS (
+  SELECT 'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS SerialNumber,
+         'G' || CAST(l_suppkey AS VARCHAR) || '-0000' AS IssuePartGUID,
+         CASE WHEN l_returnflag = 'R' THEN 'G' || CAST(l_partkey AS VARCHAR) || '-0001' END
+           AS SecondaryIssuePartGUID,
+         l_quantity AS IssuePartQty,
+         CAST(CASE WHEN l_tax < 0.06 THEN 1 ELSE 0 END AS INTEGER) AS Status,
+         CASE WHEN l_suppkey % 2 = 0 THEN 'MAIN' ELSE 'EAST' END AS LocationID
+  FROM lineitem),
+ir_m AS (
+  SELECT l_orderkey * 8 + l_linenumber AS odKey,
+         CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE CAST(floor(l_quantity / 2) AS DOUBLE) END
+           AS CompleteQty,
+         l_quantity AS TotalQty
+  FROM lineitem)
+"""
