@@ -94,6 +94,23 @@ def q_so_quantity_all_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(so_quantity_detail(t))
 
 
+# ------------------------------------------------------------------ OP1
+def q_backlog_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order date (1995-01-01 .. 2001-08-01), no location."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(backlog_snapshot(t, "1995-01-01", "2001-08-01"))
+
+
+def q_backlog_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 date range + F1/J6/T9 location filter through the employee."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END, location="MAIN"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -101,6 +118,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_wip_tracking": q_usage_wip_tracking,
     "so_quantity_detail": q_so_quantity_detail,
     "so_quantity_all_locations": q_so_quantity_all_locations,
+    "backlog_snapshot": q_backlog_snapshot,
+    "backlog_location": q_backlog_location,
 }
 
 _ORACLE: dict[str, str] = {
@@ -110,6 +129,8 @@ _ORACLE: dict[str, str] = {
     "usage_wip_tracking": SQ.usage_sql(tracking=True),
     "so_quantity_detail": SQ.demand_sql(location="MAIN"),
     "so_quantity_all_locations": SQ.demand_sql(location=None),
+    "backlog_snapshot": SQ.backlog_sql("1995-01-01", "2001-08-01"),
+    "backlog_location": SQ.backlog_sql("1998-01-01", "2000-12-31", location="MAIN"),
 }
 
 

@@ -269,3 +269,59 @@ def demand_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         }
     )
     return out
+
+
+# ------------------------------------------------------------------ backlog
+def backlog_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Contracts of the backlog snapshot (OP1)."""
+    li, cust, supp = raw["lineitem"], raw["customer"], raw["supplier"]
+    spark = li.sparkSession
+    customers = cust.select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("CustomerID"),
+        F.lit("0").alias("SiteID"),
+        F.concat(F.lit("G"), F.col("c_custkey").cast("string")).alias("CustomerGUID"),
+        F.col("c_name").alias("Name"),
+        F.col("c_mktsegment").alias("SiteName"),
+    )
+    employees = supp.select(
+        F.concat(F.lit("E"), F.col("s_suppkey").cast("string")).alias("EmployeeID"),
+        F.col("s_name").alias("LastName"),
+        F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("FirstName"),
+        F.when(F.col("s_nationkey") < 10, F.lit("MAIN")).otherwise(F.lit("EAST")).alias("LocationID"),
+    )
+    relations = li.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_orderkey").alias("ChildoKey"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_discount") > F.lit(0.05)), 2)
+        .otherwise(1)
+        .cast("int")
+        .alias("RelationType"),
+    )
+    orders_open = li.filter((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N")).select(
+        F.concat(F.lit("SO"), F.col("l_orderkey").cast("string")).alias("OrderNumber"),
+        F.col("l_shipdate").cast("date").alias("TargetShipDate"),
+    )
+    facts = li.groupBy(F.col("l_orderkey").alias("oKey")).agg(
+        F.sum("l_quantity").alias("IncQuantity"),
+        F.max("l_linestatus").alias("Status"),
+        F.sum(F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice"))).alias("InvoiceAmount"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("Subtotal"),
+        F.sum(F.col("l_quantity") * F.lit(2.0)).alias("TotalDimensions"),
+        F.sum("l_quantity").alias("QtyTotal"),
+        F.count(F.lit(1)).alias("ItemTotal"),
+        F.sum(F.col("l_quantity") * F.lit(1.5)).alias("OrderWeight"),
+        F.lit(2).alias("DecimalPlaces"),
+        F.lit("en-US").alias("CultureInfo"),
+        F.lit("EA").alias("UOM"),
+    )
+    out = order_tables(raw)
+    out.update(
+        {
+            "order_types": _literal_table(spark, ORDER_TYPES, "OrderType int, Description string"),
+            "customers": customers,
+            "employees": employees,
+            "order_relations": relations,
+            "orders_open": orders_open,
+            "order_facts": facts,
+        }
+    )
+    return out

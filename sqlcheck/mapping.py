@@ -121,3 +121,31 @@ ir_m AS (
          l_quantity AS TotalQty
   FROM lineitem)
 """
+
+BACKLOG = """
+order_types(OrderType, Description) AS (VALUES (1, 'Sales'), (2, 'Quote'), (3, 'Credit'), (4, 'Service')),
+customers AS (
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) AS CustomerID, '0' AS SiteID,
+         'G' || CAST(c_custkey AS VARCHAR) AS CustomerGUID, c_name AS Name, c_mktsegment AS SiteName
+  FROM customer),
+employees AS (
+  SELECT 'E' || CAST(s_suppkey AS VARCHAR) AS EmployeeID, s_name AS LastName,
+         'N' || CAST(s_nationkey AS VARCHAR) AS FirstName,
+         CASE WHEN s_nationkey < 10 THEN 'MAIN' ELSE 'EAST' END AS LocationID
+  FROM supplier),
+order_relations AS (
+  SELECT l_orderkey AS ChildoKey,
+         CAST(CASE WHEN l_linestatus = 'F' AND l_discount > 0.05 THEN 2 ELSE 1 END AS INTEGER) AS RelationType
+  FROM lineitem WHERE l_returnflag = 'R'),
+orders_open AS (
+  SELECT 'SO' || CAST(l_orderkey AS VARCHAR) AS OrderNumber, CAST(l_shipdate AS DATE) AS TargetShipDate
+  FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N'),
+order_facts AS (
+  SELECT l_orderkey AS oKey, SUM(l_quantity) AS IncQuantity, MAX(l_linestatus) AS Status,
+         SUM(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END) AS InvoiceAmount,
+         SUM(l_extendedprice * (1 - l_discount)) AS Subtotal,
+         SUM(l_quantity * 2.0::DOUBLE) AS TotalDimensions, SUM(l_quantity) AS QtyTotal,
+         COUNT(1) AS ItemTotal, SUM(l_quantity * 1.5::DOUBLE) AS OrderWeight,
+         2 AS DecimalPlaces, 'en-US' AS CultureInfo, 'EA' AS UOM
+  FROM lineitem GROUP BY l_orderkey)
+"""
