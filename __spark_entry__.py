@@ -111,6 +111,21 @@ def q_backlog_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END, location="MAIN"))
 
 
+# ------------------------------------------------------------- OP6 / OP2
+def q_workflow_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP6: route strings for every distinct label route."""
+    from shopfloor.plans.labels import route_strings
+
+    return route_strings(TM.label_tables(LazyTables(spark, sf_dir)))
+
+
+def q_work_cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP2: labels of every session (112 report columns + SessionGUID)."""
+    from shopfloor.plans.labels import work_cell_labels
+
+    return _round_doubles(work_cell_labels(TM.label_tables(LazyTables(spark, sf_dir))))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -120,6 +135,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "so_quantity_all_locations": q_so_quantity_all_locations,
     "backlog_snapshot": q_backlog_snapshot,
     "backlog_location": q_backlog_location,
+    "workflow_render": q_workflow_render,
+    "work_cell_labels": q_work_cell_labels,
 }
 
 _ORACLE: dict[str, str] = {
@@ -131,6 +148,8 @@ _ORACLE: dict[str, str] = {
     "so_quantity_all_locations": SQ.demand_sql(location=None),
     "backlog_snapshot": SQ.backlog_sql("1995-01-01", "2001-08-01"),
     "backlog_location": SQ.backlog_sql("1998-01-01", "2000-12-31", location="MAIN"),
+    "workflow_render": SQ.routes_sql(),
+    "work_cell_labels": SQ.labels_sql(),
 }
 
 

@@ -325,3 +325,167 @@ def backlog_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         }
     )
     return out
+
+
+# ------------------------------------------------------------------- labels
+# The label fixture is wide (102 staged columns), so its derivation rules
+# are written once as SQL expressions over ``lineitem`` that both Spark
+# (``F.expr``) and DuckDB evaluate identically.
+LINE_KEY = "l_orderkey * 8 + l_linenumber"
+LABEL_PARENT = "CAST((l_orderkey + l_linenumber) % 3 AS INT)"
+WORKFLOWS = (
+    (1, "CUT, TEMP,EDG-PST,BOXING"),
+    (2, "CUT,EDG-PST, CUT"),
+    (3, "TEMP, SLKSCREEN ,BOXING"),
+    (4, "HTSOAK,DRL-PST"),
+    (6, "CUTTING,,BOXING-QC"),
+    (7, "BOXING"),
+)  # line 5 has no work flow (NULL)
+WORK_CELLS = ((1, "CUTTING"), (2, "CUT"), (3, "TEMP"), (4, "BOXING-QC"), (5, "EDGE-POST"), (6, "SILKSCREEN"))
+
+_LABEL_OVERRIDES = {
+    "ReportID": "'L-GLASS'",
+    "DisplayFractions": "l_linestatus = 'O'",
+    "BinSource": "CAST(l_linenumber AS SMALLINT)",
+    "DisplayCallSize": "l_returnflag = 'R'",
+    "SchedID": "CAST(l_suppkey AS INT)",
+    "ScheduleDesc": "'Schedule ' || CAST(l_suppkey AS STRING)",
+    "WorkRouteAttrValue": "l_returnflag || l_linestatus",
+    "BatchID": "CAST(l_linenumber AS SMALLINT)",
+    "oKey": "l_orderkey",
+    "odKey": LINE_KEY,
+    "Customer": "'Customer ' || CAST(l_orderkey % 50 AS STRING)",
+    "OrderNumber": "'SO' || CAST(l_orderkey AS STRING)",
+    "OrderItem": "CAST(l_linenumber AS SMALLINT)",
+    "PONumber": "'PO' || CAST(l_orderkey AS STRING)",
+    "CustomerRef": "'LREF' || CAST(l_partkey AS STRING)",
+    "UnitID": "CAST(l_linenumber AS SMALLINT)",
+    "MasterKey": "CAST(l_partkey AS INT)",
+    "ParentKey": LABEL_PARENT,
+    "Barcode": "'B' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)",
+    "PartNo": "'P' || CAST(l_partkey AS STRING)",
+    "PartNoSuffix": "CASE WHEN l_linestatus = 'O' THEN '0000' ELSE '0001' END",
+    "Quantity": "CAST(l_quantity AS SMALLINT)",
+    "Width": "CAST(l_extendedprice / 100 AS REAL)",
+    "Height": "CAST(l_quantity * 2 AS REAL)",
+    "Thickness": "CAST(l_tax * 100 AS REAL)",
+    "Weight": "CAST(l_discount * 100 AS REAL)",
+    "OverallPartNo": "'P' || CAST(l_partkey AS STRING)",
+    "OverallPartDesc": "CASE WHEN l_returnflag = 'A' THEN NULL ELSE 'IGU ' || CAST(l_partkey % 10 AS STRING) END",
+    "OverallWidth": "CAST(l_extendedprice / 100 AS REAL)",
+    "OverallHeight": "CAST(l_quantity * 2 AS REAL)",
+    "WorkFlow": "CASE l_linenumber "
+    + " ".join(f"WHEN {n} THEN '{wf}'" for n, wf in WORKFLOWS)
+    + " END",
+    "RackSort": "CAST(l_linenumber AS INT)",
+    "RackID": "'R' || CAST(l_suppkey AS STRING)",
+    "Slot": "CAST(l_linenumber AS INT)",
+    "Notes": "l_returnflag",
+    "SecondaryBin": "CAST(NULL AS STRING)",
+    "MullContainerKey": "CAST(NULL AS INT)",
+    "StartingSchedule": "CAST(l_suppkey AS INT)",
+}
+_TYPE_DEFAULTS = {
+    "string": "'n/a'",
+    "smallint": "CAST(0 AS SMALLINT)",
+    "int": "CAST(0 AS INT)",
+    "bigint": "CAST(0 AS BIGINT)",
+    "float": "CAST(0 AS REAL)",
+    "boolean": "FALSE",
+    "timestamp_ntz": "l_shipdate",
+}
+
+
+def label_part_exprs() -> list[tuple[str, str]]:
+    """(column, SQL expression over lineitem) for every staged label column
+    except Thumbnail and Remake (never read by the report)."""
+    from shopfloor.sources.schemas import LABEL_PART_COLUMNS
+
+    out = []
+    for name, dtype in LABEL_PART_COLUMNS:
+        if name in ("Thumbnail", "Remake"):
+            continue
+        out.append((name, _LABEL_OVERRIDES.get(name, _TYPE_DEFAULTS[dtype.simpleString()])))
+    return out
+
+
+LITE_EXPRS = [
+    ("SessionGUID", "'S' || CAST(l_suppkey % 7 AS STRING)"),
+    ("ProdType", "CAST(CAST(l_quantity AS INT) % 12 AS SMALLINT)"),
+    ("SchedID", "CAST(l_suppkey AS INT)"),
+    ("UnitID", "CAST(l_linenumber AS SMALLINT)"),
+    ("MasterKey", "CAST(l_partkey AS INT)"),
+    ("ParentKey", LABEL_PARENT),
+    ("ReleaseID", "CAST(l_linenumber AS INT)"),
+    ("Sequence", "CAST(l_orderkey * 10 + l_linenumber AS INT)"),
+]
+# Extra remake rows (class 1) for returned, finished lines: same key, later
+# sequence, so a key can carry a regular and a remake sequence.
+REMAKE_FILTER = "l_returnflag = 'R' AND l_linestatus = 'F'"
+REMAKE_OVERRIDES = {
+    "ProdType": "CAST(1 AS SMALLINT)",
+    "ReleaseID": "CAST(99 AS INT)",
+    "Sequence": "CAST(l_orderkey * 10 + l_linenumber + 5 AS INT)",
+}
+ATTRIBUTE_EXPRS = [
+    ("odKey", LINE_KEY),
+    ("MasterKey", "CAST(l_partkey AS INT)"),
+    ("ParentKey", LABEL_PARENT),
+    ("ParamText", "CASE WHEN l_returnflag = 'A' THEN 'LITE' WHEN l_returnflag = 'N' THEN 'LOGO' ELSE 'COLOR' END"),
+    ("ParamValue", "CASE WHEN l_discount = 0 THEN NULL ELSE CAST(l_linenumber AS STRING) END"),
+    ("ParamValue2", "'LOGO-' || CAST(l_suppkey AS STRING)"),
+]
+# Second attribute row for finished lines: a LOGO (so a key can carry both
+# names, or the same name twice).
+EXTRA_ATTRIBUTE_FILTER = "l_linestatus = 'F'"
+EXTRA_ATTRIBUTE_OVERRIDES = {"ParamText": "'LOGO'", "ParamValue2": "'F-LOGO'"}
+PLAN_EXPRS = [
+    ("ParentKey", "CAST(l_linenumber % 3 AS INT)"),
+    (
+        "WorkCellID",
+        "CAST(CASE l_returnflag || l_linestatus WHEN 'AF' THEN 1 WHEN 'AO' THEN 2 WHEN 'NF' THEN 3 "
+        "WHEN 'NO' THEN 4 WHEN 'RF' THEN 5 ELSE 6 END AS INT)",
+    ),
+    ("PlanDate", "CAST(l_shipdate AS DATE)"),
+]
+SHORTCUT_FILTER = "l_returnflag = 'N' AND l_linestatus = 'O'"
+SHORTCUT_EXPRS = [("odKey", LINE_KEY), ("ShortcutDesc", "'SC-' || CAST(l_partkey AS STRING)")]
+
+
+def _select_exprs(df: DataFrame, exprs, overrides=None) -> DataFrame:
+    overrides = overrides or {}
+    return df.select(*[F.expr(overrides.get(n, e)).alias(n) for n, e in exprs])
+
+
+def label_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Contracts of the work-cell label report (OP2) and its route string
+    (OP6).  Plans of every line are attached to the line itself (open lines
+    only) and to line 1 of its order, so first lines carry multi-stage
+    routes and some finished lines have no plan at all (J15)."""
+    li = raw["lineitem"]
+    spark = li.sparkSession
+    lites = _select_exprs(li, LITE_EXPRS).unionByName(
+        _select_exprs(li.filter(F.expr(REMAKE_FILTER)), LITE_EXPRS, REMAKE_OVERRIDES)
+    )
+    attrs = _select_exprs(li, ATTRIBUTE_EXPRS).unionByName(
+        _select_exprs(li.filter(F.expr(EXTRA_ATTRIBUTE_FILTER)), ATTRIBUTE_EXPRS, EXTRA_ATTRIBUTE_OVERRIDES)
+    )
+    plan_keys = F.explode(
+        F.when(
+            F.col("l_linestatus") == "O",
+            F.array(F.expr(LINE_KEY), F.expr("l_orderkey * 8 + 1")),
+        ).otherwise(F.array(F.expr("l_orderkey * 8 + 1")))
+    ).alias("odKey")
+    plans = li.select(plan_keys, *[F.expr(e).alias(n) for n, e in PLAN_EXPRS])
+    out = order_tables(raw)
+    out.update(
+        {
+            "label_parts": _select_exprs(li, label_part_exprs()),
+            "opti_report_lites": lites,
+            "order_detail_attributes": attrs,
+            "order_detail_plans": plans,
+            "work_cells": _literal_table(spark, WORK_CELLS, "ID int, Description string"),
+            "shortcuts": _select_exprs(li.filter(F.expr(SHORTCUT_FILTER)), SHORTCUT_EXPRS),
+        }
+    )
+    return out

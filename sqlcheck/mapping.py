@@ -149,3 +149,33 @@ order_facts AS (
          2 AS DecimalPlaces, 'en-US' AS CultureInfo, 'EA' AS UOM
   FROM lineitem GROUP BY l_orderkey)
 """
+
+
+def _sel(exprs, overrides=None) -> str:
+    overrides = overrides or {}
+    return ", ".join(f'{overrides.get(n, e)} AS "{n}"' for n, e in exprs)
+
+
+def labels() -> str:
+    from shopfloor.sources import testmap as TM
+
+    cells = ", ".join(f"({i}, '{d}')" for i, d in TM.WORK_CELLS)
+    return f"""
+label_parts AS (SELECT {_sel(TM.label_part_exprs())} FROM lineitem),
+opti_report_lites AS (
+  SELECT {_sel(TM.LITE_EXPRS)} FROM lineitem
+  UNION ALL
+  SELECT {_sel(TM.LITE_EXPRS, TM.REMAKE_OVERRIDES)} FROM lineitem WHERE {TM.REMAKE_FILTER}),
+order_detail_attributes AS (
+  SELECT {_sel(TM.ATTRIBUTE_EXPRS)} FROM lineitem
+  UNION ALL
+  SELECT {_sel(TM.ATTRIBUTE_EXPRS, TM.EXTRA_ATTRIBUTE_OVERRIDES)} FROM lineitem
+  WHERE {TM.EXTRA_ATTRIBUTE_FILTER}),
+order_detail_plans AS (
+  SELECT unnest(CASE WHEN l_linestatus = 'O' THEN [{TM.LINE_KEY}, l_orderkey * 8 + 1]
+                     ELSE [l_orderkey * 8 + 1] END) AS odKey,
+         {_sel(TM.PLAN_EXPRS)}
+  FROM lineitem),
+work_cells(ID, Description) AS (VALUES {cells}),
+shortcuts AS (SELECT {_sel(TM.SHORTCUT_EXPRS)} FROM lineitem WHERE {TM.SHORTCUT_FILTER})
+"""
