@@ -126,6 +126,15 @@ def q_work_cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(work_cell_labels(TM.label_tables(LazyTables(spark, sf_dir))))
 
 
+# ------------------------------------------------------------------ OP5
+def q_edge_post_lineal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP5: post-lamination edge lineal inches for every order-as-item."""
+    from shopfloor.plans.edgework import post_edge_lineal
+
+    t = TM.edge_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(post_edge_lineal(t["item_attributes"], t["item_group_codes"], t["item_options"]))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -137,6 +146,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backlog_location": q_backlog_location,
     "workflow_render": q_workflow_render,
     "work_cell_labels": q_work_cell_labels,
+    "edge_post_lineal": q_edge_post_lineal,
 }
 
 _ORACLE: dict[str, str] = {
@@ -150,6 +160,7 @@ _ORACLE: dict[str, str] = {
     "backlog_location": SQ.backlog_sql("1998-01-01", "2000-12-31", location="MAIN"),
     "workflow_render": SQ.routes_sql(),
     "work_cell_labels": SQ.labels_sql(),
+    "edge_post_lineal": SQ.edge_sql(),
 }
 
 

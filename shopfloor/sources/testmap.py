@@ -489,3 +489,90 @@ def label_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         }
     )
     return out
+
+
+# --------------------------------------------------------------- edge work
+EDGE_LITE = "CASE WHEN {k} % 5 = 0 THEN '2' ELSE '1' END"
+EDGE_CODE = (
+    "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'EFGPO' WHEN 'AO' THEN 'EFP' WHEN 'NF' THEN 'EFPCN' "
+    "WHEN 'NO' THEN 'ESEAM' WHEN 'RF' THEN 'EBEV' ELSE 'EFGPO2' END"
+)
+EDGE_TOKEN = (
+    f"CASE WHEN l_tax = 0.08 THEN '' WHEN l_discount = 0 AND l_tax = 0 THEN {EDGE_CODE} "
+    f"ELSE {EDGE_CODE} || '=' || CAST(CAST(l_quantity AS INT) AS STRING) END"
+)
+ORDER_ATTRIBUTES = [
+    ("LITE", EDGE_LITE.format(k="o_orderkey"), None),
+    ("ANNLAMI", "CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END", None),
+    ("CP-BUY-OUT-BEV-POST", "CASE WHEN o_orderpriority = '5-LOW' THEN '1' ELSE '0' END",
+     "o_orderpriority <> '4-NOT SPECIFIED'"),
+    ("CP-EDGE-PREandPOST", "'0'", "o_orderstatus <> 'P'"),
+]
+GLASS_CODE = (
+    "CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN 'MONO' "
+    "ELSE 'LAM' || CAST(o_custkey % 4 + 1 AS STRING) END"
+)
+# Per (order, line number) = one gap of the layer stack; rules over the
+# aggregated line columns mn_qty, mx_disc, mn_flag, mn_status, mn_tax.
+GAP_CODES = [
+    ("INTERLAYERS", "CASE WHEN mx_disc = 0.1 THEN 'XPLY' ELSE CAST(CAST(mn_qty AS INT) % 3 + 1 AS STRING) || 'PLY' END"),
+    ("PROCESS", "CASE WHEN mx_disc > 0.05 THEN 'AN' ELSE 'HS' END"),
+    ("IL1 TYPE", "CASE mn_flag WHEN 'A' THEN 'ILPRT' WHEN 'N' THEN 'ILSGP' ELSE 'ILCLR' END"),
+    ("IL2 TYPE", "CASE WHEN mn_status = 'F' THEN 'ILFAB' ELSE 'ILOTH' END"),
+    ("IL3 TYPE", "'ILNAT'"),
+    ("IL1", "CASE WHEN mn_tax > 0.04 THEN 'IMSCIPI' ELSE 'IMSTD' END"),
+    ("IL2", "'IMSCIPI'"),
+    ("IL3", "'IMOTHER'"),
+]
+GAP_OPTION = "CASE WHEN mn_tax = 0 THEN 'SHATOP' ELSE 'POLISH' END"
+
+
+def _gap_lines(li: DataFrame) -> DataFrame:
+    return li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.min("l_quantity").alias("mn_qty"),
+        F.max("l_discount").alias("mx_disc"),
+        F.min("l_returnflag").alias("mn_flag"),
+        F.min("l_linestatus").alias("mn_status"),
+        F.min("l_tax").alias("mn_tax"),
+    )
+
+
+def edge_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Contracts of the edge-work calculation (OP5): item = order."""
+    o, li = raw["orders"], raw["lineitem"]
+    tokens = li.select(
+        "l_orderkey", F.struct("l_linenumber", "l_quantity", F.expr(EDGE_TOKEN).alias("tok")).alias("t")
+    )
+    ew = tokens.groupBy(F.col("l_orderkey").alias("item_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda s: s["tok"]), ",").alias("value")
+    ).select("item_id", F.lit("EW-STRAIGHT").alias("name"), "value")
+    attrs = ew
+    for attr, expr, cond in ORDER_ATTRIBUTES:
+        src = o.filter(F.expr(cond)) if cond else o
+        attrs = attrs.unionByName(
+            src.select(F.col("o_orderkey").alias("item_id"), F.lit(attr).alias("name"), F.expr(expr).alias("value"))
+        )
+    glass = o.select(
+        F.col("o_orderkey").alias("item_id"),
+        F.concat(F.lit("LITE "), F.expr(EDGE_LITE.format(k="o_orderkey")), F.lit(" GLASS")).alias("group_name"),
+        F.expr(GLASS_CODE).alias("code"),
+    )
+    gaps = _gap_lines(li)
+    prefix = F.concat(
+        F.lit("LITE "), F.expr(EDGE_LITE.format(k="l_orderkey")), F.lit("."), F.col("l_linenumber").cast("string")
+    )
+    gap_codes = gaps.select(
+        F.col("l_orderkey").alias("item_id"),
+        prefix.alias("prefix"),
+        F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.expr(e).alias("code")) for s, e in GAP_CODES])).alias("g"),
+    ).select("item_id", F.concat("prefix", F.lit(" "), F.col("g.s")).alias("group_name"), F.col("g.code").alias("code"))
+    options = gaps.select(
+        F.col("l_orderkey").alias("item_id"),
+        F.expr(GAP_OPTION).alias("option"),
+        F.concat(prefix, F.lit(" OPTION")).alias("group_name"),
+    )
+    return {
+        "item_attributes": attrs,
+        "item_group_codes": glass.unionByName(gap_codes),
+        "item_options": options,
+    }

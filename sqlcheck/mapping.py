@@ -179,3 +179,35 @@ order_detail_plans AS (
 work_cells(ID, Description) AS (VALUES {cells}),
 shortcuts AS (SELECT {_sel(TM.SHORTCUT_EXPRS)} FROM lineitem WHERE {TM.SHORTCUT_FILTER})
 """
+
+
+def edge() -> str:
+    from shopfloor.sources import testmap as TM
+
+    lite_o = TM.EDGE_LITE.format(k="o_orderkey")
+    lite_l = TM.EDGE_LITE.format(k="l_orderkey")
+    attr_selects = []
+    for attr, expr, cond in TM.ORDER_ATTRIBUTES:
+        where = f" WHERE {cond}" if cond else ""
+        attr_selects.append(f"SELECT o_orderkey AS item_id, '{attr}' AS name, {expr} AS value FROM orders{where}")
+    gap_selects = [
+        f"SELECT item_id, prefix || ' {s}' AS group_name, {e} AS code FROM gap_lines" for s, e in TM.GAP_CODES
+    ]
+    return f"""
+gap_lines AS (
+  SELECT l_orderkey AS item_id, 'LITE ' || ({lite_l}) || '.' || CAST(l_linenumber AS VARCHAR) AS prefix,
+         min(l_quantity) AS mn_qty, max(l_discount) AS mx_disc, min(l_returnflag) AS mn_flag,
+         min(l_linestatus) AS mn_status, min(l_tax) AS mn_tax
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+item_attributes AS (
+  SELECT l_orderkey AS item_id, 'EW-STRAIGHT' AS name,
+         string_agg({TM.EDGE_TOKEN}, ',' ORDER BY l_linenumber, l_quantity, {TM.EDGE_TOKEN}) AS value
+  FROM lineitem GROUP BY l_orderkey
+  UNION ALL {' UNION ALL '.join(attr_selects)}),
+item_group_codes AS (
+  SELECT o_orderkey AS item_id, 'LITE ' || ({lite_o}) || ' GLASS' AS group_name, {TM.GLASS_CODE} AS code
+  FROM orders
+  UNION ALL {' UNION ALL '.join(gap_selects)}),
+item_options AS (
+  SELECT item_id, {TM.GAP_OPTION} AS option, prefix || ' OPTION' AS group_name FROM gap_lines)
+"""
