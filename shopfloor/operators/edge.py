@@ -3,21 +3,23 @@ token arithmetic on the ``CODE=length,CODE=length`` edge string.
 
 The per-item Visual Basic loop becomes set operations:
 
-* "scan gaps in order and stop at the first gap with option SHATOP" ->
-  ``i_stop = min(i where SHATOP)``; gaps before it are scanned for films and
-  the stop gap itself still has its interlayer count read (an unreadable
-  count there is an error, as the loop reads it before testing the option);
-* "the first interlayer of a gap whose type is a film" -> ``min_by`` over
-  the interlayer number;
-* flags per item -> ``bool_or``.
-
-All groups are per item (a handful of rows), so aggregation never collects
-more than one item's layer stack; the stack depth is a single digit.
+* group names (``LITE <lite> GLASS``, ``LITE <lite>.<i> INTERLAYERS``,
+  ``... PROCESS``, ``... IL<j> TYPE``, ``... IL<j>``, option group
+  ``... OPTION``) are classified in ONE pass with split/substring (no regex);
+* rows are aggregated per gap ``(item, lite, i)``: interlayer count,
+  process, SHATOP option, and the first film interlayer (``min j`` among
+  film types with ``j <= count``) — only ``i, j <= 9`` can matter because
+  the loop bounds are single digits, so every group is bounded by design;
+* gaps are folded per ``(item, lite)`` into at most 9 small structs; the
+  "scan in order, stop at the first SHATOP gap" rule becomes
+  ``i_stop = min(i where SHATOP)``, and the flags are ``exists`` over the
+  gaps before it.  The stop gap still has its interlayer count read, so an
+  unreadable count there is an error, as in the loop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the calculation.
@@ -28,148 +30,153 @@ POST_PROCESS = "AN"
 STOP_OPTION = "SHATOP"
 EXCLUDED_TOKENS = ("EFPCN", "ESEAM")
 PREPOST_TOKEN = "EFGPO"
+MAX_DIGIT = 9  # layer and interlayer counts are single characters
 
-# Group-name patterns (``LITE <lite> GLASS``, ``LITE <lite>.<i> ...``).
-GLASS_RE = r"^LITE (.+) GLASS$"
-GAP_RE = r"^LITE (.+)\.([0-9]+) (INTERLAYERS|PROCESS|OPTION)$"
-FILM_TYPE_RE = r"^LITE (.+)\.([0-9]+) IL([0-9]+) TYPE$"
-FILM_CODE_RE = r"^LITE (.+)\.([0-9]+) IL([0-9]+)$"
+
+def _canonical_int(s: Column) -> Column:
+    """Integer value of ``s`` when it is written exactly as VB's ``& i``
+    renders an integer (no sign, blanks or leading zeros), else NULL."""
+    v = s.try_cast("int")
+    return F.when(v.cast("string") == s, v)
 
 
 def _is_digit(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9]$"), F.lit(False))
 
 
-def parse_group_codes(codes: DataFrame) -> dict[str, DataFrame]:
-    """Split the long group-code table by name pattern.
+def classify_codes(group_codes: DataFrame, options: DataFrame) -> DataFrame:
+    """(item_id, lite, i, j, kind, code) for every relevant group code and
+    every SHATOP option; kind in GLASS, INTERLAYERS, PROCESS, FTYPE, FCODE,
+    SHATOP.  Rows of other shapes are dropped.
 
-    Returns ``glass`` (item_id, lite, code), ``gap`` (item_id, lite, i,
-    kind, code) and ``film`` (item_id, lite, i, j, kind, code) with kind
-    TYPE or CODE."""
-    name = F.col("group_name")
-    glass = codes.filter(name.rlike(GLASS_RE)).select(
-        "item_id", F.regexp_extract(name, GLASS_RE, 1).alias("lite"), "code"
+    Each derived value is its own column, referenced by name, so no string
+    function is evaluated twice per row.  Rows of other shapes get kind
+    NULL."""
+    opts = options.filter(F.col("option") == STOP_OPTION).select(
+        "item_id", "group_name", F.lit(None).cast("string").alias("code"), F.lit(True).alias("is_option")
     )
-    gap = codes.filter(name.rlike(GAP_RE)).select(
+    rows = group_codes.select("item_id", "group_name", "code", F.lit(False).alias("is_option")).unionByName(opts)
+    df = rows.withColumn("__parts", F.split("group_name", " "))
+    df = df.select(
         "item_id",
-        F.regexp_extract(name, GAP_RE, 1).alias("lite"),
-        F.regexp_extract(name, GAP_RE, 2).cast("int").alias("i"),
-        F.regexp_extract(name, GAP_RE, 3).alias("kind"),
         "code",
-    )
-    film_type = codes.filter(name.rlike(FILM_TYPE_RE)).select(
-        "item_id",
-        F.regexp_extract(name, FILM_TYPE_RE, 1).alias("lite"),
-        F.regexp_extract(name, FILM_TYPE_RE, 2).cast("int").alias("i"),
-        F.regexp_extract(name, FILM_TYPE_RE, 3).cast("int").alias("j"),
-        F.lit("TYPE").alias("kind"),
-        "code",
-    )
-    film_code = codes.filter(name.rlike(FILM_CODE_RE)).select(
+        "is_option",
+        F.size("__parts").alias("n"),
+        F.get("__parts", 0).alias("p0"),
+        F.get("__parts", 1).alias("p1"),
+        F.get("__parts", 2).alias("p2"),
+        F.get("__parts", 3).alias("p3"),
+    )
+    df = df.withColumn("__after_dot", F.substring_index("p1", ".", -1)).withColumn(
+        "__il", F.when(F.col("p2").startswith("IL"), F.substring("p2", 3, 10))
+    )
+    df = df.select(
+        "*",
+        F.when(F.instr("p1", ".") > 0, F.col("__after_dot")).alias("__i_txt"),
+        F.when(
+            F.instr("p1", ".") > 0,
+            F.expr("substring(p1, 1, length(p1) - length(__after_dot) - 1)"),
+        ).alias("__gap_lite"),
+    )
+    df = df.withColumn("__i", _canonical_int(F.col("__i_txt"))).withColumn("__j", _canonical_int(F.col("__il")))
+    p2, p3, n, is_opt = F.col("p2"), F.col("p3"), F.col("n"), F.col("is_option")
+    kind = (
+        F.when(F.col("p0") != "LITE", F.lit(None))
+        .when(is_opt & (n == 3) & (p2 == "OPTION"), F.lit("SHATOP"))
+        .when(is_opt, F.lit(None))
+        .when((n == 3) & (p2 == "GLASS"), F.lit("GLASS"))
+        .when((n == 3) & p2.isin("INTERLAYERS", "PROCESS"), p2)
+        .when((n == 3) & F.col("__j").isNotNull(), F.lit("FCODE"))
+        .when((n == 4) & (p3 == "TYPE") & F.col("__j").isNotNull(), F.lit("FTYPE"))
+    )
+    df = df.withColumn("kind", kind)
+    glass = F.col("kind") == "GLASS"
+    out = df.select(
         "item_id",
-        F.regexp_extract(name, FILM_CODE_RE, 1).alias("lite"),
-        F.regexp_extract(name, FILM_CODE_RE, 2).cast("int").alias("i"),
-        F.regexp_extract(name, FILM_CODE_RE, 3).cast("int").alias("j"),
-        F.lit("CODE").alias("kind"),
+        F.when(glass, F.col("p1")).otherwise(F.col("__gap_lite")).alias("lite"),
+        F.when(glass, F.lit(None).cast("int")).otherwise(F.col("__i")).alias("i"),
+        F.when(F.col("kind").isin("FCODE", "FTYPE"), F.col("__j")).alias("j"),
+        "kind",
         "code",
     )
-    return {"glass": glass, "gap": gap, "film": film_type.unionByName(film_code)}
-
-
-def layer_flags(items: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
-    """E1-E5 for gated items.
-
-    ``items``: item_id, lite, layers (int, the glass code's last digit) —
-    only items that passed the gate.  Returns item_id, post, pre, sgp,
-    layer_error (an interlayer count that the loop would fail to read)."""
-    parsed = parse_group_codes(group_codes)
-    gap_codes = (
-        parsed["gap"]
-        .filter(F.col("kind").isin("INTERLAYERS", "PROCESS"))
-        .groupBy("item_id", "lite", "i")
-        .agg(
-            F.max(F.when(F.col("kind") == "INTERLAYERS", F.col("code"))).alias("interlayers"),
-            F.max(F.when(F.col("kind") == "PROCESS", F.col("code"))).alias("process"),
-        )
-    )
-    opt_name = F.col("group_name")
-    stops = (
-        options.filter((F.col("option") == STOP_OPTION) & opt_name.rlike(GAP_RE))
-        .select(
-            "item_id",
-            F.regexp_extract(opt_name, GAP_RE, 1).alias("lite"),
-            F.regexp_extract(opt_name, GAP_RE, 2).cast("int").alias("i"),
-            F.regexp_extract(opt_name, GAP_RE, 3).alias("kind"),
-        )
-        .filter(F.col("kind") == "OPTION")
-        .select("item_id", "lite", "i", F.lit(True).alias("shatop"))
-        .distinct()
-    )
-
-    # Gaps 1 .. layers-1 of every gated item (at most 8 per item).
-    gaps = items.filter(F.col("layers") >= 2).select(
-        "item_id", "lite", F.explode(F.sequence(F.lit(1), F.col("layers") - 1)).alias("i")
-    )
-    gaps = (
-        gaps.join(gap_codes, ["item_id", "lite", "i"], "left")
-        .join(stops, ["item_id", "lite", "i"], "left")
-        .withColumn("shatop", F.coalesce("shatop", F.lit(False)))
-        .withColumn("count_char", F.substring(F.coalesce("interlayers", F.lit("")), 1, 1))
-    )
-    per_item = Window.partitionBy("item_id")
-    gaps = gaps.withColumn("i_stop", F.min(F.when(F.col("shatop"), F.col("i"))).over(per_item))
-    gaps = gaps.withColumn(
-        "read", F.col("i") <= F.coalesce(F.col("i_stop"), F.lit(1 << 30))
-    ).withColumn("scanned", F.col("i") < F.coalesce(F.col("i_stop"), F.lit(1 << 30)))
-    gaps = gaps.withColumn(
-        "n_films", F.when(_is_digit(F.col("count_char")), F.col("count_char").cast("int"))
-    )
-
-    films = (
-        parsed["film"]
-        .groupBy("item_id", "lite", "i", "j")
-        .agg(
-            F.max(F.when(F.col("kind") == "TYPE", F.col("code"))).alias("ftype"),
-            F.max(F.when(F.col("kind") == "CODE", F.col("code"))).alias("fcode"),
-        )
-        .filter(F.col("ftype").isin(list(FILM_TYPES)))
-    )
-    scanned = gaps.filter(F.col("scanned") & F.col("n_films").isNotNull()).select(
-        "item_id", "lite", "i", "n_films", "process"
-    )
-    first_film = (
-        scanned.join(films, ["item_id", "lite", "i"])
-        .filter((F.col("j") >= 1) & (F.col("j") <= F.col("n_films")))
-        .groupBy("item_id", "i", "process")
-        .agg(F.min_by(F.struct("ftype", "fcode"), "j").alias("f"))
-        .select(
-            "item_id",
-            ((F.col("f.fcode") == POST_FILM_CODE) & (F.col("process") == POST_PROCESS)).alias("film_post"),
-            (F.col("f.ftype") == SGP_TYPE).alias("film_sgp"),
-        )
-        .withColumn("film_post", F.coalesce("film_post", F.lit(False)))
-    )
-    gap_flags = gaps.groupBy("item_id").agg(
-        F.bool_or(F.col("i_stop").isNotNull()).alias("stopped"),
-        F.bool_or(F.col("read") & F.col("n_films").isNull()).alias("layer_error"),
-    )
-    film_flags = first_film.groupBy("item_id").agg(
-        F.bool_or("film_post").alias("film_post"),
-        F.bool_or(~F.col("film_post")).alias("pre"),
-        F.bool_or("film_sgp").alias("sgp"),
-    )
-    return (
-        items.select("item_id")
-        .join(gap_flags, "item_id", "left")
-        .join(film_flags, "item_id", "left")
-        .select(
-            "item_id",
-            (F.coalesce("stopped", F.lit(False)) | F.coalesce("film_post", F.lit(False))).alias("post"),
-            F.coalesce("pre", F.lit(False)).alias("pre"),
-            F.coalesce("sgp", F.lit(False)).alias("sgp"),
-            F.coalesce("layer_error", F.lit(False)).alias("layer_error"),
-        )
-    )
+    # No filter here: a predicate on these derived columns would be pushed
+    # below the projections and re-evaluate the whole parse per reference.
+    # Rows of no interest carry kind NULL and are ignored by the
+    # conditional aggregates of ``item_layers``.
+    return out
+
+
+def item_layers(group_codes: DataFrame, options: DataFrame) -> DataFrame:
+    """Per (item_id, lite): ``glass`` code and ``gaps`` — array of structs
+    (i, count_ok, shatop, film_post, film_pre, film_sgp) for gaps 1..9."""
+    c = classify_codes(group_codes, options)
+    kind, code = F.col("kind"), F.col("code")
+    in_gap = F.col("i").between(1, MAX_DIGIT)
+    film_row = kind.isin("FTYPE", "FCODE") & in_gap & F.col("j").between(1, MAX_DIGIT)
+    per_gap = c.groupBy("item_id", "lite", "i").agg(
+        F.max(F.when(kind == "GLASS", code)).alias("glass"),
+        F.max(F.when((kind == "INTERLAYERS") & in_gap, code)).alias("il"),
+        F.max(F.when((kind == "PROCESS") & in_gap, code)).alias("proc"),
+        F.coalesce(F.bool_or(F.when(in_gap, kind == "SHATOP")), F.lit(False)).alias("shatop"),
+        F.bool_or(F.coalesce(kind.isNotNull() & in_gap, F.lit(False))).alias("is_gap"),
+        F.collect_list(F.when(film_row, F.struct("j", "kind", "code"))).alias("films"),
+    )
+    count_char = F.substring(F.coalesce(F.col("il"), F.lit("")), 1, 1)
+    nf = F.when(_is_digit(count_char), count_char.cast("int"))
+    per_gap = per_gap.withColumn("nf", nf)
+    types = F.filter(
+        "films",
+        lambda f: (f["kind"] == "FTYPE") & (f["j"] <= F.col("nf")) & f["code"].isin(list(FILM_TYPES)),
+    )
+    per_gap = per_gap.withColumn("types", types).withColumn(
+        "jmin", F.array_min(F.transform("types", lambda f: f["j"]))
+    )
+    ftype = F.try_element_at(F.filter("types", lambda f: f["j"] == F.col("jmin")), F.lit(1))["code"]
+    fcode = F.try_element_at(
+        F.filter("films", lambda f: (f["kind"] == "FCODE") & (f["j"] == F.col("jmin"))), F.lit(1)
+    )["code"]
+    has_film = F.col("jmin").isNotNull()
+    film_post = has_film & F.coalesce((fcode == POST_FILM_CODE) & (F.col("proc") == POST_PROCESS), F.lit(False))
+    gap = F.struct(
+        F.col("i").alias("i"),
+        F.col("nf").isNotNull().alias("count_ok"),
+        F.coalesce(F.col("shatop"), F.lit(False)).alias("shatop"),
+        film_post.alias("film_post"),
+        (has_film & ~film_post).alias("film_pre"),
+        (has_film & F.coalesce(ftype == SGP_TYPE, F.lit(False))).alias("film_sgp"),
+    )
+    return per_gap.groupBy("item_id", "lite").agg(
+        F.max("glass").alias("glass"),
+        F.collect_list(F.when(F.col("is_gap"), gap)).alias("gaps"),
+    )
+
+
+def with_layer_flags(df: DataFrame, layers: str = "layers", gaps: str = "gaps") -> DataFrame:
+    """Add post, pre, sgp, layer_error from the layer count and the
+    gap structs of each row.  Intermediate arrays are materialised as
+    columns so every expression stays small (and inside codegen)."""
+    n = F.col(layers)
+    df = df.withColumn("__valid", F.filter(F.coalesce(F.col(gaps), F.array()), lambda g: g["i"] <= n - 1))
+    df = df.withColumn(
+        "__i_stop", F.array_min(F.transform(F.filter("__valid", lambda g: g["shatop"]), lambda g: g["i"]))
+    )
+    df = df.withColumn("__last_read", F.coalesce(F.col("__i_stop"), n - 1))
+    df = df.withColumn(
+        "__scanned", F.filter("__valid", lambda g: g["i"] < F.coalesce(F.col("__i_stop"), n))
+    )
+    read_ok = F.transform(
+        F.filter("__valid", lambda g: (g["i"] <= F.col("__last_read")) & g["count_ok"]), lambda g: g["i"]
+    )
+    last_read = F.col("__last_read")
+    return df.select(
+        "*",
+        (F.col("__i_stop").isNotNull() | F.exists("__scanned", lambda g: g["film_post"])).alias("post"),
+        F.exists("__scanned", lambda g: g["film_pre"]).alias("pre"),
+        F.exists("__scanned", lambda g: g["film_sgp"]).alias("sgp"),
+        F.when(last_read >= 1, F.size(F.array_distinct(read_ok)) < last_read)
+        .otherwise(F.lit(False))
+        .alias("layer_error"),
+    ).drop("__valid", "__i_stop", "__last_read", "__scanned")
 
 
 def edge_tokens(ew: str | Column) -> Column:
@@ -196,23 +203,24 @@ def _sum_float(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("float"), lambda acc, x: acc + x)
 
 
-def edge_totals(tokens: Column, post_condition: Column, sgp: Column) -> dict[str, Column]:
-    """Lineal total, pre-and-post total and a token error flag.
+def with_edge_totals(df: DataFrame, ew: str, post_condition: str, sgp: str) -> DataFrame:
+    """Add ``total``, ``prepost`` and ``token_error``.
 
     ``post_condition`` true: every kept non-empty token counts; tokens
     containing EFGPO also count towards pre-and-post.  Otherwise, with an
     SGP film: only kept non-empty EFGPO tokens count, towards both."""
-    kept = F.filter(tokens, lambda t: _kept(t) & (t != ""))
-    prepost = F.filter(kept, lambda t: t.contains(PREPOST_TOKEN))
-    kept_vals = F.transform(kept, _token_value)
-    pp_vals = F.transform(prepost, _token_value)
-    bad_kept = F.exists(kept_vals, lambda v: v.isNull())
-    bad_pp = F.exists(pp_vals, lambda v: v.isNull())
-    total = F.when(post_condition, _sum_float(kept_vals)).when(sgp, _sum_float(pp_vals)).otherwise(
-        F.lit(0.0).cast("float")
-    )
-    pp_total = F.when(post_condition, _sum_float(pp_vals)).when(sgp, _sum_float(pp_vals)).otherwise(
-        F.lit(0.0).cast("float")
-    )
-    error = F.when(post_condition, bad_kept).when(sgp, bad_pp).otherwise(F.lit(False))
-    return {"total": total, "prepost": pp_total, "token_error": error}
+    kept = F.filter(edge_tokens(ew), lambda t: _kept(t) & (t != ""))
+    df = df.withColumn("__kept", F.transform(kept, lambda t: F.struct(t.alias("t"), _token_value(t).alias("v"))))
+    df = df.withColumn("__pp", F.filter("__kept", lambda e: e["t"].contains(PREPOST_TOKEN)))
+    cond, sgp_c = F.col(post_condition), F.col(sgp)
+    zero = F.lit(0.0).cast("float")
+    kept_sum = _sum_float(F.transform("__kept", lambda e: e["v"]))
+    pp_sum = _sum_float(F.transform("__pp", lambda e: e["v"]))
+    bad_kept = F.exists("__kept", lambda e: e["v"].isNull())
+    bad_pp = F.exists("__pp", lambda e: e["v"].isNull())
+    return df.select(
+        "*",
+        F.when(cond, kept_sum).when(sgp_c, pp_sum).otherwise(zero).alias("total"),
+        F.when(cond | sgp_c, pp_sum).otherwise(zero).alias("prepost"),
+        F.when(cond, bad_kept).when(sgp_c, bad_pp).otherwise(F.lit(False)).alias("token_error"),
+    ).drop("__kept", "__pp")

@@ -4,15 +4,19 @@ The reference is a per-item Visual Basic function called once per item by
 the host application.  Here one batch computes it for every item:
 
 1. pivot the item attributes (EW-STRAIGHT, LITE, ANNLAMI,
-   CP-BUY-OUT-BEV-POST, CP-EDGE-PREandPOST) with conditional aggregates;
-2. gate: non-empty edge string and a digit as last character of the item's
-   ``LITE <lite> GLASS`` group code (the number of layers);
-3. layer flags post / pre / sgp from the interlayer group codes and options
-   (``operators.edge.layer_flags``: set form of the nested loops);
-4. condition P = post OR ((ANNLAMI = 1 OR string contains EFGPO) AND
+   CP-BUY-OUT-BEV-POST, CP-EDGE-PREandPOST) with conditional aggregates —
+   partial aggregation, no collection;
+2. fold the group codes and options into per-(item, lite) layer stacks
+   (``operators.edge.item_layers``: one classify pass, two bounded
+   aggregations) and join them to the attributes on (item, lite);
+3. gate: non-empty edge string and a digit as last character of the
+   ``LITE <lite> GLASS`` code (the number of layers);
+4. flags post / pre / sgp and the layer error from the gap structs;
+5. condition P = post OR ((ANNLAMI = 1 OR string contains EFGPO) AND
    CP-BUY-OUT-BEV-POST <> 1 AND NOT pre) — blank/non-numeric attribute
    values compare like VB Variants: ``= 1`` false, ``<> 1`` true;
-5. token sums with Single (float) accumulation in token order.
+6. token sums over the whole edge string with Single (float) accumulation
+   in token order.
 
 Output per item: ``AttributeValue`` (lineal inches, NULL when not > 0 —
 the VB blank), ``PrePostWritten`` (the value written to CP-EDGE-PREandPOST
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.operators.edge import PREPOST_TOKEN, edge_tokens, edge_totals, layer_flags, parse_group_codes
+from shopfloor.operators.edge import PREPOST_TOKEN, item_layers, with_edge_totals, with_layer_flags
 
 # Fixed attribute names of the calculation.
 EW_ATTR = "EW-STRAIGHT"
@@ -49,42 +53,41 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
     """``attributes`` (item_id, name, value), ``group_codes`` (item_id,
     group_name, code), ``options`` (item_id, option, group_name)."""
     name, value = F.col("name"), F.col("value")
-    attrs = attributes.groupBy("item_id").agg(
-        F.max(F.when(name == EW_ATTR, value)).alias("ew"),
-        F.max(F.when(name == LITE_ATTR, value)).alias("lite"),
-        F.max(F.when(name == ANNLAMI_ATTR, value)).alias("annlami"),
-        F.max(F.when(name == BUYOUT_ATTR, value)).alias("buyout"),
-        F.bool_or(name == PREPOST_ATTR).alias("prepost_exists"),
+    attrs = (
+        attributes.filter(name.isin(EW_ATTR, LITE_ATTR, ANNLAMI_ATTR, BUYOUT_ATTR, PREPOST_ATTR))
+        .groupBy("item_id")
+        .agg(
+            F.max(F.when(name == EW_ATTR, value)).alias("ew"),
+            F.max(F.when(name == LITE_ATTR, value)).alias("lite"),
+            F.max(F.when(name == ANNLAMI_ATTR, value)).alias("annlami"),
+            F.max(F.when(name == BUYOUT_ATTR, value)).alias("buyout"),
+            F.bool_or(name == PREPOST_ATTR).alias("prepost_exists"),
+        )
     )
-    glass = parse_group_codes(group_codes)["glass"].withColumnRenamed("code", "glass")
-    items = attrs.join(glass, ["item_id", "lite"], "left")
+    layers = item_layers(group_codes, options).withColumnRenamed("item_id", "__item").withColumnRenamed(
+        "lite", "__lite"
+    )
+    # Null-safe on lite: a plain equality makes Catalyst infer
+    # ``lite IS NOT NULL`` and push it into the group-name parse, which
+    # would re-evaluate the parse inside the scan filter.  A NULL lite only
+    # meets the group of unparseable names, which has no glass code and no
+    # gaps, so the gate fails exactly as with no match.
+    df = attrs.join(
+        layers, (F.col("item_id") == F.col("__item")) & F.col("lite").eqNullSafe(F.col("__lite")), "left"
+    ).drop("__item", "__lite")
     last = F.substring(F.coalesce(F.col("glass"), F.lit("")), -1, 1)
     gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(last.rlike("^[0-9]$"), F.lit(False))
-    items = items.withColumn("gate", gate).withColumn("layers", F.when(gate, last.cast("int")))
-
-    flags = layer_flags(
-        items.filter("gate").select("item_id", "lite", "layers"), group_codes, options
-    )
-    df = items.join(flags, "item_id", "left")
-    post = F.coalesce(F.col("post"), F.lit(False))
-    pre = F.coalesce(F.col("pre"), F.lit(False))
-    sgp = F.coalesce(F.col("sgp"), F.lit(False))
-    cond = post | (
-        (_variant_eq_one(F.col("annlami")) | F.col("ew").contains(PREPOST_TOKEN))
+    df = df.withColumn("gate", gate).withColumn("layers", F.when(F.col("gate"), last.try_cast("int")))
+    df = with_layer_flags(df, "layers", "gaps")
+    cond = F.coalesce(F.col("post"), F.lit(False)) | (
+        (_variant_eq_one(F.col("annlami")) | F.coalesce(F.col("ew").contains(PREPOST_TOKEN), F.lit(False)))
         & _variant_ne_one(F.col("buyout"))
-        & ~pre
-    )
-    t = edge_totals(edge_tokens("ew"), cond, sgp)
-    df = df.select(
-        "item_id",
-        "lite",
-        "gate",
-        "prepost_exists",
-        t["total"].alias("total"),
-        t["prepost"].alias("prepost"),
-        (F.coalesce(F.col("layer_error"), F.lit(False)) | t["token_error"]).alias("err"),
+        & ~F.coalesce(F.col("pre"), F.lit(False))
     )
-    ok = F.col("gate") & ~F.col("err")
+    df = df.withColumn("cond", cond).withColumn("sgp", F.coalesce(F.col("sgp"), F.lit(False)))
+    df = with_edge_totals(df, "ew", "cond", "sgp")
+    err = F.coalesce(F.col("layer_error"), F.lit(False)) | F.col("token_error")
+    ok = F.col("gate") & ~err
     return df.select(
         "item_id",
         F.col("lite").alias("Lite"),
@@ -92,5 +95,5 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
         F.when(ok & F.col("prepost_exists") & (F.col("prepost") > 0), F.col("prepost").cast("double")).alias(
             "PrePostWritten"
         ),
-        (F.col("gate") & F.col("err")).alias("EdgeError"),
+        (F.col("gate") & err).alias("EdgeError"),
     )

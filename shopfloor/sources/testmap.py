@@ -63,7 +63,20 @@ def _line_suffix() -> Column:
 
 
 def _literal_table(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A small fixed table as a SQL VALUES relation: a LocalRelation whose
+    size the optimizer knows, so joins against it broadcast statically."""
+    names = [part.split()[0] for part in schema.split(",")]
+    types = [part.split()[1] for part in schema.split(",")]
+
+    def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"CAST({v!r} AS {t})"
+
+    values = ", ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
 
 
 # ---------------------------------------------------------------- inventory
