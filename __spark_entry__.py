@@ -135,6 +135,191 @@ def q_edge_post_lineal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(post_edge_lineal(t["item_attributes"], t["item_group_codes"], t["item_options"]))
 
 
+# ---------------------------------------------- fine-grained operator checks
+def q_backlog_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT EXISTS relation of type 2 as a left anti join, all orders."""
+    from shopfloor.operators.joins import without_relation
+
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    return without_relation(t["orders"].select("oKey", "OrderNumber"), t["order_relations"], 2)
+
+
+def q_backlog_in_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 + K1 + T10: orders matched to open-order rows with multiplicity."""
+    from shopfloor.operators.joins import open_order_multiplicity
+
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    joined = open_order_multiplicity(t["orders"].select("oKey", "OrderNumber"), t["orders_open"])
+    return joined.select("oKey", "TargetShipDate", F.col("__open_rows").alias("OpenRows"))
+
+
+def q_backlog_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + J5: counted lines per order, 0 for orders without one."""
+    from shopfloor.operators.joins import line_counts
+
+    t = TM.order_tables(LazyTables(spark, sf_dir))
+    counts = line_counts(t["order_detail"])
+    return (
+        t["orders"]
+        .select("oKey")
+        .join(counts, "oKey", "left")
+        .select("oKey", F.coalesce(F.col("__lines"), F.lit(0)).alias("LineItems"))
+    )
+
+
+def q_backlog_status_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 + C3: status names and credit-signed prices for every order."""
+    from shopfloor.functions import signed_price, status_name
+
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    types = t["order_types"].select("OrderType", F.col("Description").alias("TypeDescription"))
+    df = t["orders"].join(types, "OrderType")
+    total = F.col("TotalPrice") * F.col("CurrencyMultiplier")
+    return _round_doubles(
+        df.select(
+            "oKey",
+            status_name("Status").alias("statusName"),
+            signed_price(total, "TypeDescription").alias("ActualPrice"),
+        )
+    )
+
+
+def _demand_branch(spark: SparkSession, sf_dir: str, branch: int) -> DataFrame:
+    from shopfloor.functions import format_part
+    from shopfloor.plans import demand as D
+
+    t = TM.demand_tables(LazyTables(spark, sf_dir))
+    if branch == 1:
+        df = D.demand_from_view(t, None, None, "MAIN")
+    else:
+        df = D.demand_from_serialized(t, None, None, "MAIN").filter(F.col("branch") == branch)
+    return _round_doubles(D._project(df, format_part, F.col("SOQty")))
+
+
+def q_so_view_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 branch 1: demand through the on-order quantity view."""
+    return _demand_branch(spark, sf_dir, 1)
+
+
+def q_serialized_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 / J3 branch 2: SUM of issued serialized quantity per line."""
+    return _demand_branch(spark, sf_dir, 2)
+
+
+def q_serialized_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 / J3 branch 3: COUNT of secondary-issued serialized rows per line."""
+    return _demand_branch(spark, sf_dir, 3)
+
+
+def q_label_sequence_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 + X2: MIN sequence per key of the regular classes UNION remakes."""
+    from shopfloor.plans.labels import label_sequence
+
+    return label_sequence(TM.label_tables(LazyTables(spark, sf_dir))["opti_report_lites"], None)
+
+
+def q_label_remake_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remake flag of every label-part key."""
+    from shopfloor.operators.joins import flag_by_keys
+    from shopfloor.plans.labels import PART_KEYS, REMAKE_CLASS, session_keys
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    keys = t["label_parts"].select(*PART_KEYS).distinct()
+    return flag_by_keys(keys, session_keys(t["opti_report_lites"], None, [REMAKE_CLASS]), PART_KEYS, "Remake")
+
+
+def q_label_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LITE and LOGO attributes of every label part ('' if absent)."""
+    from shopfloor.operators.joins import eav_values
+    from shopfloor.plans.labels import ATTR_KEYS
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    attrs = eav_values(
+        t["order_detail_attributes"], ATTR_KEYS,
+        [("LITE", "ParamValue", "__lites"), ("LOGO", "ParamValue2", "__logos")],
+    )
+    df = t["label_parts"].select(*ATTR_KEYS).join(attrs, ATTR_KEYS, "left")
+    df = df.withColumn("LiteNumber", F.explode_outer("__lites")).withColumn(
+        "LogoAttribute", F.explode_outer("__logos")
+    )
+    return df.select(
+        *ATTR_KEYS,
+        F.coalesce("LiteNumber", F.lit("")).alias("LiteNumber"),
+        F.coalesce("LogoAttribute", F.lit("")).alias("LogoAttribute"),
+    ).distinct()
+
+
+def q_label_plan_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with at least one plan row (left semi join)."""
+    from shopfloor.operators.joins import exists_in
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    return exists_in(t["order_detail"].select("odKey"), t["order_detail_plans"], ["odKey"])
+
+
+def q_workflow_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work-flow items with list positions."""
+    from shopfloor.operators.lists import split_positions
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    routes = t["label_parts"].select("odKey", "ParentKey", "WorkFlow").filter(F.col("WorkFlow").isNotNull())
+    return split_positions(routes.distinct(), "WorkFlow").select(
+        "odKey", "ParentKey", "WorkFlow", F.col("pos").cast("int").alias("pos"), "item"
+    )
+
+
+def q_workflow_stage_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J13 + A11 + C13: distinct MM-dd per stage via alias/identity match."""
+    from shopfloor.plans.workflow import stage_dates
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    df = stage_dates(t["label_parts"], t["order_detail_plans"], t["work_cells"])
+    return df.select(
+        "odKey", "ParentKey", "WorkFlow", F.col("pos").cast("int").alias("pos"), "item",
+        F.array_join("dates", " & ").alias("Dates"),
+    )
+
+
+def q_edge_layer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Post / pre / sgp / layer error of every gated item."""
+    from shopfloor.operators.edge import item_layers, with_layer_flags
+
+    t = TM.edge_tables(LazyTables(spark, sf_dir))
+    a = t["item_attributes"]
+    attrs = a.groupBy("item_id").agg(
+        F.max(F.when(F.col("name") == "EW-STRAIGHT", F.col("value"))).alias("ew"),
+        F.max(F.when(F.col("name") == "LITE", F.col("value"))).alias("lite"),
+    )
+    layers = item_layers(t["item_group_codes"], t["item_options"]).withColumnRenamed("item_id", "__item")
+    layers = layers.withColumnRenamed("lite", "__lite")
+    df = attrs.join(
+        layers, (F.col("item_id") == F.col("__item")) & F.col("lite").eqNullSafe(F.col("__lite")), "left"
+    )
+    last = F.substring(F.coalesce(F.col("glass"), F.lit("")), -1, 1)
+    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(last.rlike("^[0-9]$"), F.lit(False))
+    df = df.withColumn("gate", gate).withColumn("layers", last.try_cast("int"))
+    df = with_layer_flags(df.filter(F.col("gate")), "layers", "gaps")
+    return df.select("item_id", F.col("lite").alias("Lite"), "post", "pre", "sgp", "layer_error")
+
+
+def q_edge_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sums of every item's whole edge string (P true)."""
+    from shopfloor.operators.edge import with_edge_totals
+
+    t = TM.edge_tables(LazyTables(spark, sf_dir))
+    a = t["item_attributes"]
+    ew = a.groupBy("item_id").agg(F.max(F.when(F.col("name") == "EW-STRAIGHT", F.col("value"))).alias("ew"))
+    df = with_edge_totals(ew.withColumn("c", F.lit(True)).withColumn("s", F.lit(False)), "ew", "c", "s")
+    return _round_doubles(
+        df.select(
+            "item_id",
+            F.col("total").cast("double").alias("total"),
+            F.col("prepost").cast("double").alias("prepost"),
+            "token_error",
+        )
+    )
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -147,6 +332,21 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "workflow_render": q_workflow_render,
     "work_cell_labels": q_work_cell_labels,
     "edge_post_lineal": q_edge_post_lineal,
+    "backlog_not_exists": q_backlog_not_exists,
+    "backlog_in_open": q_backlog_in_open,
+    "backlog_line_count": q_backlog_line_count,
+    "backlog_status_credit": q_backlog_status_credit,
+    "so_view_branch": q_so_view_branch,
+    "serialized_sum": q_serialized_sum,
+    "serialized_count": q_serialized_count,
+    "label_sequence_union": q_label_sequence_union,
+    "label_remake_flag": q_label_remake_flag,
+    "label_attributes": q_label_attributes,
+    "label_plan_exists": q_label_plan_exists,
+    "workflow_split": q_workflow_split,
+    "workflow_stage_dates": q_workflow_stage_dates,
+    "edge_layer_flags": q_edge_layer_flags,
+    "edge_token_totals": q_edge_token_totals,
 }
 
 _ORACLE: dict[str, str] = {
@@ -161,6 +361,21 @@ _ORACLE: dict[str, str] = {
     "workflow_render": SQ.routes_sql(),
     "work_cell_labels": SQ.labels_sql(),
     "edge_post_lineal": SQ.edge_sql(),
+    "backlog_not_exists": SQ.backlog_not_exists_sql(),
+    "backlog_in_open": SQ.backlog_in_open_sql(),
+    "backlog_line_count": SQ.backlog_line_count_sql(),
+    "backlog_status_credit": SQ.backlog_status_credit_sql(),
+    "so_view_branch": SQ.demand_branch_sql(1),
+    "serialized_sum": SQ.demand_branch_sql(2),
+    "serialized_count": SQ.demand_branch_sql(3),
+    "label_sequence_union": SQ.label_sequence_sql(),
+    "label_remake_flag": SQ.label_remake_flag_sql(),
+    "label_attributes": SQ.label_attributes_sql(),
+    "label_plan_exists": SQ.label_plan_exists_sql(),
+    "workflow_split": SQ.workflow_split_sql(),
+    "workflow_stage_dates": SQ.workflow_stage_dates_sql(),
+    "edge_layer_flags": SQ.edge_layer_flags_sql(),
+    "edge_token_totals": SQ.edge_token_totals_sql(),
 }
 
 
