@@ -295,10 +295,10 @@ def q_edge_layer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = attrs.join(
         layers, (F.col("item_id") == F.col("__item")) & F.col("lite").eqNullSafe(F.col("__lite")), "left"
     )
-    last = F.substring(F.coalesce(F.col("glass"), F.lit("")), -1, 1)
-    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(last.rlike("^[0-9]$"), F.lit(False))
-    df = df.withColumn("gate", gate).withColumn("layers", last.try_cast("int"))
-    df = with_layer_flags(df.filter(F.col("gate")), "layers", "gaps")
+    digit = F.col("glass_digit")
+    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(digit >= 0, F.lit(False))
+    df = df.withColumn("gate", gate).withColumn("layers", digit)
+    df = with_layer_flags(df, "layers").filter(F.col("gate"))
     return df.select("item_id", F.col("lite").alias("Lite"), "post", "pre", "sgp", "layer_error")
 
 

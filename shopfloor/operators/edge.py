@@ -6,12 +6,14 @@ The per-item Visual Basic loop becomes set operations:
 * group names (``LITE <lite> GLASS``, ``LITE <lite>.<i> INTERLAYERS``,
   ``... PROCESS``, ``... IL<j> TYPE``, ``... IL<j>``, option group
   ``... OPTION``) are classified in ONE pass with split/substring (no regex);
-* rows are aggregated per gap ``(item, lite, i)``: interlayer count,
-  process, SHATOP option, and the first film interlayer (``min j`` among
-  film types with ``j <= count``) — only ``i, j <= 9`` can matter because
-  the loop bounds are single digits, so every group is bounded by design;
-* gaps are folded per ``(item, lite)`` into at most 9 small structs; the
-  "scan in order, stop at the first SHATOP gap" rule becomes
+* rows are aggregated per gap ``(item, lite, i)`` into fixed int slots:
+  interlayer count, process, SHATOP option and per interlayer j the film
+  type / code flags — only ``i, j <= 9`` can matter because the loop bounds
+  are single digits, so both aggregations are plain hash aggregations over
+  ints and nothing is collected;
+* the first film interlayer is the smallest slot j <= count holding a film;
+* gaps are folded per ``(item, lite)`` into 9 slots per flag; the "scan in
+  order, stop at the first SHATOP gap" rule becomes
   ``i_stop = min(i where SHATOP)``, and the flags are ``exists`` over the
   gaps before it.  The stop gap still has its interlayer count read, so an
   unreadable count there is an error, as in the loop.
@@ -106,77 +108,116 @@ def classify_codes(group_codes: DataFrame, options: DataFrame) -> DataFrame:
     return out
 
 
+def _digit_or_minus_one(c: Column) -> Column:
+    """int of a one-character digit string, -1 for any other text."""
+    return F.when(_is_digit(c), c.cast("int")).otherwise(F.lit(-1))
+
+
 def item_layers(group_codes: DataFrame, options: DataFrame) -> DataFrame:
-    """Per (item_id, lite): ``glass`` code and ``gaps`` — array of structs
-    (i, count_ok, shatop, film_post, film_pre, film_sgp) for gaps 1..9."""
+    """Per (item_id, lite): ``glass_digit`` (last character of the GLASS
+    code as int, -1 when not a digit, NULL when the code is missing) and,
+    for gaps k = 1..9, int flags ``ok_k`` (interlayer count readable),
+    ``stop_k`` (SHATOP), ``post_k`` / ``pre_k`` / ``sgp_k`` (first film of
+    the gap).
+
+    Only single-digit gap and interlayer numbers can be reached by the
+    loop, so every value has a fixed slot: both aggregations are plain
+    hash aggregations over ints — nothing is collected, whatever the data."""
     c = classify_codes(group_codes, options)
-    kind, code = F.col("kind"), F.col("code")
-    in_gap = F.col("i").between(1, MAX_DIGIT)
-    film_row = kind.isin("FTYPE", "FCODE") & in_gap & F.col("j").between(1, MAX_DIGIT)
-    per_gap = c.groupBy("item_id", "lite", "i").agg(
-        F.max(F.when(kind == "GLASS", code)).alias("glass"),
-        F.max(F.when((kind == "INTERLAYERS") & in_gap, code)).alias("il"),
-        F.max(F.when((kind == "PROCESS") & in_gap, code)).alias("proc"),
-        F.coalesce(F.bool_or(F.when(in_gap, kind == "SHATOP")), F.lit(False)).alias("shatop"),
-        F.bool_or(F.coalesce(kind.isNotNull() & in_gap, F.lit(False))).alias("is_gap"),
-        F.collect_list(F.when(film_row, F.struct("j", "kind", "code"))).alias("films"),
-    )
-    count_char = F.substring(F.coalesce(F.col("il"), F.lit("")), 1, 1)
-    nf = F.when(_is_digit(count_char), count_char.cast("int"))
-    per_gap = per_gap.withColumn("nf", nf)
-    types = F.filter(
-        "films",
-        lambda f: (f["kind"] == "FTYPE") & (f["j"] <= F.col("nf")) & f["code"].isin(list(FILM_TYPES)),
-    )
-    per_gap = per_gap.withColumn("types", types).withColumn(
-        "jmin", F.array_min(F.transform("types", lambda f: f["j"]))
-    )
-    ftype = F.try_element_at(F.filter("types", lambda f: f["j"] == F.col("jmin")), F.lit(1))["code"]
-    fcode = F.try_element_at(
-        F.filter("films", lambda f: (f["kind"] == "FCODE") & (f["j"] == F.col("jmin"))), F.lit(1)
-    )["code"]
-    has_film = F.col("jmin").isNotNull()
-    film_post = has_film & F.coalesce((fcode == POST_FILM_CODE) & (F.col("proc") == POST_PROCESS), F.lit(False))
-    gap = F.struct(
-        F.col("i").alias("i"),
-        F.col("nf").isNotNull().alias("count_ok"),
-        F.coalesce(F.col("shatop"), F.lit(False)).alias("shatop"),
-        film_post.alias("film_post"),
-        (has_film & ~film_post).alias("film_pre"),
-        (has_film & F.coalesce(ftype == SGP_TYPE, F.lit(False))).alias("film_sgp"),
-    )
-    return per_gap.groupBy("item_id", "lite").agg(
-        F.max("glass").alias("glass"),
-        F.collect_list(F.when(F.col("is_gap"), gap)).alias("gaps"),
+    kind, code, j = F.col("kind"), F.col("code"), F.col("j")
+    in_gap = F.coalesce(F.col("i").between(1, MAX_DIGIT), F.lit(False))
+    film_kind = F.when(code.isin(list(FILM_TYPES)), 1 + (code == SGP_TYPE).cast("int")).otherwise(0)
+    aggs = [
+        F.max(F.when(kind == "GLASS", _digit_or_minus_one(F.substring(code, -1, 1)))).alias("glass_digit"),
+        F.max(F.when((kind == "INTERLAYERS") & in_gap, _digit_or_minus_one(F.substring(code, 1, 1)))).alias("nf"),
+        F.max(F.when((kind == "PROCESS") & in_gap, (code == POST_PROCESS).cast("int"))).alias("proc_an"),
+        F.max(F.when((kind == "SHATOP") & in_gap, 1)).alias("shatop"),
+        F.max(F.when(kind.isNotNull() & in_gap, 1)).alias("is_gap"),
+    ]
+    for k in range(1, MAX_DIGIT + 1):
+        aggs.append(F.max(F.when((kind == "FTYPE") & in_gap & (j == k), film_kind)).alias(f"ft_{k}"))
+        aggs.append(
+            F.max(F.when((kind == "FCODE") & in_gap & (j == k), (code == POST_FILM_CODE).cast("int"))).alias(
+                f"fc_{k}"
+            )
+        )
+    per_gap = c.groupBy("item_id", "lite", "i").agg(*aggs)
+
+    # First film interlayer j <= count of each gap (0 = none).
+    nf = F.col("nf")
+    first = F.lit(0)
+    for k in range(MAX_DIGIT, 0, -1):
+        first = F.when((F.coalesce(F.col(f"ft_{k}"), F.lit(0)) >= 1) & (nf >= k), F.lit(k)).otherwise(first)
+    per_gap = per_gap.withColumn("jmin", first)
+    jmin = F.col("jmin")
+    fc_at = F.lit(None).cast("int")
+    ft_at = F.lit(None).cast("int")
+    for k in range(1, MAX_DIGIT + 1):
+        fc_at = F.when(jmin == k, F.col(f"fc_{k}")).otherwise(fc_at)
+        ft_at = F.when(jmin == k, F.col(f"ft_{k}")).otherwise(ft_at)
+    has_film = jmin > 0
+    post = has_film & (F.coalesce(fc_at, F.lit(0)) == 1) & (F.coalesce(F.col("proc_an"), F.lit(0)) == 1)
+    per_gap = per_gap.select(
+        "item_id",
+        "lite",
+        "i",
+        "glass_digit",
+        "is_gap",
+        (nf >= 0).cast("int").alias("ok"),
+        F.coalesce(F.col("shatop"), F.lit(0)).alias("stop"),
+        post.cast("int").alias("post"),
+        (has_film & ~post).cast("int").alias("pre"),
+        (has_film & (ft_at == 2)).cast("int").alias("sgp"),
     )
+    item_aggs = [F.max("glass_digit").alias("glass_digit")]
+    gap = F.coalesce(F.col("is_gap"), F.lit(0)) == 1
+    for k in range(1, MAX_DIGIT + 1):
+        at_k = gap & (F.col("i") == k)
+        for name in ("ok", "stop", "post", "pre", "sgp"):
+            item_aggs.append(F.max(F.when(at_k, F.col(name))).alias(f"{name}_{k}"))
+    return per_gap.groupBy("item_id", "lite").agg(*item_aggs)
 
 
-def with_layer_flags(df: DataFrame, layers: str = "layers", gaps: str = "gaps") -> DataFrame:
+def with_layer_flags(df: DataFrame, layers: str = "layers") -> DataFrame:
     """Add post, pre, sgp, layer_error from the layer count and the
-    gap structs of each row.  Intermediate arrays are materialised as
-    columns so every expression stays small (and inside codegen)."""
+    per-gap slots of :func:`item_layers`."""
     n = F.col(layers)
-    df = df.withColumn("__valid", F.filter(F.coalesce(F.col(gaps), F.array()), lambda g: g["i"] <= n - 1))
-    df = df.withColumn(
-        "__i_stop", F.array_min(F.transform(F.filter("__valid", lambda g: g["shatop"]), lambda g: g["i"]))
+
+    def slots(name: str) -> Column:
+        return F.array(*[F.coalesce(F.col(f"{name}_{k}"), F.lit(0)) for k in range(1, MAX_DIGIT + 1)])
+
+    df = df.select(
+        "*",
+        slots("ok").alias("__ok"),
+        slots("stop").alias("__stop"),
+        slots("post").alias("__post"),
+        slots("pre").alias("__pre"),
+        slots("sgp").alias("__sgp"),
     )
-    df = df.withColumn("__last_read", F.coalesce(F.col("__i_stop"), n - 1))
+    gaps = F.filter(F.sequence(F.lit(1), F.lit(MAX_DIGIT)), lambda k: k <= n - 1)
+    df = df.withColumn("__gaps", gaps)
     df = df.withColumn(
-        "__scanned", F.filter("__valid", lambda g: g["i"] < F.coalesce(F.col("__i_stop"), n))
-    )
-    read_ok = F.transform(
-        F.filter("__valid", lambda g: (g["i"] <= F.col("__last_read")) & g["count_ok"]), lambda g: g["i"]
+        "__i_stop", F.array_min(F.filter("__gaps", lambda k: F.element_at(F.col("__stop"), k) == 1))
     )
+    df = df.withColumn("__last_read", F.coalesce(F.col("__i_stop"), n - 1))
+    df = df.withColumn("__scanned", F.filter("__gaps", lambda k: k < F.coalesce(F.col("__i_stop"), n)))
     last_read = F.col("__last_read")
-    return df.select(
+    unread = F.exists(
+        F.filter("__gaps", lambda k: k <= last_read), lambda k: F.element_at(F.col("__ok"), k) != 1
+    )
+    out = df.select(
         "*",
-        (F.col("__i_stop").isNotNull() | F.exists("__scanned", lambda g: g["film_post"])).alias("post"),
-        F.exists("__scanned", lambda g: g["film_pre"]).alias("pre"),
-        F.exists("__scanned", lambda g: g["film_sgp"]).alias("sgp"),
-        F.when(last_read >= 1, F.size(F.array_distinct(read_ok)) < last_read)
-        .otherwise(F.lit(False))
-        .alias("layer_error"),
-    ).drop("__valid", "__i_stop", "__last_read", "__scanned")
+        (F.col("__i_stop").isNotNull() | F.exists("__scanned", lambda k: F.element_at(F.col("__post"), k) == 1)).alias(
+            "post"
+        ),
+        F.exists("__scanned", lambda k: F.element_at(F.col("__pre"), k) == 1).alias("pre"),
+        F.exists("__scanned", lambda k: F.element_at(F.col("__sgp"), k) == 1).alias("sgp"),
+        F.when(last_read >= 1, unread).otherwise(F.lit(False)).alias("layer_error"),
+    )
+    slot_cols = [f"{name}_{k}" for name in ("ok", "stop", "post", "pre", "sgp") for k in range(1, MAX_DIGIT + 1)]
+    return out.drop(
+        "__ok", "__stop", "__post", "__pre", "__sgp", "__gaps", "__i_stop", "__last_read", "__scanned", *slot_cols
+    )
 
 
 def edge_tokens(ew: str | Column) -> Column:

@@ -75,10 +75,10 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
     df = attrs.join(
         layers, (F.col("item_id") == F.col("__item")) & F.col("lite").eqNullSafe(F.col("__lite")), "left"
     ).drop("__item", "__lite")
-    last = F.substring(F.coalesce(F.col("glass"), F.lit("")), -1, 1)
-    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(last.rlike("^[0-9]$"), F.lit(False))
-    df = df.withColumn("gate", gate).withColumn("layers", F.when(F.col("gate"), last.try_cast("int")))
-    df = with_layer_flags(df, "layers", "gaps")
+    digit = F.col("glass_digit")
+    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(digit >= 0, F.lit(False))
+    df = df.withColumn("gate", gate).withColumn("layers", F.when(F.col("gate"), digit))
+    df = with_layer_flags(df, "layers")
     cond = F.coalesce(F.col("post"), F.lit(False)) | (
         (_variant_eq_one(F.col("annlami")) | F.coalesce(F.col("ew").contains(PREPOST_TOKEN), F.lit(False)))
         & _variant_ne_one(F.col("buyout"))
