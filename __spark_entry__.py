@@ -320,6 +320,35 @@ def q_edge_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_label_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct staged key set per session and pass."""
+    from shopfloor.plans.labels import PART_KEYS, REGULAR_CLASSES, REMAKE_CLASS, session_keys
+
+    lites = TM.label_tables(LazyTables(spark, sf_dir))["opti_report_lites"]
+    keys = session_keys(lites, None, [*REGULAR_CLASSES, REMAKE_CLASS])
+    return keys.select(
+        "SessionGUID", *PART_KEYS, (F.col("ProdType") == REMAKE_CLASS).alias("IsRemake")
+    ).distinct()
+
+
+def q_label_display_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISNULL(shortcut description, overall part description)."""
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    sc = t["shortcuts"].select("odKey", "ShortcutDesc")
+    df = t["label_parts"].select("odKey", "OverallPartDesc").join(sc, "odKey", "left")
+    return df.select("odKey", F.coalesce("ShortcutDesc", "OverallPartDesc").alias("DisplayDesc")).distinct()
+
+
+def q_backlog_subtotal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: Subtotal only where no invoice amount exists, every order."""
+    t = TM.backlog_tables(LazyTables(spark, sf_dir))
+    facts = t["order_facts"].select("oKey", "InvoiceAmount", F.col("Subtotal").alias("__sub"))
+    df = t["orders"].select("oKey").join(facts, "oKey", "left")
+    return _round_doubles(
+        df.select("oKey", "InvoiceAmount", F.when(F.col("InvoiceAmount").isNull(), F.col("__sub")).alias("Subtotal"))
+    )
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -347,6 +376,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "workflow_stage_dates": q_workflow_stage_dates,
     "edge_layer_flags": q_edge_layer_flags,
     "edge_token_totals": q_edge_token_totals,
+    "label_key_set": q_label_key_set,
+    "label_display_desc": q_label_display_desc,
+    "backlog_subtotal_fallback": q_backlog_subtotal_fallback,
 }
 
 _ORACLE: dict[str, str] = {
@@ -376,6 +408,9 @@ _ORACLE: dict[str, str] = {
     "workflow_stage_dates": SQ.workflow_stage_dates_sql(),
     "edge_layer_flags": SQ.edge_layer_flags_sql(),
     "edge_token_totals": SQ.edge_token_totals_sql(),
+    "label_key_set": SQ.label_key_set_sql(),
+    "label_display_desc": SQ.label_display_desc_sql(),
+    "backlog_subtotal_fallback": SQ.backlog_subtotal_fallback_sql(),
 }
 
 

@@ -65,3 +65,21 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         spark.conf.set("spark.checkpoint.dir", fallback)
         return fallback
     return None
+
+
+# Starting points for a large cluster (hundreds of executors, ~100 TB of
+# input).  Shuffle partitions are an upper bound that AQE coalesces down to
+# the advisory size; skewed partitions (a hot order, part or item holding a
+# large share of the rows) are split by AQE's skew-join handling; broadcast
+# stays governed by Spark's size threshold (static statistics and runtime
+# statistics), never forced for data-dependent sides.
+CLUSTER_CONF = {
+    **BASE_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
