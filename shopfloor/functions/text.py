@@ -10,7 +10,6 @@ from shopfloor.functions.columns import col_
 # Fixed rendering pieces of the plan-date route string.
 STAGE_SEPARATOR = ", "  # between stages, removed cleanly in front
 DATE_SEPARATOR = " & "  # between dates; the report removes only 2 of its 3 chars
-DATE_FORMAT = "MM-dd"
 
 
 def parse_int_list(text: str | None, sep: str = ",") -> list[int] | None:

@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from shopfloor.plans.usage import usage_by_period
 from tests.conftest import plan_text
