@@ -101,10 +101,21 @@ def backlog_snapshot(
         "CurrencyMultiplier", "TaxAmount", "Notes", "Terms", "CompleteDate",
         *(["TotalPrice"] if price_in_orders else []),
     )
+    # oKey joins back to back (anti join, line counts, prices, per-order
+    # facts): one partitioning of the orders side serves all of them.
     orders = without_relation(orders, tables["order_relations"], EXCLUDED_RELATION_TYPE)
-    orders = open_order_multiplicity(orders, tables["orders_open"])
+    df = orders.join(line_counts(tables["order_detail"]), "oKey", "left")
+    if not price_in_orders:
+        df = df.join(tables["order_prices"].select("oKey", "TotalPrice"), "oKey", "left")
+    facts = tables.get("order_facts")
+    if facts is not None:
+        for frame in _facts(facts if isinstance(facts, (list, tuple)) else [facts]):
+            df = df.join(frame, "oKey", "left")
+    for _, dst in FACT_COLUMNS:
+        if dst not in df.columns:
+            df = df.withColumn(dst, F.lit(None))
+    df = open_order_multiplicity(df, tables["orders_open"])
 
-    lines = line_counts(tables["order_detail"])
     types = tables["order_types"].select("OrderType", F.col("Description").alias("__type_desc"))
     cust = tables["customers"].select("CustomerID", "SiteID", "Name", "SiteName")
     project = tables["customers"].select(
@@ -122,11 +133,9 @@ def backlog_snapshot(
         F.col("LastName").alias("__sp_last"),
         F.col("FirstName").alias("__sp_first"),
     )
-
     df = (
-        orders.join(types, "OrderType")
+        df.join(types, "OrderType")
         .join(cust, ["CustomerID", "SiteID"])
-        .join(lines, "oKey", "left")
         .join(project, "ProjectGUID", "left")
         .join(entered, "EnteredBy", "left")
         .join(sales, "SalesPersonID", "left")
@@ -135,16 +144,6 @@ def backlog_snapshot(
         # The WHERE on the right side turns the left join into an
         # inner join — orders without an entering employee disappear.
         df = df.filter(F.col("__e_loc") == F.lit(location))
-    if not price_in_orders:
-        df = df.join(tables["order_prices"].select("oKey", "TotalPrice"), "oKey", "left")
-
-    facts = tables.get("order_facts")
-    if facts is not None:
-        for frame in _facts(facts if isinstance(facts, (list, tuple)) else [facts]):
-            df = df.join(frame, "oKey", "left")
-    for _, dst in FACT_COLUMNS:
-        if dst not in df.columns:
-            df = df.withColumn(dst, F.lit(None))
 
     type_desc = translate(F.col("__type_desc"))
     total = F.col("TotalPrice") * F.col("CurrencyMultiplier")

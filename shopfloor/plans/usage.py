@@ -110,12 +110,16 @@ def usage_by_period(
         F.col("ID").alias("CategoryID"), F.col("Description").alias("CategoryDescription")
     )
 
+    # The partial result is hash-partitioned on the fine keys, so the cost
+    # join on the same keys needs no new exchange of the fact side; the two
+    # (PartNo, PartNoSuffix) joins then share one partitioning.  Locations,
+    # cultures and categories are code tables (broadcast when small).
     joined = (
-        partial.join(inv, ["PartNo", "PartNoSuffix"])
-        .join(costs, fine_keys)
+        partial.join(costs, fine_keys)
+        .join(inv, ["PartNo", "PartNoSuffix"])
+        .join(parts, ["PartNo", "PartNoSuffix"])
         .join(locs, "LocationID")
         .join(cultures, "CurrencyCulture")
-        .join(parts, ["PartNo", "PartNoSuffix"])
         .join(cats, "CategoryID")
     )
     multipliers = tables.get("part_multipliers")
