@@ -4,13 +4,15 @@ range (and per distinct target ship date of its open-order rows).
 Plan:
 
 1. orders: type list and half-open date range pushed into the scan;
-2. ``NOT EXISTS`` relation of type 2 -> left anti join;
-3. ``IN (open orders)`` + left join to open orders -> one inner join to
+2. ``NOT EXISTS`` relation of type 2 -> left anti join on oKey;
+3. line count pre-aggregated per order (partial aggregation absorbs hot
+   orders), prices and the per-order facts of the report's elided CTEs as
+   left joins on oKey — back to back, so one partitioning of the orders
+   side serves the anti join and all three;
+4. ``IN (open orders)`` + left join to open orders -> one inner join to
    open orders grouped by (OrderNumber, TargetShipDate) with a row count;
-4. line count pre-aggregated per order (partial aggregation absorbs hot
-   orders) and left-joined, multiplied by the open-row count (T10);
-5. dimension lookups (order types, customer, project, employees, price)
-   and the per-order facts of the report's elided CTEs as left joins.
+   the line count is multiplied by it (T10);
+5. dimension lookups (order types, customer, project, employees).
 
 The report's 27-column GROUP BY collapses to the (order, target date) grain
 because every other grouped column is a lookup by a unique key; the
