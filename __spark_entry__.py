@@ -230,23 +230,15 @@ def q_label_remake_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_label_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LITE and LOGO attributes of every label part ('' if absent)."""
-    from shopfloor.operators.joins import eav_values
+    from shopfloor.operators.joins import attribute_values
     from shopfloor.plans.labels import ATTR_KEYS
 
     t = TM.label_tables(LazyTables(spark, sf_dir))
-    attrs = eav_values(
-        t["order_detail_attributes"], ATTR_KEYS,
-        [("LITE", "ParamValue", "__lites"), ("LOGO", "ParamValue2", "__logos")],
-    )
-    df = t["label_parts"].select(*ATTR_KEYS).join(attrs, ATTR_KEYS, "left")
-    df = df.withColumn("LiteNumber", F.explode_outer("__lites")).withColumn(
-        "LogoAttribute", F.explode_outer("__logos")
-    )
-    return df.select(
-        *ATTR_KEYS,
-        F.coalesce("LiteNumber", F.lit("")).alias("LiteNumber"),
-        F.coalesce("LogoAttribute", F.lit("")).alias("LogoAttribute"),
-    ).distinct()
+    eav = t["order_detail_attributes"]
+    df = t["label_parts"].select(*ATTR_KEYS).distinct()
+    df = attribute_values(df, eav, ATTR_KEYS, "LITE", "ParamValue", "LiteNumber")
+    df = attribute_values(df, eav, ATTR_KEYS, "LOGO", "ParamValue2", "LogoAttribute")
+    return df.distinct()
 
 
 def q_label_plan_exists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,25 +57,24 @@ def exists_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame
     return df.join(other.select(*keys), list(keys), "left_semi")
 
 
-def eav_values(
+def attribute_values(
+    df: DataFrame,
     eav: DataFrame,
     keys: Sequence[str],
-    attributes: Sequence[tuple[str, str, str]],
+    name: str,
+    value: str,
+    out: str,
     name_col: str = "ParamText",
 ) -> DataFrame:
-    """Several ``LEFT JOIN eav a ON a.keys = x.keys AND
-    a.ParamText = <name>`` in ONE scan and one shuffle.
-
-    ``attributes`` lists ``(name, value column, output alias)``.  Per key the
-    distinct values of each attribute (``''`` for NULL, like ``ISNULL(...,
-    '')``) are collected; the caller explodes them with ``explode_outer``
-    which reproduces the join's row product under the report's DISTINCT.
-    The collected sets are bounded by the EAV key (one row per key and
-    name in the ERP), so no group grows with the table."""
-    names = sorted({a[0] for a in attributes})
-    filtered = eav.filter(F.col(name_col).isin(names))
-    aggs = [
-        F.collect_set(F.when(F.col(name_col) == name, F.coalesce(F.col(value), F.lit("")))).alias(alias)
-        for name, value, alias in attributes
-    ]
-    return filtered.groupBy(*keys).agg(*aggs)
+    """``LEFT JOIN eav a ON a.keys = df.keys AND a.ParamText =
+    name`` with ``ISNULL(a.value, '')`` as ``out``.
+
+    The EAV side is reduced to its distinct (keys, value) rows first (a hash
+    aggregation, no collection): under the report's DISTINCT this yields the
+    same rows as the plain left join, without multiplying duplicates."""
+    values = (
+        eav.filter(F.col(name_col) == F.lit(name))
+        .select(*keys, F.coalesce(F.col(value), F.lit("")).alias(out))
+        .distinct()
+    )
+    return df.join(values, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
