@@ -411,6 +411,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_usage_by_period(spark, SMOKE_DIR)
 
 
+# --------------------------------------------- training-text operators
+# Present only where their subpackage is; nothing else in the library needs it.
+try:
+    import corpus_pipeline
+    from shopfloor.llm import oracle as _llm_oracle
+    from shopfloor.llm import queries as _llm_queries
+except ImportError:
+    pass
+else:
+    _QUERIES.update(_llm_queries.QUERIES, pipeline=corpus_pipeline.run)
+    _ORACLE.update(_llm_oracle.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
