@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from shopfloor.llm.tables import only, read
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shopfloor.llm.bpe import encode_documents
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopfloor.llm.quality_rules import quality_rules
 
@@ -69,9 +80,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shopfloor.llm.token_counts import count_tokens
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "n_bytes", "n_tokens", "over_limit"
+    )
+
+
 QUERIES = {
+    "op2_bpe_codec": op2_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_format": op7_chat_format,
     "op9_sharding": op9_sharding,
+    "op10_token_counts": op10_token_counts,
 }
