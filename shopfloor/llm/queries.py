@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from shopfloor.llm.tables import only, read
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.html_extract import extract_main_text
+
+    pages = only(read(spark, sf_dir, "pages"), ["page_id", "url", "html"])
+    return extract_main_text(pages, key_col="url").select("page_id", "url", "text", "n_chars")
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -92,6 +99,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_bpe_codec": op2_bpe_codec,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
