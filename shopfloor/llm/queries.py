@@ -72,6 +72,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.shingle_join import near_duplicates
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return near_duplicates(docs, width=4, percent=85).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopfloor.llm.sharding import assign_shards
 
@@ -104,6 +111,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_shingle_join": op8_shingle_join,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
