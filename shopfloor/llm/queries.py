@@ -26,6 +26,13 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.lm_score import lm_scores
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return lm_scores(docs).withColumnRenamed("doc", "doc_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopfloor.llm.quality_rules import quality_rules
 
@@ -108,6 +115,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_lm_score": op3_lm_score,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_format": op7_chat_format,
