@@ -33,6 +33,14 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(docs).withColumnRenamed("doc", "doc_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.decontaminate import find_leaks
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    leaks = find_leaks(docs, only(read(spark, sf_dir, "benchmark"), ["item_id", "text"]))
+    return leaks.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "cosine", "cover", "answer", "at")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shopfloor.llm.quality_rules import quality_rules
 
@@ -116,6 +124,7 @@ QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_lm_score": op3_lm_score,
+    "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_chat_format": op7_chat_format,
