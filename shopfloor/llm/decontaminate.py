@@ -38,13 +38,13 @@ from shopfloor.llm.words import mix, split, text_slices
 
 _U = np.uint64
 BUCKETS = 16_384
-RANK, EXTRA = 48, 8
+RANK, EXTRA = 64, 8
 #: Words of a passage for the SVD, and of the grid on which windows begin.
 PASSAGE, GRID = 32, 8
 ITEM_BLOCK = 2048
 MIN_WORDS = 8
 #: Words handled at once by a task.
-SLICE_WORDS = 100_000
+SLICE_WORDS = 25_000
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -148,15 +148,11 @@ def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarra
     return out
 
 
-class Space(NamedTuple):
-    """term: terms by dimensions, weighted and whitened; mean: of a word."""
+def latent_space(table: DataFrame, seed: int = 0) -> np.ndarray:
+    """Terms by dimensions: the sum over a passage's words is its place in the
+    whitened latent space, relative to as many words of the corpus's average.
 
-    term: np.ndarray
-    mean: np.ndarray
-
-
-def latent_space(table: DataFrame, seed: int = 0) -> Space:
-    """Randomised SVD: a Gaussian start, one pass of A'A, and a second pass
+    Randomised SVD: a Gaussian start, one pass of A'A, and a second pass
     that turns the basis to the singular vectors (Rayleigh-Ritz)."""
     idf, share = term_weights(table)
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, RANK + EXTRA))
@@ -166,7 +162,7 @@ def latent_space(table: DataFrame, seed: int = 0) -> Space:
     top = np.argsort(-values)[:RANK]
     scale = np.sqrt(np.maximum(values[top], values.max() * 1e-9 + 1e-30))
     term = (idf[:, None] * (basis @ turn[:, top]) / scale).astype(np.float32)
-    return Space(term, (share @ term).astype(np.float32))
+    return term - (share @ term).astype(np.float32)
 
 
 class Items(NamedTuple):
@@ -187,7 +183,7 @@ def _answer_words(text: str) -> int:
     return len(re.findall(r"[^\x20\x09-\x0D]+", parts[-1])) if parts else 0
 
 
-def prepare_items(rows: list[tuple], space: Space) -> Items:
+def prepare_items(rows: list[tuple], space: np.ndarray) -> Items:
     ids, words, answer = [], [], []
     for key, text in rows:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -197,7 +193,7 @@ def prepare_items(rows: list[tuple], space: Space) -> Items:
             words.append((found.hash >> _U(32)).astype(np.uint32))
             answer.append(_answer_words(text))
     steps = np.array([-(-(len(w) + GRID - 1) // GRID) for w in words], dtype=np.int64)
-    latent = np.array([space.term[terms(w)].sum(axis=0) - len(w) * space.mean for w in words], dtype=np.float32)
+    latent = np.array([space[terms(w)].sum(axis=0) for w in words], dtype=np.float32)
     latent = latent.reshape(len(words), -1)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return Items(ids, words, answer, steps, latent)
@@ -266,7 +262,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    min_cosine: float = 0.55,
+    min_cosine: float = 0.5,
     cover: float = 0.8,
     paraphrase: float = 0.6,
 ) -> DataFrame:
@@ -296,7 +292,7 @@ def find_leaks(
 
 
 def _search(
-    table: DataFrame, space: Space, items: Items, min_cosine: float, cover: float, paraphrase: float
+    table: DataFrame, space: np.ndarray, items: Items, min_cosine: float, cover: float, paraphrase: float
 ) -> DataFrame:
     schema = "doc long, item long, cosine double, cover double, answer double, at long"
     if not items.ids:
@@ -308,18 +304,17 @@ def _search(
         for batch, a, b, words, sizes in _slices(batches, 1):
             ids = batch.column(0).slice(a, b - a).to_pylist()
             cells, text = _pieces(sizes, GRID)
-            sums = np.zeros((len(cells) + 1, space.term.shape[1]))
-            np.cumsum(np.add.reduceat(space.term[terms(words)], cells, axis=0), axis=0, out=sums[1:])
+            sums = np.zeros((len(cells) + 1, space.shape[1]), np.float32)
+            np.cumsum(np.add.reduceat(space[terms(words)], cells, axis=0), axis=0, out=sums[1:])
             last = np.cumsum(np.bincount(text, minlength=len(sizes)))  # one past each text's cells
             bounds = np.append(cells, len(words))
             out = []
             for steps, own in by_steps:
                 start, end = _windows(text, last, steps)
-                z = (sums[end] - sums[start]).astype(np.float32)
-                z -= (bounds[end] - bounds[start])[:, None].astype(np.float32) * space.mean
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                z = sums[end] - sums[start]
                 cosine = z @ items.latent[own].T
-                w, i = np.nonzero(cosine >= min_cosine)
+                norm = np.sqrt(np.einsum("ij,ij->i", z, z))
+                w, i = np.nonzero(cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None])
                 if not len(w):
                     continue
                 item, lo, hi = own[i], bounds[start[w]], bounds[end[w]]
@@ -332,7 +327,7 @@ def _search(
                     if shares:
                         t = int(text[start[w[c]]])
                         first = int(lo[c] - (cells[last[t - 1]] if t else 0))
-                        out.append((ids[t], items.ids[item[c]], float(cosine[w[c], i[c]]), *shares, first))
+                        out.append((ids[t], items.ids[item[c]], float(cosine[w[c], i[c]] / norm[w[c]]), *shares, first))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()], strict=True)],
