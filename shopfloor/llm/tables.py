@@ -60,3 +60,11 @@ def spare_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix + "x_"
