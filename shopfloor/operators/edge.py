@@ -5,7 +5,7 @@ The per-item Visual Basic loop becomes set operations:
 
 * group names (``LITE <lite> GLASS``, ``LITE <lite>.<i> INTERLAYERS``,
   ``... PROCESS``, ``... IL<j> TYPE``, ``... IL<j>``, option group
-  ``... OPTION``) are classified in ONE pass with split/substring (no regex);
+  ``... OPTION``) are classified in ONE pass, from the right (no regex);
 * rows are aggregated per gap ``(item, lite, i)`` into fixed int slots:
   interlayer count, process, SHATOP option and per interlayer j the film
   type / code flags — only ``i, j <= 9`` can matter because the loop bounds
@@ -31,7 +31,9 @@ POST_FILM_CODE = "IMSCIPI"
 POST_PROCESS = "AN"
 STOP_OPTION = "SHATOP"
 EXCLUDED_TOKENS = ("EFPCN", "ESEAM")
+LITE_WORD = "LITE "
 PREPOST_TOKEN = "EFGPO"
+NUMBER_RE = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 MAX_DIGIT = 9  # layer and interlayer counts are single characters
 
 
@@ -58,46 +60,35 @@ def classify_codes(group_codes: DataFrame, options: DataFrame) -> DataFrame:
         "item_id", "group_name", F.lit(None).cast("string").alias("code"), F.lit(True).alias("is_option")
     )
     rows = group_codes.select("item_id", "group_name", "code", F.lit(False).alias("is_option")).unionByName(opts)
-    df = rows.withColumn("__parts", F.split("group_name", " "))
-    df = df.select(
-        "item_id",
-        "code",
-        "is_option",
-        F.size("__parts").alias("n"),
-        F.get("__parts", 0).alias("p0"),
-        F.get("__parts", 1).alias("p1"),
-        F.get("__parts", 2).alias("p2"),
-        F.get("__parts", 3).alias("p3"),
+    # The last word tells the kind; everything between LITE and the kind's
+    # own words is the lite (and gap), whatever characters it holds.
+    rows = rows.withColumn("__last", F.substring_index("group_name", " ", -1)).withColumn(
+        "__rest", F.expr("left(group_name, length(group_name) - length(__last) - 1)")
     )
-    df = df.withColumn("__after_dot", F.substring_index("p1", ".", -1)).withColumn(
-        "__il", F.when(F.col("p2").startswith("IL"), F.substring("p2", 3, 10))
+    rows = rows.withColumn("__il", F.when(F.col("__last") == "TYPE", F.substring_index("__rest", " ", -1)).otherwise(F.col("__last")))
+    rows = rows.withColumn(
+        "__stem",
+        F.when(F.col("__last") == "TYPE", F.expr("left(__rest, length(__rest) - length(__il) - 1)")).otherwise(F.col("__rest")),
     )
-    df = df.select(
-        "*",
-        F.when(F.instr("p1", ".") > 0, F.col("__after_dot")).alias("__i_txt"),
-        F.when(
-            F.instr("p1", ".") > 0,
-            F.expr("substring(p1, 1, length(p1) - length(__after_dot) - 1)"),
-        ).alias("__gap_lite"),
-    )
-    df = df.withColumn("__i", _canonical_int(F.col("__i_txt"))).withColumn("__j", _canonical_int(F.col("__il")))
-    p2, p3, n, is_opt = F.col("p2"), F.col("p3"), F.col("n"), F.col("is_option")
+    rows = rows.withColumn("__j", F.when(F.col("__il").startswith("IL"), _canonical_int(F.expr("substring(__il, 3)"))))
+    last, is_opt, j = F.col("__last"), F.col("is_option"), F.col("__j")
     kind = (
-        F.when(F.col("p0") != "LITE", F.lit(None))
-        .when(is_opt & (n == 3) & (p2 == "OPTION"), F.lit("SHATOP"))
-        .when(is_opt, F.lit(None))
-        .when((n == 3) & (p2 == "GLASS"), F.lit("GLASS"))
-        .when((n == 3) & p2.isin("INTERLAYERS", "PROCESS"), p2)
-        .when((n == 3) & F.col("__j").isNotNull(), F.lit("FCODE"))
-        .when((n == 4) & (p3 == "TYPE") & F.col("__j").isNotNull(), F.lit("FTYPE"))
+        F.when(~F.col("group_name").startswith(LITE_WORD), F.lit(None))
+        .when(is_opt, F.when(last == "OPTION", F.lit("SHATOP")))
+        .when(last.isin("GLASS", "INTERLAYERS", "PROCESS"), last)
+        .when((last == "TYPE") & j.isNotNull(), F.lit("FTYPE"))
+        .when(j.isNotNull(), F.lit("FCODE"))
     )
-    df = df.withColumn("kind", kind)
-    glass = F.col("kind") == "GLASS"
-    out = df.select(
+    rows = rows.withColumn("kind", kind).withColumn("__name", F.expr(f"substring(__stem, {len(LITE_WORD) + 1})"))
+    rows = rows.withColumn("__i_txt", F.substring_index("__name", ".", -1))
+    glass, dotted = F.col("kind") == "GLASS", F.instr("__name", ".") > 0
+    out = rows.select(
         "item_id",
-        F.when(glass, F.col("p1")).otherwise(F.col("__gap_lite")).alias("lite"),
-        F.when(glass, F.lit(None).cast("int")).otherwise(F.col("__i")).alias("i"),
-        F.when(F.col("kind").isin("FCODE", "FTYPE"), F.col("__j")).alias("j"),
+        F.when(glass, F.col("__name"))
+        .when(dotted, F.expr("left(__name, length(__name) - length(__i_txt) - 1)"))
+        .alias("lite"),
+        F.when(~glass & dotted, _canonical_int(F.col("__i_txt"))).alias("i"),
+        F.when(F.col("kind").isin("FCODE", "FTYPE"), j).alias("j"),
         "kind",
         "code",
     )
@@ -220,6 +211,12 @@ def with_layer_flags(df: DataFrame, layers: str = "layers") -> DataFrame:
     )
 
 
+def is_number(c: Column) -> Column:
+    """Whether a text is a plain decimal number, with blanks around it at
+    most: no type suffixes and no words such as NaN."""
+    return F.coalesce(c.rlike(NUMBER_RE), F.lit(False))
+
+
 def edge_tokens(ew: str | Column) -> Column:
     """The comma tokens of the edge string (array<string>)."""
     c = F.col(ew) if isinstance(ew, str) else ew
@@ -234,9 +231,10 @@ def _kept(t: Column) -> Column:
 
 
 def _token_value(t: Column) -> Column:
-    """``CSng(Split(t, '=')(1))`` — NULL when there is no second part or it
-    is not a number (the VB code raises there)."""
-    return F.try_element_at(F.split(t, "="), F.lit(2)).try_cast("float")
+    """The number after the token's first equals sign, NULL when there is none
+    or it is not written as a plain number (the calculation raises there)."""
+    text = F.try_element_at(F.split(t, "="), F.lit(2))
+    return F.when(is_number(text), text.try_cast("float"))
 
 
 def _sum_float(arr: Column) -> Column:

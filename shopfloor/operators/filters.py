@@ -16,25 +16,27 @@ def ts_literal(df: DataFrame, column: str, value: str | dt.date | dt.datetime) -
     would shift by the session zone; casting the literal to the column's own
     type keeps the comparison zone-free and lets Parquet push it down."""
     if isinstance(value, dt.datetime):
-        text = value.strftime("%Y-%m-%d %H:%M:%S")
+        if value.tzinfo is not None:
+            raise ValueError("report instants are local times without a time zone")
+        text = value.isoformat(sep=" ", timespec="microseconds")
     elif isinstance(value, dt.date):
-        text = value.strftime("%Y-%m-%d 00:00:00")
+        text = value.isoformat()
     else:
         text = str(value)
     return F.lit(text).cast(df.schema[column].dataType)
 
 
-def optional_eq(df: DataFrame, column: str, value, keep_null_param: bool = True) -> DataFrame:
-    """``(@p IS NULL OR col = @p)`` — the predicate is only added when
-    the parameter is set, so Catalyst never sees a tautology it must fold."""
+def optional_eq(df: DataFrame, column: str, value) -> DataFrame:
+    """equality with a parameter, and no predicate at all while the
+    parameter is not set, so Catalyst never sees a tautology it must fold."""
     if value is None:
         return df
     return df.filter(F.col(column) == F.lit(value))
 
 
 def equal_or_self(df: DataFrame, column: str, value) -> DataFrame:
-    """``col = ISNULL(@p, col)`` — also drops rows whose column is NULL
-    when the parameter is NULL."""
+    """equality with a parameter that falls back to the column itself, so
+    rows whose column is NULL are dropped in either case."""
     if value is None:
         return df.filter(F.col(column).isNotNull())
     return df.filter(F.col(column) == F.lit(value))
@@ -64,4 +66,4 @@ def _as_date(v: dt.date | str) -> dt.date:
         return v.date()
     if isinstance(v, dt.date):
         return v
-    return dt.date.fromisoformat(str(v)[:10])
+    return dt.date.fromisoformat(str(v).strip())

@@ -5,7 +5,8 @@ Branch 1 (view):      order lines whose on-order quantity view matches the
 Branch 2 (issue):     serialized inventory issued as the part -> SUM(qty)
                       per order line, open/uncancelled/incomplete orders only.
 Branch 3 (secondary): the same with the secondary issued part -> COUNT(1).
-Then ``UNION ALL``, ``SOQty <> 0`` (drops 0 and NULL) and sort by plan date.
+The three are stacked, rows whose measure is 0 or NULL go, and the rest is
+sorted by plan date.
 
 Branches 2 and 3 differ only in which GUID column of the serialized row
 names the part and in the measure, so the plan runs them as ONE pass: each
@@ -35,21 +36,6 @@ DEMAND_ORDER_TYPES = (1, 4)  # note: the backlog report uses (1, 3) — trap T11
 DEMAND_ITEM_TYPE = 4
 ISSUED_STATUS = 1
 
-OUTPUT_COLUMNS = [
-    "PlanDate",
-    "ReqDate",
-    "OrderNumber",
-    "LineItem",
-    "SubLineItem",
-    "CustomerRef",
-    "PONumber",
-    "Part",
-    "Description",
-    "SOQty",
-    "IsOnHold",
-    "IsAcknowledged",
-]
-
 
 def _project(df: DataFrame, part_format: Callable[[Column, Column], Column], qty: Column) -> DataFrame:
     return df.select(
@@ -62,7 +48,7 @@ def _project(df: DataFrame, part_format: Callable[[Column, Column], Column], qty
         "PONumber",
         part_format(F.col("PartNo"), F.col("PartNoSuffix")).alias("Part"),
         "Description",
-        qty.cast("double").alias("SOQty"),
+        qty.alias("SOQty"),
         on_hold_label("Status").alias("IsOnHold"),
         ack_label("AckDate").alias("IsAcknowledged"),
     )
@@ -135,12 +121,13 @@ def demand_from_serialized(
     )
     results = tables["inventory_results"].filter(F.col("CompleteQty") < F.col("TotalQty")).select("odKey")
 
-    # Selective order filters first, then the results gate, then the
-    # serialized rows (the widest input) by serial number.
-    open_lines = lines.join(orders, "oKey").join(results, "odKey")
+    # The report is asked for one part: the serialized rows of that part come
+    # first, so every later join has only their lines on its left side.
     joined = (
         roles.join(issued, "guid")
-        .join(open_lines, "SerialNumber")
+        .join(lines, "SerialNumber")
+        .join(results, "odKey")
+        .join(orders, "oKey")
         .join(_line_parts(tables), ["PartNo", "PartNoSuffix"])
     )
     keys = [
@@ -150,8 +137,10 @@ def demand_from_serialized(
     agg = joined.groupBy(*keys).agg(
         F.sum("IssuePartQty").alias("__sum"), F.count(F.lit(1)).alias("__count")
     )
+    # The measure keeps the sum's own type; the count, an integer, is cast to it.
+    kind = agg.schema["__sum"].dataType
     return agg.withColumn(
-        "SOQty", F.when(F.col("branch") == 2, F.col("__sum")).otherwise(F.col("__count").cast("double"))
+        "SOQty", F.when(F.col("branch") == 2, F.col("__sum")).otherwise(F.col("__count").cast(kind))
     )
 
 

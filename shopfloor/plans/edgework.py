@@ -20,7 +20,9 @@ the host application.  Here one batch computes it for every item:
 
 Output per item: ``AttributeValue`` (lineal inches, NULL when not > 0 —
 the VB blank), ``PrePostWritten`` (the value written to CP-EDGE-PREandPOST
-when that attribute exists and the amount is > 0, else NULL) and
+when that attribute exists and the amount is > 0, else NULL),
+``PrePostValue`` (that attribute's value afterwards: the written amount, or
+the one it had) and
 ``EdgeError`` (true where the VB code would raise: unreadable interlayer
 count or a counted token without a numeric ``=length``; such items get NULL
 results instead of failing the batch).
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.operators.edge import PREPOST_TOKEN, item_layers, with_edge_totals, with_layer_flags
+from shopfloor.operators.edge import PREPOST_TOKEN, is_number, item_layers, with_edge_totals, with_layer_flags
 
 # Fixed attribute names of the calculation.
 EW_ATTR = "EW-STRAIGHT"
@@ -42,11 +44,11 @@ PREPOST_ATTR = "CP-EDGE-PREandPOST"
 
 
 def _variant_eq_one(c):
-    return F.coalesce(c.try_cast("double") == 1, F.lit(False))
+    return F.coalesce(is_number(c) & (c.try_cast("double") == 1), F.lit(False))
 
 
 def _variant_ne_one(c):
-    return F.coalesce(c.try_cast("double") != 1, F.lit(True))
+    return ~_variant_eq_one(c)
 
 
 def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
@@ -62,6 +64,7 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
             F.max(F.when(name == ANNLAMI_ATTR, value)).alias("annlami"),
             F.max(F.when(name == BUYOUT_ATTR, value)).alias("buyout"),
             F.bool_or(name == PREPOST_ATTR).alias("prepost_exists"),
+            F.max(F.when(name == PREPOST_ATTR, value)).alias("prepost_value"),
         )
     )
     layers = item_layers(group_codes, options).withColumnRenamed("item_id", "__item").withColumnRenamed(
@@ -88,12 +91,12 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
     df = with_edge_totals(df, "ew", "cond", "sgp")
     err = F.coalesce(F.col("layer_error"), F.lit(False)) | F.col("token_error")
     ok = F.col("gate") & ~err
+    writes = ok & F.col("prepost_exists") & (F.col("prepost") > 0)
     return df.select(
         "item_id",
         F.col("lite").alias("Lite"),
         F.when(ok & (F.col("total") > 0), F.col("total").cast("double")).alias("AttributeValue"),
-        F.when(ok & F.col("prepost_exists") & (F.col("prepost") > 0), F.col("prepost").cast("double")).alias(
-            "PrePostWritten"
-        ),
+        F.when(writes, F.col("prepost").cast("double")).alias("PrePostWritten"),
+        F.when(writes, F.col("prepost").cast("string")).otherwise(F.col("prepost_value")).alias("PrePostValue"),
         (F.col("gate") & err).alias("EdgeError"),
     )
