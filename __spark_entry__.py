@@ -274,23 +274,10 @@ def q_workflow_stage_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_edge_layer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post / pre / sgp / layer error of every gated item."""
-    from shopfloor.operators.edge import item_layers, with_layer_flags
+    from shopfloor.plans.edgework import gated_items
 
     t = TM.edge_tables(LazyTables(spark, sf_dir))
-    a = t["item_attributes"]
-    attrs = a.groupBy("item_id").agg(
-        F.max(F.when(F.col("name") == "EW-STRAIGHT", F.col("value"))).alias("ew"),
-        F.max(F.when(F.col("name") == "LITE", F.col("value"))).alias("lite"),
-    )
-    layers = item_layers(t["item_group_codes"], t["item_options"]).withColumnRenamed("item_id", "__item")
-    layers = layers.withColumnRenamed("lite", "__lite")
-    df = attrs.join(
-        layers, (F.col("item_id") == F.col("__item")) & F.col("lite").eqNullSafe(F.col("__lite")), "left"
-    )
-    digit = F.col("glass_digit")
-    gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(digit >= 0, F.lit(False))
-    df = df.withColumn("gate", gate).withColumn("layers", digit)
-    df = with_layer_flags(df, "layers").filter(F.col("gate"))
+    df = gated_items(t["item_attributes"], t["item_group_codes"], t["item_options"]).filter(F.col("gate"))
     return df.select("item_id", F.col("lite").alias("Lite"), "post", "pre", "sgp", "layer_error")
 
 
@@ -323,22 +310,75 @@ def q_label_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def q_labels_one_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP2 with the report's own parameter: the labels of one session."""
+    from shopfloor.plans.labels import work_cell_labels
+
+    return _round_doubles(work_cell_labels(TM.label_tables(LazyTables(spark, sf_dir)), session=TM.SESSION))
+
+
+def q_so_quantity_one_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP4 with the report's own parameters: part, suffix and location."""
+    from shopfloor.plans.demand import so_quantity_detail
+
+    t = TM.demand_tables(LazyTables(spark, sf_dir))
+    return _round_doubles(so_quantity_detail(t, part=TM.PART, suffix=TM.SUFFIXES[0], location="MAIN"))
+
+
+def q_usage_subsecond_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """an end instant with a fraction of a second, over movements moved by
+    a fraction that depends on the order."""
+    import datetime as dt
+
+    from shopfloor.plans.usage import usage_by_period
+
+    t = dict(TM.inventory_tables(LazyTables(spark, sf_dir)))
+    part = F.make_dt_interval(secs=(F.col("InvTransID") % 1000 / F.lit(1000)).cast("decimal(8, 6)"))
+    t["inventory_trans"] = t["inventory_trans"].withColumn("InvTransDate", F.col("InvTransDate") + part)
+    return _round_doubles(usage_by_period(t, dt.datetime(2001, 7, 31, 0, 0, 0, 500_000)))
+
+
+def q_usage_setting_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost method from the settings table and a stock
+    multiplier for each part."""
+    from shopfloor.plans.usage import usage_by_period
+
+    tables = LazyTables(spark, sf_dir)
+    t = dict(TM.inventory_tables(tables))
+    t["general_setup"] = TM.general_setup(tables)
+    t["part_multipliers"] = t["inventory"].select(
+        "PartNo", "PartNoSuffix", F.when(F.col("CategoryID") <= 3, 2.0).otherwise(0.5).alias("multiplier")
+    )
+    return _round_doubles(usage_by_period(t, TM.END_DATE))
+
+
+def q_backlog_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices from a table of their own."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    t = dict(TM.backlog_tables(LazyTables(spark, sf_dir)))
+    t["order_prices"] = t["orders"].select("oKey", (F.col("TotalPrice") + F.lit(10.0)).alias("TotalPrice"))
+    t["orders"] = t["orders"].drop("TotalPrice")
+    return _round_doubles(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END))
+
+
 def q_label_display_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ISNULL(shortcut description, overall part description)."""
+    """The shortcut's description, else the part's."""
+    from shopfloor.functions.columns import display_description
+
     t = TM.label_tables(LazyTables(spark, sf_dir))
     sc = t["shortcuts"].select("odKey", "ShortcutDesc")
     df = t["label_parts"].select("odKey", "OverallPartDesc").join(sc, "odKey", "left")
-    return df.select("odKey", F.coalesce("ShortcutDesc", "OverallPartDesc").alias("DisplayDesc")).distinct()
+    return df.select("odKey", display_description().alias("DisplayDesc")).distinct()
 
 
 def q_backlog_subtotal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: Subtotal only where no invoice amount exists, every order."""
+    from shopfloor.functions.columns import uninvoiced
+
     t = TM.backlog_tables(LazyTables(spark, sf_dir))
-    facts = t["order_facts"].select("oKey", "InvoiceAmount", F.col("Subtotal").alias("__sub"))
-    df = t["orders"].select("oKey").join(facts, "oKey", "left")
-    return _round_doubles(
-        df.select("oKey", "InvoiceAmount", F.when(F.col("InvoiceAmount").isNull(), F.col("__sub")).alias("Subtotal"))
-    )
+    df = t["orders"].select("oKey").join(t["order_facts"].select("oKey", "InvoiceAmount", "Subtotal"), "oKey", "left")
+    return _round_doubles(df.select("oKey", "InvoiceAmount", uninvoiced("Subtotal").alias("Subtotal")))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -369,6 +409,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_layer_flags": q_edge_layer_flags,
     "edge_token_totals": q_edge_token_totals,
     "label_key_set": q_label_key_set,
+    "labels_one_session": q_labels_one_session,
+    "so_quantity_one_part": q_so_quantity_one_part,
+    "usage_subsecond_end": q_usage_subsecond_end,
+    "usage_setting_multiplier": q_usage_setting_multiplier,
+    "backlog_price_table": q_backlog_price_table,
     "label_display_desc": q_label_display_desc,
     "backlog_subtotal_fallback": q_backlog_subtotal_fallback,
 }
@@ -401,6 +446,14 @@ _ORACLE: dict[str, str] = {
     "edge_layer_flags": SQ.edge_layer_flags_sql(),
     "edge_token_totals": SQ.edge_token_totals_sql(),
     "label_key_set": SQ.label_key_set_sql(),
+    "labels_one_session": SQ.labels_sql(session=TM.SESSION),
+    "so_quantity_one_part": SQ.demand_sql(part=TM.PART, suffix=TM.SUFFIXES[0], location="MAIN"),
+    "usage_subsecond_end": SQ.usage_sql(
+        end="TIMESTAMP '2001-07-31 00:00:00.5'",
+        when="InvTransDate + to_milliseconds(InvTransID % 1000)",
+    ),
+    "usage_setting_multiplier": SQ.usage_sql(system_method=1, multiplier="if(CategoryID <= 3, 2.0::DOUBLE, 0.5::DOUBLE)"),
+    "backlog_price_table": SQ.backlog_sql("1998-01-01", "2000-12-31", price="(TotalPrice + 10.0::DOUBLE)"),
     "label_display_desc": SQ.label_display_desc_sql(),
     "backlog_subtotal_fallback": SQ.backlog_subtotal_fallback_sql(),
 }
@@ -411,6 +464,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return q_usage_by_period(spark, SMOKE_DIR)
 
 
+def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` with this folder on the import path of the Python workers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment, here = spark.sparkContext.environment, os.path.dirname(os.path.abspath(__file__))
+        paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+        if here not in paths:
+            environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+        return query(spark, sf_dir)
+
+    return run
+
+
 # --------------------------------------------- training-text operators
 # Present only where their subpackage is; nothing else in the library needs it.
 try:
@@ -420,7 +486,7 @@ try:
 except ImportError:
     pass
 else:
-    _QUERIES.update(_llm_queries.QUERIES, pipeline=corpus_pipeline.run)
+    _QUERIES.update({k: _importable(q) for k, q in {**_llm_queries.QUERIES, "pipeline": corpus_pipeline.run}.items()})
     _ORACLE.update(_llm_oracle.ORACLE)
     if corpus_pipeline.ORACLE_SQL:
         _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,5 @@
 from shopfloor.functions.columns import (
     ack_label,
-    days_before,
     format_employee,
     format_part,
     identity_text,
@@ -21,7 +20,6 @@ from shopfloor.functions.text import (
 
 __all__ = [
     "ack_label",
-    "days_before",
     "drop_leading",
     "format_employee",
     "format_part",

@@ -91,6 +91,16 @@ def ack_label(ack_date: str | Column) -> Column:
     return F.when(col_(ack_date).isNotNull(), F.lit(ACKNOWLEDGED)).otherwise(F.lit(UNACKNOWLEDGED))
 
 
+def display_description(shortcut: str | Column = "ShortcutDesc", part: str | Column = "OverallPartDesc") -> Column:
+    """The shortcut's description, else the part's own."""
+    return F.coalesce(col_(shortcut), col_(part))
+
+
+def uninvoiced(amount: str | Column, invoiced: str | Column = "InvoiceAmount") -> Column:
+    """C4: the amount of an order that has no invoiced amount, else NULL."""
+    return F.when(col_(invoiced).isNull(), col_(amount))
+
+
 def is_open_closed_date(closed: str | Column) -> Column:
     """F9 / §1.3(2): the T-SQL test ``ClosedDate = ''`` on a datetime column
     is true exactly for the 1900-01-01 sentinel; NULL stays NULL (not open)."""
@@ -100,8 +110,3 @@ def is_open_closed_date(closed: str | Column) -> Column:
 def month_name(ts: str | Column) -> Column:
     """Full English month name (DATENAME(m, ...))."""
     return F.date_format(col_(ts), "MMMM")
-
-
-def days_before(ts: str | Column, days: int) -> Column:
-    """DATEADD(day, -days, ts) keeping the time of day."""
-    return col_(ts) - F.make_dt_interval(F.lit(days))

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 def without_relation(
     orders: DataFrame, relations: DataFrame, relation_type: int, key: str = "oKey", child: str = "ChildoKey"
 ) -> DataFrame:
-    """``NOT EXISTS (SELECT 1 FROM relations WHERE child = key AND
-    RelationType = t)`` as a left anti join (no distinct needed: anti joins
-    ignore duplicate matches)."""
+    """Orders that are no child of a relation of the given type, as a left
+    anti join (duplicate matches do not matter to it)."""
     rel = relations.filter(F.col("RelationType") == relation_type).select(F.col(child).alias(key))
     return orders.join(rel, key, "left_anti")
 
@@ -35,14 +34,23 @@ def open_order_multiplicity(
 
 
 def line_counts(details: DataFrame, key: str = "oKey", excluded_item_type: int = 5) -> DataFrame:
-    """A1 + J5: ``COUNT(od.odKey)`` of ``LEFT JOIN OrderDetail od ON
-    od.oKey = o.oKey AND od.ItemType <> 5 AND od.AlternativeODKey IS NULL``,
-    pre-aggregated per order before the join (A7 rewrite).  NULL item types
-    fail ``<> 5`` and are not counted, as in SQL."""
+    """A1 + J5: lines per order, without alternatives, without lines of the
+    excluded type and without lines of no type; aggregated before the join."""
     kept = details.filter((F.col("ItemType") != excluded_item_type) & F.col("AlternativeODKey").isNull())
     return kept.groupBy(key).agg(F.count("odKey").alias("__lines"))
 
 
+def left_join_known(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """A left join on a key that may be NULL for very many rows: a NULL key
+    meets nothing, so its rows get a key of their own (their number in the
+    partition) and are dealt over all partitions instead of into one."""
+    spread = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    left = df.withColumn("__spread", spread)
+    right = side.withColumn("__none", F.lit(None).cast("long"))
+    keys = (left[key].eqNullSafe(right[key])) & (left["__spread"].eqNullSafe(right["__none"]))
+    return left.join(right.filter(F.col(key).isNotNull()), keys, "left").drop(right[key]).drop("__spread", "__none")
+
+
 def flag_by_keys(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
     """``UPDATE ... SET flag = 1 FROM df JOIN keys`` — 1 when the row's
     keys occur in ``keys_df``, else 0 (duplicates in ``keys_df`` do not
@@ -66,8 +74,8 @@ def attribute_values(
     out: str,
     name_col: str = "ParamText",
 ) -> DataFrame:
-    """``LEFT JOIN eav a ON a.keys = df.keys AND a.ParamText =
-    name`` with ``ISNULL(a.value, '')`` as ``out``.
+    """The value of the attribute ``name`` as ``out``, an empty
+    text where the row has none.
 
     The EAV side is reduced to its distinct (keys, value) rows first (a hash
     aggregation, no collection): under the report's DISTINCT this yields the

@@ -4,15 +4,13 @@ range (and per distinct target ship date of its open-order rows).
 Plan:
 
 1. orders: type list and half-open date range pushed into the scan;
-2. ``NOT EXISTS`` relation of type 2 -> left anti join on oKey;
-3. line count pre-aggregated per order (partial aggregation absorbs hot
-   orders), prices and the per-order facts of the report's elided CTEs as
-   left joins on oKey — back to back, so one partitioning of the orders
-   side serves the anti join and all three;
-4. ``IN (open orders)`` + left join to open orders -> one inner join to
-   open orders grouped by (OrderNumber, TargetShipDate) with a row count;
-   the line count is multiplied by it (T10);
-5. dimension lookups (order types, customer, project, employees).
+2. open orders: one inner join to open orders grouped by (OrderNumber,
+   TargetShipDate) with a row count; the line count is multiplied by it (T10);
+3. a relation of type 2 excludes an order: left anti join on oKey;
+4. line counts of the orders that are left, prices and the per-order facts as
+   left joins on oKey;
+5. dimension lookups (order types, customer, project, employees); orders
+   without a project or employee stay off the shuffle.
 
 The report's 27-column GROUP BY collapses to the (order, target date) grain
 because every other grouped column is a lookup by a unique key; the
@@ -28,35 +26,26 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.functions.columns import format_employee, identity_text, month_name, signed_price, status_name
+from shopfloor.functions.columns import format_employee, identity_text, month_name, signed_price, status_name, uninvoiced
 from shopfloor.operators.filters import half_open_days, in_list
-from shopfloor.operators.joins import line_counts, open_order_multiplicity, without_relation
+from shopfloor.operators.joins import left_join_known, line_counts, open_order_multiplicity, without_relation
 
 # Fixed values of the report.
 BACKLOG_ORDER_TYPES = (1, 3)
 EXCLUDED_RELATION_TYPE = 2
 
 FACT_COLUMNS = [
-    ("IncQuantity", "TotalIncQuantity"),
-    ("Status", "CurrentStatus"),  # the report's second 'Status' column (P1)
-    ("InvoiceAmount", "InvoiceAmount"),
-    ("Subtotal", "__subtotal"),
-    ("TotalDimensions", "TotalDimensions"),
-    ("QtyTotal", "QtyTotal"),
-    ("ItemTotal", "ItemTotal"),
-    ("OrderWeight", "OrderWeight"),
-    ("DecimalPlaces", "DecimalPlaces"),
-    ("CultureInfo", "CultureInfo"),
-    ("UOM", "UOM"),
-]
-
-OUTPUT_COLUMNS = [
-    "oKey", "OrderNumber", "year", "monthshort", "month", "Date", "ShipDate", "Status",
-    "TargetShipDate", "statusName", "OrderType", "Name", "SiteName", "CustomerRef", "PONumber",
-    "OrderContact", "TotalPrice", "TaxAmount", "ActualPrice", "LineItems", "EmployeeName",
-    "SalesPersonName", "Notes", "Terms", "ProjectName", "CompleteDate",
-    "TotalIncQuantity", "CurrentStatus", "InvoiceAmount", "Subtotal", "TotalDimensions", "QtyTotal",
-    "ItemTotal", "OrderWeight", "DecimalPlaces", "CultureInfo", "UOM",
+    ("IncQuantity", "TotalIncQuantity", "double"),
+    ("Status", "CurrentStatus", "string"),  # the report's second 'Status' column (P1)
+    ("InvoiceAmount", "InvoiceAmount", "double"),
+    ("Subtotal", "__subtotal", "double"),
+    ("TotalDimensions", "TotalDimensions", "double"),
+    ("QtyTotal", "QtyTotal", "double"),
+    ("ItemTotal", "ItemTotal", "long"),
+    ("OrderWeight", "OrderWeight", "double"),
+    ("DecimalPlaces", "DecimalPlaces", "int"),
+    ("CultureInfo", "CultureInfo", "string"),
+    ("UOM", "UOM", "string"),
 ]
 
 
@@ -65,7 +54,7 @@ def _facts(frames: Sequence[DataFrame]) -> list[DataFrame]:
     present = set()
     for frame in frames:
         cols = [F.col("oKey")]
-        for src, dst in FACT_COLUMNS:
+        for src, dst, _ in FACT_COLUMNS:
             if src in frame.columns and dst not in present:
                 cols.append(F.col(src).alias(dst))
                 present.add(dst)
@@ -105,18 +94,20 @@ def backlog_snapshot(
     )
     # oKey joins back to back (anti join, line counts, prices, per-order
     # facts): one partitioning of the orders side serves all of them.
+    orders = open_order_multiplicity(orders, tables["orders_open"])
     orders = without_relation(orders, tables["order_relations"], EXCLUDED_RELATION_TYPE)
-    df = orders.join(line_counts(tables["order_detail"]), "oKey", "left")
+    # lines are counted only for the orders that are left
+    details = tables["order_detail"].join(orders.select("oKey"), "oKey", "left_semi")
+    df = orders.join(line_counts(details), "oKey", "left")
     if not price_in_orders:
         df = df.join(tables["order_prices"].select("oKey", "TotalPrice"), "oKey", "left")
     facts = tables.get("order_facts")
     if facts is not None:
         for frame in _facts(facts if isinstance(facts, (list, tuple)) else [facts]):
             df = df.join(frame, "oKey", "left")
-    for _, dst in FACT_COLUMNS:
+    for _, dst, kind in FACT_COLUMNS:
         if dst not in df.columns:
-            df = df.withColumn(dst, F.lit(None))
-    df = open_order_multiplicity(df, tables["orders_open"])
+            df = df.withColumn(dst, F.lit(None).cast(kind))
 
     types = tables["order_types"].select("OrderType", F.col("Description").alias("__type_desc"))
     cust = tables["customers"].select("CustomerID", "SiteID", "Name", "SiteName")
@@ -135,13 +126,9 @@ def backlog_snapshot(
         F.col("LastName").alias("__sp_last"),
         F.col("FirstName").alias("__sp_first"),
     )
-    df = (
-        df.join(types, "OrderType")
-        .join(cust, ["CustomerID", "SiteID"])
-        .join(project, "ProjectGUID", "left")
-        .join(entered, "EnteredBy", "left")
-        .join(sales, "SalesPersonID", "left")
-    )
+    df = df.join(types, "OrderType").join(cust, ["CustomerID", "SiteID"])
+    for side, key in ((project, "ProjectGUID"), (entered, "EnteredBy"), (sales, "SalesPersonID")):
+        df = left_join_known(df, side, key)
     if location is not None:
         # The WHERE on the right side turns the left join into an
         # inner join — orders without an entering employee disappear.
@@ -179,7 +166,7 @@ def backlog_snapshot(
         "TotalIncQuantity",
         "CurrentStatus",
         "InvoiceAmount",
-        F.when(F.col("InvoiceAmount").isNull(), F.col("__subtotal")).alias("Subtotal"),
+        uninvoiced("__subtotal").alias("Subtotal"),
         "TotalDimensions",
         "QtyTotal",
         "ItemTotal",

@@ -51,9 +51,8 @@ def _variant_ne_one(c):
     return ~_variant_eq_one(c)
 
 
-def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
-    """``attributes`` (item_id, name, value), ``group_codes`` (item_id,
-    group_name, code), ``options`` (item_id, option, group_name)."""
+def gated_items(attributes: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
+    """Steps 1 to 4: each item's attributes, ``gate``, ``layers`` and flags."""
     name, value = F.col("name"), F.col("value")
     attrs = (
         attributes.filter(name.isin(EW_ATTR, LITE_ATTR, ANNLAMI_ATTR, BUYOUT_ATTR, PREPOST_ATTR))
@@ -81,7 +80,13 @@ def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: Dat
     digit = F.col("glass_digit")
     gate = (F.coalesce(F.col("ew"), F.lit("")) != "") & F.coalesce(digit >= 0, F.lit(False))
     df = df.withColumn("gate", gate).withColumn("layers", F.when(F.col("gate"), digit))
-    df = with_layer_flags(df, "layers")
+    return with_layer_flags(df, "layers")
+
+
+def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
+    """``attributes`` (item_id, name, value), ``group_codes`` (item_id,
+    group_name, code), ``options`` (item_id, option, group_name)."""
+    df = gated_items(attributes, group_codes, options)
     cond = F.coalesce(F.col("post"), F.lit(False)) | (
         (_variant_eq_one(F.col("annlami")) | F.coalesce(F.col("ew").contains(PREPOST_TOKEN), F.lit(False)))
         & _variant_ne_one(F.col("buyout"))

@@ -16,12 +16,15 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test mapping.
 END_DATE = "2001-08-01 00:00:00"  # usage report end instant (last order date)
 BACKLOG_START = "1998-01-01"
 BACKLOG_END = "2000-12-31"
+SESSION = "S1"  # one of the label sessions
+PART = "P3"  # one of the parts
 SUFFIXES = ("0000", "0001")  # every part exists with two suffixes
 # (LocationID, CurrencyCulture, cost offset)
 LOCATIONS = (("MAIN", "en-US", 0.0), ("EAST", "en-CA", 10.0))
@@ -160,24 +163,46 @@ def master_parts(part: DataFrame) -> DataFrame:
     )
 
 
+def general_setup(raw: Mapping[str, DataFrame]) -> DataFrame:
+    """Settings (S7): a row for each nation, and among them the cost method."""
+    return raw["nation"].select(
+        F.when(F.col("n_nationkey") == 7, "CostingMethod").otherwise(F.concat(F.lit("Setting"), "n_nationkey")).alias("Parameter"),
+        F.when(F.col("n_nationkey") == 7, "1").otherwise(F.col("n_name")).alias("Value"),
+    )
+
+
 # ------------------------------------------------------------------- orders
 def _days(n: int) -> Column:
     return F.make_dt_interval(F.lit(n))
 
 
-def _odkey(order: str = "l_orderkey", line: str = "l_linenumber") -> Column:
-    return F.col(order) * 8 + F.col(line)
+#: Room for an order's line positions in a line key.
+LINE_ROOM = 256
+#: A total order of an order's lines, over every column the mapping uses, so
+#: that lines it cannot tell apart are equal.
+LINE_ORDER = (
+    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+)
+
+
+def keyed_lines(li: DataFrame) -> DataFrame:
+    """Lines with ``l_pos``, their position in the order from 1: line numbers
+    repeat within an order of the test tables, positions do not."""
+    return li.withColumn("l_pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).cast("long"))
+
+
+def _odkey() -> Column:
+    return F.expr(LINE_KEY)
 
 
 def _serial() -> Column:
-    return F.concat(
-        F.lit("SN"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
-    )
+    return F.concat(F.lit("SN"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_pos").cast("string"))
 
 
 def order_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Orders and order lines shared by the demand, backlog and label reports."""
-    o, li = raw["orders"], raw["lineitem"]
+    o, li = raw["orders"], keyed_lines(raw["lineitem"])
     status, prio, key, cust = (F.col(c) for c in ("o_orderstatus", "o_orderpriority", "o_orderkey", "o_custkey"))
     date = F.col("o_orderdate")
     orders = o.select(
@@ -224,7 +249,7 @@ def order_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         _odkey().alias("odKey"),
         F.col("l_orderkey").alias("oKey"),
         F.when(disc >= F.lit(0.09), 5).when(disc == 0, F.lit(None)).otherwise(4).cast("int").alias("ItemType"),
-        F.when(F.col("l_tax") == F.lit(0.08), F.col("l_orderkey") * 8).alias("AlternativeODKey"),
+        F.when(F.col("l_tax") == F.lit(0.08), F.col("l_orderkey") * LINE_ROOM).alias("AlternativeODKey"),
         _part_no("l_partkey").alias("PartNo"),
         _line_suffix().alias("PartNoSuffix"),
         F.col("l_shipdate").cast("date").alias("PlanDate"),
@@ -244,7 +269,7 @@ def _line_location() -> Column:
 
 def demand_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Contracts of the sales-order demand report (OP4)."""
-    li = raw["lineitem"]
+    li = keyed_lines(raw["lineitem"])
     flag = F.col("l_returnflag")
     view = li.filter(F.col("l_linestatus") == "O").select(
         _odkey().alias("odKey"),
@@ -344,17 +369,27 @@ def backlog_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 # The label fixture is wide (102 staged columns), so its derivation rules
 # are written once as SQL expressions over ``lineitem`` that both Spark
 # (``F.expr``) and DuckDB evaluate identically.
-LINE_KEY = "l_orderkey * 8 + l_linenumber"
+LINE_KEY = f"(l_orderkey * {LINE_ROOM} + l_pos)"
+FIRST_LINE_KEY = f"(l_orderkey * {LINE_ROOM} + 1)"
 LABEL_PARENT = "CAST((l_orderkey + l_linenumber) % 3 AS INT)"
 WORKFLOWS = (
     (1, "CUT, TEMP,EDG-PST,BOXING"),
     (2, "CUT,EDG-PST, CUT"),
-    (3, "TEMP, SLKSCREEN ,BOXING"),
-    (4, "HTSOAK,DRL-PST"),
-    (6, "CUTTING,,BOXING-QC"),
-    (7, "BOXING"),
+    (3, "TEMP, SLKSCREEN ,BOXING,BO-TEMP,BO-BEV-PST"),
+    (4, "HTSOAK,DRL-PST,BO-BEVEL,CMSSS"),
+    (6, "CUTTING,,BOXING-QC,SNDBLST"),
+    (7, "BOXING,MTR-PST,TDRL-PST,BP-PST,D-SNDBLST"),
 )  # line 5 has no work flow (NULL)
-WORK_CELLS = ((1, "CUTTING"), (2, "CUT"), (3, "TEMP"), (4, "BOXING-QC"), (5, "EDGE-POST"), (6, "SILKSCREEN"))
+WORK_CELLS = tuple(
+    enumerate(
+        (
+            "CUTTING", "CUT", "TEMP", "BOXING-QC", "EDGE-POST", "SILKSCREEN", "BUY OUT BEVEL", "CMS", "BUY OUT TEMP",
+            "HEATSOAK", "BUY OUT BEVEL-POST", "MITER-POST", "DRILL-POST", "TOPDRILL-POST", "BKPNT-POST", "SANDBLAST",
+            "DEEP SANDBLAST",
+        ),
+        1,
+    )
+)
 
 _LABEL_OVERRIDES = {
     "ReportID": "'L-GLASS'",
@@ -456,8 +491,7 @@ PLAN_EXPRS = [
     ("ParentKey", "CAST(l_linenumber % 3 AS INT)"),
     (
         "WorkCellID",
-        "CAST(CASE l_returnflag || l_linestatus WHEN 'AF' THEN 1 WHEN 'AO' THEN 2 WHEN 'NF' THEN 3 "
-        "WHEN 'NO' THEN 4 WHEN 'RF' THEN 5 ELSE 6 END AS INT)",
+        f"CAST((l_partkey + l_suppkey) % {len(WORK_CELLS)} + 1 AS INT)",
     ),
     ("PlanDate", "CAST(l_shipdate AS DATE)"),
 ]
@@ -475,7 +509,7 @@ def label_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     (OP6).  Plans of every line are attached to the line itself (open lines
     only) and to line 1 of its order, so first lines carry multi-stage
     routes and some finished lines have no plan at all (J15)."""
-    li = raw["lineitem"]
+    li = keyed_lines(raw["lineitem"])
     spark = li.sparkSession
     lites = _select_exprs(li, LITE_EXPRS).unionByName(
         _select_exprs(li.filter(F.expr(REMAKE_FILTER)), LITE_EXPRS, REMAKE_OVERRIDES)
@@ -486,8 +520,8 @@ def label_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     plan_keys = F.explode(
         F.when(
             F.col("l_linestatus") == "O",
-            F.array(F.expr(LINE_KEY), F.expr("l_orderkey * 8 + 1")),
-        ).otherwise(F.array(F.expr("l_orderkey * 8 + 1")))
+            F.array(F.expr(LINE_KEY), F.expr(FIRST_LINE_KEY)),
+        ).otherwise(F.array(F.expr(FIRST_LINE_KEY)))
     ).alias("odKey")
     plans = li.select(plan_keys, *[F.expr(e).alias(n) for n, e in PLAN_EXPRS])
     out = order_tables(raw)
@@ -505,7 +539,8 @@ def label_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 # --------------------------------------------------------------- edge work
-EDGE_LITE = "CASE WHEN {k} % 5 = 0 THEN '2' ELSE '1' END"
+EDGE_LINES = range(1, 8)
+EDGE_LITE = "CASE WHEN {k} % 5 = 0 THEN '2 B' ELSE '1' END"
 EDGE_CODE = (
     "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'EFGPO' WHEN 'AO' THEN 'EFP' WHEN 'NF' THEN 'EFPCN' "
     "WHEN 'NO' THEN 'ESEAM' WHEN 'RF' THEN 'EBEV' ELSE 'EFGPO2' END"
@@ -553,12 +588,10 @@ def _gap_lines(li: DataFrame) -> DataFrame:
 def edge_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Contracts of the edge-work calculation (OP5): item = order."""
     o, li = raw["orders"], raw["lineitem"]
-    tokens = li.select(
-        "l_orderkey", F.struct("l_linenumber", "l_quantity", F.expr(EDGE_TOKEN).alias("tok")).alias("t")
-    )
-    ew = tokens.groupBy(F.col("l_orderkey").alias("item_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda s: s["tok"]), ",").alias("value")
-    ).select("item_id", F.lit("EW-STRAIGHT").alias("name"), "value")
+    # one token a line number, in their order: a fixed number of slots
+    slots = [F.min(F.when(F.col("l_linenumber") == k, F.expr(EDGE_TOKEN))).alias(f"t{k}") for k in EDGE_LINES]
+    ew = li.groupBy(F.col("l_orderkey").alias("item_id")).agg(*slots)
+    ew = ew.select("item_id", F.lit("EW-STRAIGHT").alias("name"), F.concat_ws(",", *[f"t{k}" for k in EDGE_LINES]).alias("value"))
     attrs = ew
     for attr, expr, cond in ORDER_ATTRIBUTES:
         src = o.filter(F.expr(cond)) if cond else o

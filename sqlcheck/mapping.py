@@ -5,6 +5,8 @@ comma-separated list of ``name AS (...)`` CTE bodies that an oracle query
 prefixes with ``WITH``.
 """
 
+from shopfloor.sources import testmap as TM
+
 INVENTORY = """
 inventory_trans AS (
   SELECT o_orderkey AS InvTransID, o_orderdate AS InvTransDate,
@@ -44,7 +46,10 @@ categories(ID, Description) AS (
   VALUES (1, 'ECONOMY'), (2, 'LARGE'), (3, 'MEDIUM'), (4, 'PROMO'), (5, 'SMALL'), (6, 'STANDARD'))
 """
 
-ORDERS = """
+_LINES = f"""(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(TM.LINE_ORDER)}) AS l_pos FROM lineitem)"""
+_KEY = TM.LINE_KEY
+
+ORDERS = f"""
 orders_m AS (
   SELECT o_orderkey AS oKey, 'SO' || CAST(o_orderkey AS VARCHAR) AS OrderNumber,
          o_orderdate AS Date, o_orderdate + INTERVAL 30 DAY AS ShipDate,
@@ -75,17 +80,17 @@ orders_m AS (
          o_totalprice AS TotalPrice
   FROM orders),
 order_detail AS (
-  SELECT l_orderkey * 8 + l_linenumber AS odKey, l_orderkey AS oKey,
+  SELECT {_KEY} AS odKey, l_orderkey AS oKey,
          CAST(CASE WHEN l_discount >= 0.09 THEN 5 WHEN l_discount = 0 THEN NULL ELSE 4 END AS INTEGER) AS ItemType,
-         CASE WHEN l_tax = 0.08 THEN l_orderkey * 8 END AS AlternativeODKey,
+         CASE WHEN l_tax = 0.08 THEN l_orderkey * {TM.LINE_ROOM} END AS AlternativeODKey,
          'P' || CAST(l_partkey AS VARCHAR) AS PartNo,
          CASE WHEN l_linestatus = 'O' THEN '0000' ELSE '0001' END AS PartNoSuffix,
          CAST(l_shipdate AS DATE) AS PlanDate, l_linenumber AS LineItem,
          CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS SubLineItem,
-         'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS SerialNumber,
+         'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_pos AS VARCHAR) AS SerialNumber,
          'line ' || CAST(l_linenumber AS VARCHAR) AS Comment,
          'LREF' || CAST(l_partkey AS VARCHAR) AS CustomerRef
-  FROM lineitem)
+  FROM {_LINES} AS lines)
 """
 
 PART_SFX = """
@@ -97,29 +102,29 @@ master_part_list AS (
   FROM part_sfx)
 """
 
-DEMAND = """
+DEMAND = f"""
 iodq AS (
-  SELECT l_orderkey * 8 + l_linenumber AS odKey, 'P' || CAST(l_partkey AS VARCHAR) AS PartNo,
+  SELECT {_KEY} AS odKey, 'P' || CAST(l_partkey AS VARCHAR) AS PartNo,
          CASE WHEN l_linestatus = 'O' THEN '0000' ELSE '0001' END AS PartNoSuffix,
          CASE WHEN l_suppkey % 2 = 0 THEN 'MAIN' ELSE 'EAST' END AS LocationID,
          CASE WHEN l_returnflag = 'N' THEN l_quantity WHEN l_returnflag = 'A' THEN l_quantity - 25 END
            AS QuantityOnSalesOrder
-  FROM lineitem WHERE l_linestatus = 'O'),
+  FROM {_LINES} AS lines WHERE l_linestatus = 'O'),
 ids_m AS (
-  SELECT 'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS SerialNumber,
+  SELECT 'SN' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_pos AS VARCHAR) AS SerialNumber,
          'G' || CAST(l_suppkey AS VARCHAR) || '-0000' AS IssuePartGUID,
          CASE WHEN l_returnflag = 'R' THEN 'G' || CAST(l_partkey AS VARCHAR) || '-0001' END
            AS SecondaryIssuePartGUID,
          l_quantity AS IssuePartQty,
          CAST(CASE WHEN l_tax < 0.06 THEN 1 ELSE 0 END AS INTEGER) AS Status,
          CASE WHEN l_suppkey % 2 = 0 THEN 'MAIN' ELSE 'EAST' END AS LocationID
-  FROM lineitem),
+  FROM {_LINES} AS lines),
 ir_m AS (
-  SELECT l_orderkey * 8 + l_linenumber AS odKey,
+  SELECT {_KEY} AS odKey,
          CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE CAST(floor(l_quantity / 2) AS DOUBLE) END
            AS CompleteQty,
          l_quantity AS TotalQty
-  FROM lineitem)
+  FROM {_LINES} AS lines)
 """
 
 BACKLOG = """
@@ -157,35 +162,32 @@ def _sel(exprs, overrides=None) -> str:
 
 
 def labels() -> str:
-    from shopfloor.sources import testmap as TM
-
     cells = ", ".join(f"({i}, '{d}')" for i, d in TM.WORK_CELLS)
     return f"""
-label_parts AS (SELECT {_sel(TM.label_part_exprs())} FROM lineitem),
+label_parts AS (SELECT {_sel(TM.label_part_exprs())} FROM {_LINES} AS lines),
 opti_report_lites AS (
-  SELECT {_sel(TM.LITE_EXPRS)} FROM lineitem
+  SELECT {_sel(TM.LITE_EXPRS)} FROM {_LINES} AS lines
   UNION ALL
-  SELECT {_sel(TM.LITE_EXPRS, TM.REMAKE_OVERRIDES)} FROM lineitem WHERE {TM.REMAKE_FILTER}),
+  SELECT {_sel(TM.LITE_EXPRS, TM.REMAKE_OVERRIDES)} FROM {_LINES} AS lines WHERE {TM.REMAKE_FILTER}),
 order_detail_attributes AS (
-  SELECT {_sel(TM.ATTRIBUTE_EXPRS)} FROM lineitem
+  SELECT {_sel(TM.ATTRIBUTE_EXPRS)} FROM {_LINES} AS lines
   UNION ALL
-  SELECT {_sel(TM.ATTRIBUTE_EXPRS, TM.EXTRA_ATTRIBUTE_OVERRIDES)} FROM lineitem
+  SELECT {_sel(TM.ATTRIBUTE_EXPRS, TM.EXTRA_ATTRIBUTE_OVERRIDES)} FROM {_LINES} AS lines
   WHERE {TM.EXTRA_ATTRIBUTE_FILTER}),
 order_detail_plans AS (
-  SELECT unnest(CASE WHEN l_linestatus = 'O' THEN [{TM.LINE_KEY}, l_orderkey * 8 + 1]
-                     ELSE [l_orderkey * 8 + 1] END) AS odKey,
+  SELECT unnest(CASE WHEN l_linestatus = 'O' THEN [{TM.LINE_KEY}, {TM.FIRST_LINE_KEY[1:-1]}]
+                     ELSE [{TM.FIRST_LINE_KEY[1:-1]}] END) AS odKey,
          {_sel(TM.PLAN_EXPRS)}
-  FROM lineitem),
+  FROM {_LINES} AS lines),
 work_cells(ID, Description) AS (VALUES {cells}),
-shortcuts AS (SELECT {_sel(TM.SHORTCUT_EXPRS)} FROM lineitem WHERE {TM.SHORTCUT_FILTER})
+shortcuts AS (SELECT {_sel(TM.SHORTCUT_EXPRS)} FROM {_LINES} AS lines WHERE {TM.SHORTCUT_FILTER})
 """
 
 
 def edge() -> str:
-    from shopfloor.sources import testmap as TM
-
     lite_o = TM.EDGE_LITE.format(k="o_orderkey")
     lite_l = TM.EDGE_LITE.format(k="l_orderkey")
+    slots = ", ".join(f"min(CASE WHEN l_linenumber = {k} THEN {TM.EDGE_TOKEN} END)" for k in TM.EDGE_LINES)
     attr_selects = []
     for attr, expr, cond in TM.ORDER_ATTRIBUTES:
         where = f" WHERE {cond}" if cond else ""
@@ -201,7 +203,7 @@ gap_lines AS (
   FROM lineitem GROUP BY l_orderkey, l_linenumber),
 item_attributes AS (
   SELECT l_orderkey AS item_id, 'EW-STRAIGHT' AS name,
-         string_agg({TM.EDGE_TOKEN}, ',' ORDER BY l_linenumber, l_quantity, {TM.EDGE_TOKEN}) AS value
+         concat_ws(',', {slots}) AS value
   FROM lineitem GROUP BY l_orderkey
   UNION ALL {' UNION ALL '.join(attr_selects)}),
 item_group_codes AS (
