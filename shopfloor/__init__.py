@@ -15,7 +15,6 @@ plans/      The report-level operators (usage, demand, backlog, labels,
             plan-date workflow, post-edge lineal).
 sources/    Input contracts (schemas), table loading, and the mapping from the
             driver's TPC-H-shaped test tables to the ERP input contracts.
-streaming/  Intentionally empty: the reference has no streaming semantics.
 """
 
 _EXPORTS = {

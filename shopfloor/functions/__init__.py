@@ -11,7 +11,6 @@ from shopfloor.functions.columns import (
     unit_cost,
 )
 from shopfloor.functions.text import (
-    drop_leading,
     mmdd,
     parse_int_list,
     render_stage,
@@ -20,7 +19,6 @@ from shopfloor.functions.text import (
 
 __all__ = [
     "ack_label",
-    "drop_leading",
     "format_employee",
     "format_part",
     "identity_text",

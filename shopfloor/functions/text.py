@@ -16,27 +16,21 @@ def parse_int_list(text: str | None, sep: str = ",") -> list[int] | None:
     """``'279, 311, 75'`` -> ``[279, 311, 75]``.
 
     Surrounding blanks are tolerated like the XML ``.value('.', 'INT')``
-    conversion does; empty tokens are skipped; duplicates are removed (the
-    reports only use the list for membership, J16).  ``None`` stays ``None``.
+    conversion does; duplicates are removed (the reports only use the list
+    for membership, J16).  An empty token is the number 0, as an empty text
+    converted to a number is in T-SQL; an empty list text is one such token.  ``None`` stays ``None``.
     """
     if text is None:
         return None
     out: list[int] = []
     for token in text.split(sep):
         token = token.strip()
-        if not token:
-            continue
-        value = int(token)  # non-numeric input is an error, as in T-SQL
+        value = int(token) if token else 0  # non-numeric input is an error, as in T-SQL
         if value not in out:
             out.append(value)
     return out
 
 
-def int_list(c: str | Column, sep: str = ",") -> Column:
-    """Column form of :func:`parse_int_list` (NULL for non-numeric tokens)."""
-    return F.transform(F.split(col_(c), sep), lambda t: F.trim(t).try_cast("int"))
-
-
 def trimmed_items(c: str | Column, sep: str = ",") -> Column:
     """Split a delimited string and trim blanks of every item.
 
@@ -54,13 +48,6 @@ def mmdd(d: str | Column) -> Column:
     return F.concat(two(F.month(c)), F.lit("-"), two(F.dayofmonth(c)))
 
 
-def drop_leading(c: str | Column, n: int) -> Column:
-    """C11: STUFF(x, 1, n, '') — delete the first ``n`` characters.
-
-    NULL stays NULL (STUFF of NULL is NULL)."""
-    return F.substring(col_(c), n + 1, 2**31 - 1)
-
-
 def render_stage(item: str | Column, sorted_dates: str | Column) -> Column:
     """One stage of the route string: ``ITEM ( d1 & d2)``.
 

@@ -33,23 +33,6 @@ from shopfloor.operators.filters import equal_or_self, in_list
 from shopfloor.operators.lookback import look_back_final, look_back_partials
 from shopfloor.operators.settings import setting
 
-OUTPUT_COLUMNS = [
-    "Part",
-    "Description",
-    "InvCategory",
-    "30 Days Quantity",
-    "30 Days Total Cost",
-    "60 Days Quantity",
-    "60 Days Total Cost",
-    "90 Days Quantity",
-    "90 Days Total Cost",
-    "CurrentCost",
-    "StockUOM",
-    "CostingCultureInfo",
-    "CostUOM",
-    "CategoryID",
-]
-
 COSTING_METHOD_SETTING = "CostingMethod"
 
 
@@ -91,6 +74,10 @@ def usage_by_period(
         .filter(F.col("QuantityOnHandAdj") != 0)
         .select("InvTransID", "PartNo", "PartNoSuffix", (-F.col("QuantityOnHandAdj")).alias("Quantity"))
     )
+    if categories is not None:
+        # only movements of the chosen categories' parts meet the transactions
+        chosen = in_list(tables["inventory"], "CategoryID", categories).select("PartNo", "PartNoSuffix")
+        lines = lines.join(chosen, ["PartNo", "PartNoSuffix"], "left_semi")
     fact = lines.join(trans, "InvTransID")
     fine_keys = ["PartNo", "PartNoSuffix", "LocationID"]
     partial = look_back_partials(fact, fine_keys, "InvTransDate", ["Quantity"], end, days)
@@ -111,17 +98,11 @@ def usage_by_period(
     )
 
     # The partial result is hash-partitioned on the fine keys, so the cost
-    # join on the same keys needs no new exchange of the fact side; the two
-    # (PartNo, PartNoSuffix) joins then share one partitioning.  Locations,
-    # cultures and categories are code tables (broadcast when small).
-    joined = (
-        partial.join(costs, fine_keys)
-        .join(inv, ["PartNo", "PartNoSuffix"])
-        .join(parts, ["PartNo", "PartNoSuffix"])
-        .join(locs, "LocationID")
-        .join(cultures, "CurrencyCulture")
-        .join(cats, "CategoryID")
-    )
+    # join on the same keys needs no new exchange of the fact side.
+    # The code tables meet the small sides they describe, not the fact.
+    stocked = inv.join(cats, "CategoryID").join(parts, ["PartNo", "PartNoSuffix"])
+    priced = costs.join(locs.join(cultures, "CurrencyCulture"), "LocationID")
+    joined = partial.join(priced, fine_keys).join(stocked, ["PartNo", "PartNoSuffix"])
     multipliers = tables.get("part_multipliers")
     if multipliers is not None:
         joined = joined.join(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # Settings every plan in this package relies on.  AQE re-plans joins from
@@ -45,41 +43,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only when the session names none (local tests) is ``fallback`` installed.
-    No operator in this package currently needs to cut lineage: every plan
-    is a short DAG of scans, joins and aggregations that Spark recomputes
-    from shuffle files when an executor is lost.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback:
-        os.makedirs(fallback, exist_ok=True)
-        spark.sparkContext.setCheckpointDir(fallback)
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        return fallback
-    return None
-
-
-# Starting points for a large cluster (hundreds of executors, ~100 TB of
-# input).  Shuffle partitions are an upper bound that AQE coalesces down to
-# the advisory size; skewed partitions (a hot order, part or item holding a
-# large share of the rows) are split by AQE's skew-join handling; broadcast
-# stays governed by Spark's size threshold (static statistics and runtime
-# statistics), never forced for data-dependent sides.
-CLUSTER_CONF = {
-    **BASE_CONF,
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
-}

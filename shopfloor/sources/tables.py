@@ -38,18 +38,6 @@ class LazyTables(Mapping):
         return len(self._names)
 
 
-def read_parquet_tables(
-    spark: SparkSession, root: str, schemas: Mapping[str, StructType] | None = None
-) -> dict[str, DataFrame]:
-    """Open ``<root>/<name>.parquet`` for each contract table, with an explicit
-    schema when one is given (no inference on large inputs)."""
-    out = {}
-    for name, schema in (schemas or {}).items():
-        reader = spark.read.schema(schema) if schema is not None else spark.read
-        out[name] = reader.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    return out
-
-
 def catalog_tables(spark: SparkSession, names: Mapping[str, str]) -> dict[str, DataFrame]:
     """Contract name -> ``catalog.schema.table`` (S8: cross-database names)."""
     return {contract: spark.table(qualified) for contract, qualified in names.items()}

@@ -10,10 +10,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from shopfloor.session import build_session, checkpoint_dir
+    from shopfloor.session import build_session
 
-    s = build_session(app="shopfloor-tests", master="local[4]", shuffle_partitions=8)
-    checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="shopfloor-ckpt-"))
+    s = build_session(app="shopfloor-tests", master="local[4]", shuffle_partitions=8,
+                      extra={"spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="shopfloor-ckpt-")})
     yield s
 
 

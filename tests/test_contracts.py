@@ -41,3 +41,26 @@ def test_backlog_price_table_and_facts(spark):
     assert out[1]["Subtotal"] == 99.0  # no invoice -> subtotal (C4)
     assert out[2]["Subtotal"] is None and out[2]["InvoiceAmount"] == 5.0
     assert out[1]["UOM"] is None  # absent fact columns are NULL
+
+
+def _final_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_without_broadcast(spark):
+    """Plan shapes for sides too big to broadcast."""
+    from shopfloor.plans.demand import so_quantity_detail
+    from shopfloor.plans.labels import work_cell_labels
+    from shopfloor.sources import testmap as TM
+    from shopfloor.sources.tables import LazyTables
+
+    raw = LazyTables(spark, "/root/testdata/sf0.001")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = _final_plan(work_cell_labels(TM.label_tables(raw), session=TM.SESSION))
+        assert labels.count("FileScan") <= 15 and labels.count("Exchange hashpartitioning") <= 32
+        demand = _final_plan(so_quantity_detail(TM.demand_tables(raw), part=TM.PART, suffix="0000", location="MAIN"))
+        assert "NestedLoop" not in labels + demand and "Cartesian" not in labels + demand
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

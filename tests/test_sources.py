@@ -1,8 +1,8 @@
 from pyspark.sql import types as T
 
 from shopfloor.operators.settings import setting
-from shopfloor.session import CLUSTER_CONF, checkpoint_dir
 from shopfloor.sources.schemas import LABEL_PART_COLUMNS, LABEL_PASS_THROUGH, conform
+from shopfloor.sources.tables import catalog_tables
 
 
 def test_setting_lookup_with_default(spark):
@@ -12,12 +12,6 @@ def test_setting_lookup_with_default(spark):
     assert setting(gs, "Missing") is None
 
 
-def test_checkpoint_dir_prefers_session_setting(spark):
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    assert current  # set by the test fixture only because it was unset
-    assert checkpoint_dir(spark, fallback="/tmp/never-used") == current
-
-
 def test_conform_casts_and_fills(spark):
     df = spark.createDataFrame([(1, "a")], "odKey int, Extra string")
     schema = T.StructType([T.StructField("odKey", T.LongType()), T.StructField("Missing", T.StringType())])
@@ -29,4 +23,26 @@ def test_conform_casts_and_fills(spark):
 def test_label_contract_shape():
     assert len(LABEL_PART_COLUMNS) == 104
     assert len(LABEL_PASS_THROUGH) == 102
-    assert CLUSTER_CONF["spark.sql.adaptive.enabled"] == "true"
+
+
+def test_tables_by_qualified_name(spark):
+    spark.createDataFrame([(1,)], "oKey long").createOrReplaceTempView("erp_orders")
+    assert catalog_tables(spark, {"orders": "erp_orders"})["orders"].collect() == [(1,)]
+
+
+def test_line_keys_are_unique(spark):
+    from shopfloor.sources import testmap as TM
+    from shopfloor.sources.tables import LazyTables
+
+    lines = TM.order_tables(LazyTables(spark, "/root/testdata/sf0.001"))["order_detail"]
+    n = lines.count()
+    assert lines.select("odKey").distinct().count() == lines.select("SerialNumber").distinct().count() == n
+
+
+def test_dimension_keys_are_unique(spark):
+    from shopfloor.sources import testmap as TM
+    from shopfloor.sources.tables import LazyTables
+
+    t = TM.backlog_tables(LazyTables(spark, "/root/testdata/sf0.001"))
+    for name, keys in (("order_types", ["OrderType"]), ("customers", ["CustomerID", "SiteID"]), ("customers", ["CustomerGUID"]), ("employees", ["EmployeeID"])):
+        assert t[name].select(*keys).distinct().count() == t[name].count()
