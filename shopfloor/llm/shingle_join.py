@@ -14,9 +14,11 @@ their symmetric difference, and what remains is verified on the sets.
 Equal sets are one vertex, so copies are never paired.  A word that only a few
 sets share gives their pairs; one that many share goes through ``_span``: in
 blocks, pairs within the Hamming bound are taken only between sets that the
-pairs taken so far do not connect.  If a taken pair fails verification, its
-words are gone through again without it, until none fails: every component is
-exact, though not every link is listed.
+pairs taken so far do not connect.  If a taken pair fails verification and
+nothing else connects the two, its word is gone through again from the
+components found, taking more pairs between two groups each time, until no
+group is taken for connected that is not: every component is exact, though
+not every link is listed.
 
 Nothing is dropped or capped; the driver sees counts only.
 
@@ -33,7 +35,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -308,58 +309,114 @@ def _hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
 
 
-def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
-    """(k, a, b): pairs of set keys to verify for words that many sets share.  A word's sets are dealt to blocks by their hash, and each pair of
-    blocks is gone through by itself."""
+def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame | None, percent: int, reach: int) -> DataFrame:
+    """(k, a, b, open): pairs of set keys to verify for words that many sets
+    share (``members``: k, a and the group the set is known to belong to).
+
+    A word's sets are dealt to blocks by their hash, and each pair of blocks is
+    gone through by itself.  Two groups are taken for connected after ``reach``
+    pairs between them, which are then ``open``; else all pairs between them
+    that are within the bound and not in ``failed`` (k, a, b) are there."""
     per = members.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(per, "k").withColumn("i", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "k", "a", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("low")
+        "k", "a", "group", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("low")
     )
     sk = sketches.select(F.col("h1").alias("a"), "n", "own", "sketch", "above")
-    rows = dealt.join(sk, "a").select("k", "lo", "hi", "low", "a", "n", "own", "sketch", "above")
-    bad = (failed if failed is not None else rows.sparkSession.createDataFrame([], "k long, a long, b long")).select("k", "a", "b")
+    rows = dealt.join(sk, "a").select("k", "lo", "hi", "a", F.lit(None).cast("long").alias("b"), "group", "low", "n", "own", "sketch", "above")
+    if failed is not None:
+        # a word's failed pairs go to each of its blocks' pairs; there are few
+        blocks = per.select(F.col("k").alias("w"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "blocks")
+        blocks = blocks.select("w", F.col("i").alias("x"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("y"))
+        out = failed.join(blocks, failed["k"] == blocks["w"]).select("k", F.col("x").alias("lo"), F.col("y").alias("hi"), "a", "b")
+        rows = rows.unionByName(out, allowMissingColumns=True)
+    schema = "k long, a long, b long, open boolean"
 
-    def go(key, own: pd.DataFrame, out: pd.DataFrame) -> pd.DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = bands_for(percent)
-        own = own.drop_duplicates("a").sort_values("a")
-        reps, size = own["a"].to_numpy(), own["n"].to_numpy()
-        low = own["low"].to_numpy()
-        cross = key[1] != key[2]  # within one block all pairs, else those across
-        found: list[tuple[int, int]] = []
-        # all sketches of a word are for the same join band: that of the
-        # larger sizes, or the only one
-        top = int(own["own"].max()) if len(own) else 0
-        words = [s if o == top else a for o, s, a in zip(own["own"], own["sketch"], own["above"], strict=True)]
-        usable = np.array([w is not None for w in words])
-        reps, size, low = reps[usable], size[usable], low[usable]
-        if len(reps) < 2:
-            return pd.DataFrame({"k": [], "a": [], "b": []}, dtype="int64")
-        bits = np.stack([np.frombuffer(w, np.uint64) for w in words if w is not None])
-        banned = set(zip(out["a"].tolist(), out["b"].tolist(), strict=True))
-        group = np.arange(len(reps))
-        for i in range(len(reps) - 1):
-            rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            if cross:
-                rest = rest[low[rest] != low[i]]
-            lo, hi = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-            rest = rest[100 * lo >= percent * hi]
-            if not len(rest):
+        held: list[pa.RecordBatch] = []  # the rows so far of the last key
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            far = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            rest = rest[far <= (100 - percent) * (size[rest] + size[i]) // (100 + percent)]
-            for x in rest.tolist():
-                if group[x] != group[i] and (int(reps[i]), int(reps[x])) not in banned:
-                    found.append((int(reps[i]), int(reps[x])))
-                    group[group == group[x]] = group[i]
-        return pd.DataFrame({"k": key[0], "a": [f[0] for f in found], "b": [f[1] for f in found]}).astype("int64")
-
-    # failed pairs go to every block pair of their word; there are few
-    blocks = rows.groupBy("k", "lo", "hi").agg(F.first("lo").alias("l"), F.first("hi").alias("h"))
-    bad = bad.join(blocks.select("k", "l", "h"), "k").select(F.col("k").alias("w"), "l", "h", "a", "b")
-    grouped = rows.groupBy("k", "lo", "hi").cogroup(bad.groupBy("w", "l", "h"))
-    return grouped.applyInPandas(go, "k long, a long, b long")
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in range(3)):
+                yield _spanning(held, bands, reach)
+                held = []
+            start = 0
+            for edge in edges.tolist():
+                yield _spanning([*held, batch.slice(start, edge - start)], bands, reach)
+                held, start = [], edge
+            held.append(batch.slice(start))
+        if held:
+            yield _spanning(held, bands, reach)
+
+    return rows.repartition("k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "a").mapInArrow(read, schema)
+
+
+def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.RecordBatch:
+    """The pairs to verify among the sets of one word in one pair of blocks."""
+    own = pa.Table.from_batches(batches)
+    word, cross = own["k"][0].as_py(), own["lo"][0].as_py() != own["hi"][0].as_py()
+    key, other = own["a"].to_numpy(), own["b"].to_pylist()
+    banned = {(a, b) for a, b in zip(key.tolist(), other, strict=True) if b is not None}
+    band, sketch, above = own["own"].to_pylist(), own["sketch"].to_pylist(), own["above"].to_pylist()
+    # all sketches of a word are for one join band, that of the larger sizes
+    top = max((x for x in band if x is not None), default=0)
+    bits, keep = [], []
+    for i, (j, s, t) in enumerate(zip(band, sketch, above, strict=True)):
+        w = None if j is None else s if j == top else t
+        if w is not None and not (keep and key[keep[-1]] == key[i]):
+            keep.append(i)
+            bits.append(np.frombuffer(w, np.uint64))
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}  # by the two groups
+    joined: set[tuple[int, int]] = set()
+    if len(keep) > 1:
+        key, percent = key[keep], bands.percent
+        size = own["n"].to_numpy()[keep].astype(np.int64)
+        low = own["low"].to_numpy()[keep].astype(bool)
+        bits = np.stack(bits)
+        group = np.unique(own["group"].to_numpy()[keep], return_inverse=True)[1]
+        # first only pairs well within the bound, which hardly ever fail
+        # verification, then all pairs between what these leave apart
+        for sure in (True, False):
+            for i in range(len(key) - 1):
+                rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+                if cross:  # within one block all pairs, else those across
+                    rest = rest[low[rest] != low[i]]
+                bound = (100 - percent) * (size[rest] + size[i]) // (100 + percent)
+                near = np.abs(size[rest] - size[i]) <= bound
+                rest, bound = rest[near], bound[near]
+                if not len(rest):
+                    continue
+                if sure:  # less what meeting bits may hide
+                    hidden = bound / 128
+                    bound = bound - 2 * (1 + hidden + 3 * np.sqrt(hidden))
+                rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= bound]
+                for x in rest.tolist():
+                    pair = (int(key[i]), int(key[x]))
+                    if group[x] == group[i] or pair in banned:
+                        continue
+                    two = (min(int(group[i]), int(group[x])), max(int(group[i]), int(group[x])))
+                    between = found.setdefault(two, [])
+                    if pair not in between:
+                        between.append(pair)
+                    if sure or len(between) >= reach:
+                        joined.add(two)
+                        group[group == two[1]] = two[0]
+            if (group == group[0]).all():
+                break
+    pairs = [(*pair, two in joined) for two, own in found.items() for pair in own]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(len(pairs), word, np.int64)),
+            pa.array([p[0] for p in pairs], pa.int64()),
+            pa.array([p[1] for p in pairs], pa.int64()),
+            pa.array([p[2] for p in pairs], pa.bool_()),
+        ],
+        names=["k", "a", "b", "open"],
+    )
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -412,25 +469,35 @@ def near_duplicates(
     )
     traits = materialise(features(source, width, percent))
 
-    spans = materialise(_span(members, traits, None, percent))
-    ask = _near(pairs, traits, percent).union(spans.select("a", "b")).distinct()
-    seen, failed = None, None
+    # the texts of a document that has several are linked by it
+    several = shown.groupBy("doc").agg(F.count_distinct("h1", "h2", "n").alias("texts")).where(F.col("texts") > 1)
+    own = shown.join(several, "doc").join(sets.withColumnRenamed("doc", "u"), ["h1", "h2", "n"])
+    own = own.select("u", F.col("doc").alias("v"))
+
+    alone = members.withColumn("group", F.col("a"))
+    spans, reach = materialise(_span(alone, traits, None, percent, 1)), 1
+    ask, seen = _near(pairs, traits, percent).union(spans.select("a", "b")).distinct(), None
+    found = None
     while True:
         now = materialise(_verify(ask, traits, percent))
         seen = now if seen is None else seen.union(now)
-        wrong = spans.join(seen.where(~F.col("linked")), ["a", "b"], "left_semi").select("k", "a", "b")
+        if now.where(F.col("linked")).limit(1).count() or found is None:
+            found = components(seen.where(F.col("linked")).select("u", "v").union(own))
+        # a failed pair matters only if its word was left on the strength of
+        # it and nothing else connects the two
+        group = traits.select("h1", "doc").join(found.select(F.col("u").alias("doc"), "v"), "doc", "left")
+        group = materialise(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct())
+        one, two = group.toDF("a", "group"), group.toDF("b", "other")
+        apart = materialise(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct())
+        wrong = spans.where(F.col("open")).join(apart, ["a", "b"], "left_semi").select("k").distinct()
         if wrong.isEmpty():
             break
-        failed = materialise(wrong if failed is None else failed.union(wrong).distinct())
-        again = members.join(failed.select("k").distinct(), "k", "left_semi")
-        spans = materialise(_span(again, traits, failed, percent))
+        reach *= 16
+        again = materialise(members.join(wrong, "k", "left_semi").join(one, "a").select("k", "a", "group"))
+        out = again.select("k", "a").join(apart, "a").select("k", "a", "b")
+        spans = materialise(_span(again, traits, out, percent, reach))
         ask = spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
 
-    # the texts of a document that has several are linked by it
-    several = shown.groupBy("doc").agg(F.count_distinct("h1", "h2", "n").alias("texts")).where(F.col("texts") > 1)
-    own = shown.join(several, "doc").join(sets.withColumnRenamed("doc", "u"), ["h1", "h2", "n"])
-    edges = seen.where(F.col("linked")).select("u", "v").union(own.select("u", F.col("doc").alias("v")))
-    found = components(edges)
     stands = sets.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select(
         "h1", "h2", "n", F.coalesce("v", "doc").alias("component_id")
     )
