@@ -55,7 +55,7 @@ AT_PAIR = AT_CLASS + 3 * CLASSES
 ROWS = AT_PAIR + PAIR_ROWS
 FEATURES = 6
 #: Tokens that share one step along the gradient, and that are scored at once.
-BATCH = 16_384
+BATCH = 8192
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 6 << 20
 RATE = 0.25
@@ -109,6 +109,10 @@ def _chunk(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
         sizes.append(np.diff(first) + 1)
     h, c, size = np.concatenate(hashes), np.concatenate(classes), np.concatenate(sizes)
     known, at, codes = np.unique(h, return_index=True, return_inverse=True)
+    often = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")  # small codes for frequent words
+    place = np.empty_like(often)
+    place[often] = np.arange(len(often))
+    known, at, codes = known[often], at[often], place[codes]
     held = batch.column(1).slice(lo, hi - lo)
     trains = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), size)
     counts = np.bincount(codes[trains], minlength=len(known)).astype(np.int32)
@@ -118,7 +122,7 @@ def _chunk(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
             one(batch.column(0).slice(lo, hi - lo).to_pylist(), pa.list_(pa.int64())),
             one(held.to_pylist(), pa.list_(pa.bool_())),
             one(size, pa.list_(pa.int32())),
-            one(codes.astype(np.uint32).tobytes(), pa.binary()),
+            one(_planes(codes), pa.binary()),
             one(known.tobytes(), pa.binary()),
             one(c[at].tobytes(), pa.binary()),
             one(counts.tobytes(), pa.binary()),
@@ -127,8 +131,18 @@ def _chunk(batch: pa.RecordBatch, parts: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Codes as bytes, all lowest bytes first: the high ones, mostly zero,
+    then lie together and compress to little."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def entry_rows(chunks: DataFrame) -> DataFrame:
-    """(chunk, h, class, c): each chunk's dictionary."""
+    """(chunk, at, h, class, c): each chunk's dictionary."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +153,15 @@ def entry_rows(chunks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(h[part]), chunk)),
+                            pa.array(np.arange(a, a + len(h[part]))),
                             pa.array(h[part]),
                             pa.array(np.frombuffer(k, np.uint8)[part].astype(np.int16)),
                             pa.array(np.frombuffer(c, np.int32)[part].astype(np.int64)),
                         ],
-                        names=["chunk", "h", "class", "c"],
+                        names=["chunk", "at", "h", "class", "c"],
                     )
 
-    return chunks.select("chunk", "hashes", "classes", "counts").mapInArrow(emit, "chunk long, h long, class short, c long")
+    return chunks.select("chunk", "hashes", "classes", "counts").mapInArrow(emit, "chunk long, at long, h long, class short, c long")
 
 
 @dataclass
@@ -204,14 +219,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = weights.take(rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        z += weights.take(rows[:, k], axis=0)
+    return z
+
+
 def class_probability(model: Model, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """log10 P(class | context) of each token."""
     out = np.empty(len(classes))
     for a in range(0, len(classes), BATCH):
         f, k = rows[a : a + BATCH], classes[a : a + BATCH].astype(np.int64)
         i, g = np.arange(len(k)), k // MEMBERS
-        p = _softmax(model.groups[f].sum(axis=1))[i, g]
-        q = _softmax(model.members[f * GROUPS + g[:, None]].sum(axis=1))[i, k % MEMBERS]
+        p = _softmax(_logits(model.groups, f))[i, g]
+        q = _softmax(_logits(model.members, f * GROUPS + g[:, None]))[i, k % MEMBERS]
         out[a : a + BATCH] = np.log10(np.maximum(p, 1e-30)) + np.log10(np.maximum(q, 1e-30))
     return out
 
@@ -227,19 +249,22 @@ class Trainer:
         self.seen = [np.zeros(len(w)) for w in self.weights]
 
     def _step(self, which: int, rows: np.ndarray, target: np.ndarray) -> None:
-        w, n = self.weights[which], rows.shape[0]
-        width = w.shape[1]
-        error = _softmax(w[rows].sum(axis=1))
+        w, n = self.weights[which], len(rows)
+        error = _softmax(_logits(w, rows))
         error[np.arange(n), target] -= 1
-        used, at = np.unique(rows, return_inverse=True)
-        at = at.reshape(rows.shape)
-        flat = (at[:, :, None] * width + np.arange(width)).ravel()
-        spread = np.broadcast_to(error[:, None, :], (n, rows.shape[1], width)).ravel()
-        gradient = np.bincount(flat, weights=spread, minlength=len(used) * width).reshape(-1, width).astype(np.float32)
+        times = np.bincount(rows.ravel(), minlength=len(w))
+        used = np.flatnonzero(times)
+        place = np.zeros(len(w), np.int64)
+        place[used] = np.arange(len(used))
+        at = place[rows].ravel()
+        gradient = np.empty((len(used), w.shape[1]), np.float32)
+        for k in range(w.shape[1]):
+            gradient[:, k] = np.bincount(at, weights=np.repeat(error[:, k], rows.shape[1]), minlength=len(used))
         gradient /= n
-        self.power[which][used] += gradient * gradient
-        w[used] -= RATE * gradient / np.sqrt(self.power[which][used])
-        self.seen[which] += np.bincount(rows.ravel(), minlength=len(w))
+        power = self.power[which].take(used, axis=0) + gradient * gradient
+        self.power[which][used] = power
+        w[used] -= RATE * gradient / np.sqrt(power)
+        self.seen[which] += times
 
     def learn(self, rows: np.ndarray, classes: np.ndarray) -> None:
         for a in range(0, len(classes), BATCH):
@@ -295,7 +320,7 @@ def _arrays(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     return (
         np.array(get("held").as_py(), dtype=bool),
         np.array(get("sizes").as_py(), dtype=np.int64),
-        np.frombuffer(get("codes").as_py(), np.uint32).astype(np.int64),
+        _from_planes(get("codes").as_py()),
         np.frombuffer(get("hashes").as_py(), np.uint64),
         np.frombuffer(get("classes").as_py(), np.uint8),
     )
@@ -350,7 +375,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     # counts of the words that other chunks hold too; of the rest each chunk
     # has the count itself
     wide = counted.where(F.col("chunks") > 1).select("h", F.col("c").alias("all"))
-    told = entries.select("chunk", "h").join(wide, "h")
+    told = entries.select("chunk", "at", "h").join(wide, "h").select("chunk", "at", "all")
 
     def score(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
         out = []
@@ -359,8 +384,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 held, sizes, codes, h, classes = _arrays(batch, i)
                 counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int32).astype(np.int64)
                 if words.num_rows:
-                    at = np.searchsorted(h, words["h"].to_numpy().astype(np.uint64))
-                    counts[at] = words["all"].to_numpy()
+                    counts[words["at"].to_numpy()] = words["all"].to_numpy()
                 known, base, own = score_texts(model, sizes, codes, h, classes, counts)
                 out.append(
                     pa.table(
