@@ -93,6 +93,20 @@ def _pieces(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(sizes) - sizes)[text] + place * width, text
 
 
+def _piece_sums(vectors: np.ndarray, t: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """The sum of the terms' vectors over each run of ``width`` words.  The
+    last row of ``vectors`` is zero and fills up each text's last run."""
+    count = -(-sizes // width)
+    shift = np.repeat((np.cumsum(count) - count) * width - (np.cumsum(sizes) - sizes), sizes)
+    filled = np.full(int(count.sum()) * width, len(vectors) - 1)
+    filled[np.arange(len(t)) + shift] = t
+    return np.einsum("ijk->ik", vectors.take(filled, axis=0).reshape(-1, width, vectors.shape[1]))
+
+
+def _with_zero(vectors: np.ndarray) -> np.ndarray:
+    return np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+
+
 def term_weights(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(IDF over all passages, share of all words) of each term."""
 
@@ -122,7 +136,7 @@ def term_weights(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarray:
     """A'A times ``thin`` (terms by dimensions), A the TF-IDF passages."""
     width = thin.shape[1]
-    weighted = (thin * idf[:, None]).astype(np.float32)
+    weighted = _with_zero(thin * idf[:, None])
     columns = [f"x{k}" for k in range(width)]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +145,11 @@ def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarra
             start, _ = _pieces(sizes, PASSAGE)
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
             t = terms(w)
-            latent = np.add.reduceat(weighted[t], start, axis=0)
-            order = np.argsort(t, kind="stable")
+            latent = _piece_sums(weighted, t, sizes, PASSAGE)
+            order = np.argsort(t.astype(np.uint16), kind="stable")  # linear for 16 bits
             used = np.flatnonzero(np.append(True, np.diff(t[order]) > 0))
             at = t[order[used]]
-            out[at] += np.add.reduceat(latent[own[order]], used, axis=0) * idf[at][:, None]
+            out[at] += np.add.reduceat(latent.take(own[order], axis=0), used, axis=0) * idf[at][:, None]
         at = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), *(pa.array(out[at, k].astype(np.float32)) for k in range(width))], names=["term", *columns]
@@ -148,6 +162,24 @@ def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarra
     return out
 
 
+def passage_gram(table: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """(AQ)'AQ for a basis Q: the TF-IDF passages' gram matrix within it."""
+    width = basis.shape[1]
+    weighted = _with_zero(basis * idf[:, None])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((width, width))
+        for _, _, _, w, sizes in _slices(batches, 0):
+            latent = _piece_sums(weighted, terms(w), sizes, PASSAGE)
+            out += latent.T @ latent
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(out.ravel())], names=["at", "x"])
+
+    got = table.select("words").mapInArrow(multiply, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros(width * width)
+    out[got["at"].to_numpy()] = got["x"].to_numpy()
+    return out.reshape(width, width)
+
+
 def latent_space(table: DataFrame, seed: int = 0) -> np.ndarray:
     """Terms by dimensions: the sum over a passage's words is its place in the
     whitened latent space, relative to as many words of the corpus's average.
@@ -157,8 +189,7 @@ def latent_space(table: DataFrame, seed: int = 0) -> np.ndarray:
     idf, share = term_weights(table)
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, RANK + EXTRA))
     basis, _ = np.linalg.qr(gram_times(table, idf, basis))
-    image = gram_times(table, idf, basis)
-    values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
+    values, turn = np.linalg.eigh(passage_gram(table, idf, basis))
     top = np.argsort(-values)[:RANK]
     scale = np.sqrt(np.maximum(values[top], values.max() * 1e-9 + 1e-30))
     term = (idf[:, None] * (basis @ turn[:, top]) / scale).astype(np.float32)
@@ -194,7 +225,7 @@ def prepare_items(rows: list[tuple], space: np.ndarray) -> Items:
             answer.append(_answer_words(text))
     steps = np.array([-(-(len(w) + GRID - 1) // GRID) for w in words], dtype=np.int64)
     latent = np.array([space[terms(w)].sum(axis=0) for w in words], dtype=np.float32)
-    latent = latent.reshape(len(words), -1)
+    latent = latent.reshape(len(words), space.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return Items(ids, words, answer, steps, latent)
 
@@ -299,13 +330,13 @@ def _search(
         return table.sparkSession.createDataFrame([], schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verifier = Verifier(items, cover, paraphrase)
+        verifier, vectors = Verifier(items, cover, paraphrase), _with_zero(space)
         by_steps = [(int(s), np.flatnonzero(items.steps == s)) for s in np.unique(items.steps)]
         for batch, a, b, words, sizes in _slices(batches, 1):
             ids = batch.column(0).slice(a, b - a).to_pylist()
             cells, text = _pieces(sizes, GRID)
             sums = np.zeros((len(cells) + 1, space.shape[1]), np.float32)
-            np.cumsum(np.add.reduceat(space[terms(words)], cells, axis=0), axis=0, out=sums[1:])
+            np.cumsum(_piece_sums(vectors, terms(words), sizes, GRID), axis=0, out=sums[1:])
             last = np.cumsum(np.bincount(text, minlength=len(sizes)))  # one past each text's cells
             bounds = np.append(cells, len(words))
             out = []
