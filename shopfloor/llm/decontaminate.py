@@ -6,9 +6,10 @@ task adds up its share of A'A times a thin matrix, Spark sums the shares, and
 the driver orthogonalises (bounded: terms by dimensions).  Every window of
 every document is then compared with every benchmark item of its length by
 cosine in that space, whitened so that what a whole language shares does not
-drown what a passage has of its own.  Windows above the threshold are verified
-by the longest common subsequence of words with the item, and by whether the
-item's answer (its last sentence) is there.
+drown what a passage has of its own.  The threshold is low, as a paraphrased
+short item is a small part of its window; windows above it that hold enough of
+the item's words are verified by the longest common subsequence of words with
+the item, and by whether the item's answer (its last sentence) is there.
 
 Counts, SVD and search cover all words of all documents; items are taken in
 blocks of ``ITEM_BLOCK``, so that a task holds one block whatever the size of
@@ -38,10 +39,10 @@ from shopfloor.llm.words import mix, split, text_slices
 
 _U = np.uint64
 BUCKETS = 16_384
-RANK, EXTRA = 64, 8
+RANK, EXTRA = 128, 8
 #: Words of a passage for the SVD, and of the grid on which windows begin.
 PASSAGE, GRID = 32, 8
-ITEM_BLOCK = 2048
+ITEM_BLOCK = 512
 MIN_WORDS = 8
 #: Words handled at once by a task.
 SLICE_WORDS = 25_000
@@ -256,27 +257,36 @@ class Verifier:
         self.items, self.cover, self.paraphrase = items, cover, paraphrase
         self.masks = [subsequence_masks(w) for w in items.words]
         self.answers = [subsequence_masks(w[len(w) - n :]) for w, n in zip(items.words, items.answer, strict=True)]
-        # (item, word) of all items, sorted, with how often the item has it
-        keys, self.count = np.unique(
-            np.concatenate([np.uint64(i) << _U(32) | w.astype(np.uint64) for i, w in enumerate(items.words)]), return_counts=True
-        )
-        self.keys = keys
         self.size = np.array([len(w) for w in items.words])
-        self.floor = np.where(self.size < MIN_WORDS, self.size, np.ceil(self.size * min(cover, paraphrase)))
-
-    def may_match(self, item: np.ndarray, window: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Whether enough of each candidate's window words are words of its
-        item; no common subsequence is longer.  ``window`` has the words of
-        all candidates, ``owner`` the candidate of each."""
-        key = item[owner].astype(np.uint64) << _U(32) | window.astype(np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
-        return np.bincount(owner[hit], minlength=len(item)) >= self.floor[item]
+        self.floor = np.where(self.size < MIN_WORDS, self.size, np.ceil(self.size * min(cover, paraphrase) - 1e-9)).astype(np.int64)
+        self.vocabulary = np.unique(np.concatenate(items.words))
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # by the lowest bits of a word
+        self.maybe[self.vocabulary & np.uint32(len(self.maybe) - 1)] = True
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Each word's place in the items' vocabulary, one past its end for
+        other words."""
+        out = np.full(len(words), len(self.vocabulary))
+        some = np.flatnonzero(self.maybe[words & np.uint32(len(self.maybe) - 1)])
+        at = np.minimum(np.searchsorted(self.vocabulary, words[some]), len(self.vocabulary) - 1)
+        hit = self.vocabulary[at] == words[some]
+        out[some[hit]] = at[hit]
+        return out
+
+    def holds(self, own: np.ndarray) -> np.ndarray:
+        """(vocabulary and a last row of zeros) by the items ``own``: whether
+        the item has the word."""
+        out = np.zeros((len(self.vocabulary) + 1, len(own)), np.uint8)
+        for k, i in enumerate(own.tolist()):
+            out[np.searchsorted(self.vocabulary, self.items.words[i]), k] = 1
+        return out
 
     def verdict(self, item: int, window: list[int]) -> tuple[float, float] | None:
         """(share of the item's words, of its answer's) if it is a leak."""
         size = int(self.size[item])
         whole = common_subsequence(self.masks[item], size, window) / size
+        if whole < min(self.cover, self.paraphrase):
+            return None
         n = self.items.answer[item]
         answer = common_subsequence(self.answers[item], n, window) / n if n else 0.0
         if size < MIN_WORDS:
@@ -293,7 +303,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    min_cosine: float = 0.5,
+    min_cosine: float = 0.25,
     cover: float = 0.8,
     paraphrase: float = 0.6,
 ) -> DataFrame:
@@ -332,6 +342,7 @@ def _search(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verifier, vectors = Verifier(items, cover, paraphrase), _with_zero(space)
         by_steps = [(int(s), np.flatnonzero(items.steps == s)) for s in np.unique(items.steps)]
+        holds = [verifier.holds(own) for _, own in by_steps]
         for batch, a, b, words, sizes in _slices(batches, 1):
             ids = batch.column(0).slice(a, b - a).to_pylist()
             cells, text = _pieces(sizes, GRID)
@@ -339,21 +350,22 @@ def _search(
             np.cumsum(_piece_sums(vectors, terms(words), sizes, GRID), axis=0, out=sums[1:])
             last = np.cumsum(np.bincount(text, minlength=len(sizes)))  # one past each text's cells
             bounds = np.append(cells, len(words))
+            places = verifier.places(words)
             out = []
-            for steps, own in by_steps:
+            for (steps, own), has in zip(by_steps, holds, strict=True):
                 start, end = _windows(text, last, steps)
                 z = sums[end] - sums[start]
                 cosine = z @ items.latent[own].T
                 norm = np.sqrt(np.einsum("ij,ij->i", z, z))
-                w, i = np.nonzero(cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None])
-                if not len(w):
-                    continue
+                # no common subsequence is longer than the number of the
+                # window's words that are words of the item
+                held = np.zeros((len(cells) + 1, len(own)), np.int32)
+                np.cumsum(_piece_sums(has, places, sizes, GRID), axis=0, out=held[1:])
+                near = cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None]
+                near &= held[end] - held[start] >= verifier.floor[own]
+                w, i = np.nonzero(near)
                 item, lo, hi = own[i], bounds[start[w]], bounds[end[w]]
-                size = hi - lo
-                owner = np.repeat(np.arange(len(w)), size)
-                place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-                good = verifier.may_match(item, words[lo[owner] + place], owner)
-                for c in np.flatnonzero(good).tolist():
+                for c in range(len(w)):
                     shares = verifier.verdict(int(item[c]), words[lo[c] : hi[c]].tolist())
                     if shares:
                         t = int(text[start[w[c]]])

@@ -198,6 +198,48 @@ def test_leaks(spark):
     assert len(got) >= 0.9 * len(planted)
 
 
+def planted_leaks(docs, items, rnd, hosts=1500):
+    """Documents with each item in one of them, by how it was changed: a share
+    of all its words replaced before its answer, or as many inserted."""
+    texts = [t for _, t in docs if t]
+    foreign = [w for t in texts[-200:] for w in t.split()]
+    rows, plants = [], {}
+    for kind, share in (("replaced", 0), ("replaced", 0.25), ("replaced", 0.4), ("inserted", 0.2), ("inserted", 0.4)):
+        for item, text in items:
+            leak = text.split()
+            head = len(leak) - len(re.split(r"(?<=[.!?])\s+|\n", text.strip())[-1].split())
+            n = int(share * len(leak))
+            if kind == "replaced":
+                for i in rnd.sample(range(head), min(head, n)):
+                    leak[i] = rnd.choice(foreign)
+            else:
+                for _ in range(n):
+                    leak.insert(rnd.randrange(len(leak) + 1), rnd.choice(foreign))
+            host = texts[len(rows) % hosts].split()[:600]
+            at = rnd.randint(0, len(host))
+            size = len(text.split())
+            length = "15-24" if size < 25 else "25-39" if size < 40 else "40-59"
+            plants[len(rows), item] = (kind, share, length)
+            rows.append((len(rows), " ".join(host[:at] + leak + host[at:])))
+    return rows, plants
+
+
+def test_leaks_by_length_and_change(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs = sorted(map(tuple, read("documents").where("doc_id < 2500").select("doc_id", "text").collect()))
+    items = sorted(map(tuple, read("benchmark").select("item_id", "text").collect()))
+    rows, plants = planted_leaks(docs, items, random.Random(12))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench)
+    got = {(r["doc"], r["item"]) for r in out.select("doc", "item").collect()}
+    recall = {}
+    for group in sorted(set(plants.values())):
+        own = [p for p, g in plants.items() if g == group]
+        recall[group] = sum(p in got for p in own) / len(own)
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_leaks_odd_rows(spark, odd_docs):
     bench = spark.createDataFrame(
         [(1, "one two three", "x"), (1, "one two three", "y"), (2, None, "x"), (3, "", "x"), (None, "word5 a5. word6 a6. word7 a7. word8 a8. word9 a9.", "z")],
