@@ -6,7 +6,10 @@ short, else of its beginning and end, so that classes follow spelling and need
 no table.  The first two factors are softmax models over hashed features of
 the context: the word before (n-gram), the classes of the three words before
 (the second and third skip what lies between) and the pair of the two classes
-before.  The last factor is the maximum-entropy model with one feature a word,
+before.  These weights are few and only the prior: what single words before
+tell is counted by (feature, class) over all training texts, features being
+the word before and the word before that, and mixed with the prior as
+``PRIOR`` imagined occurrences.  The last factor is the maximum-entropy model with one feature a word,
 whose solution is closed: counts with absolute discounting, the discounted
 mass being that of words not seen in the class.
 
@@ -15,8 +18,10 @@ dictionary and codes) in the shared folder; in each round every task follows
 the gradient over its chunks from the shared weights, and Spark sums the
 weights' changes, each weighted by how often its feature occurred.  Word
 counts are grouped by word and joined back to the chunks that hold the word,
-so that no task and no broadcast holds the vocabulary.  The driver holds the
-weights (a fixed number) and sums by class.
+so that no task and no broadcast holds the vocabulary.  Feature counts are a
+table in blocks by ranges of the feature's hash; a block adds up what all
+chunks have of its range and answers each with the sums, in the chunk's own
+order.  The driver holds the weights (a fixed number) and sums by class.
 
 Words are told apart by 64-bit hashes.
 
@@ -34,6 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +65,11 @@ BATCH = 8192
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK_BYTES = 6 << 20
 RATE = 0.25
+#: Distances of the words before that are features with the class.
+BEFORE = (2, 1)
+PRIOR = 64.0
+#: Chunks whose features make up one block of the feature table.
+BLOCK_CHUNKS = 4
 
 
 def word_classes(words: Words) -> np.ndarray:
@@ -326,11 +337,89 @@ def _arrays(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
     )
 
 
+def feature_keys(
+    codes: np.ndarray, sizes: np.ndarray, h: np.ndarray, classes: np.ndarray
+) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(keys, places): the sorted 64-bit keys of a chunk's features, alone and
+    with the class that follows, and for each distance of BEFORE the places of
+    every token's (feature, class) and feature."""
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    known, own = np.append(h, END), classes[codes].astype(np.int64)
+    keys, places = [], []
+    for k in BEFORE:
+        before = np.full(len(codes), len(h))
+        before[k:] = codes[:-k]
+        before[place < k] = len(h)
+        # class 0 to 255, and 256 for the feature alone
+        for pair in (before * 512 + own, before * 512 + CLASSES):
+            used, at = np.unique(pair, return_inverse=True)
+            feature = mix(known[used >> 9] + _U(k << 40))
+            places.append(at + sum(map(len, keys)))
+            keys.append(mix(feature + (used & 511).astype(np.uint64)))
+    both = np.concatenate(keys)
+    order = np.argsort(both)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return both[order], [(rank[a], rank[b]) for a, b in zip(places[::2], places[1::2], strict=True)]
+
+
+def _wide(x: np.ndarray) -> bytes:
+    """64-bit numbers as bytes, all lowest bytes first."""
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_wide(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def feature_counts(chunks: DataFrame) -> DataFrame:
+    """(chunk, block, counts): the training counts in all chunks of each
+    chunk's features, in the order of their keys, by ranges of the keys."""
+    blocks = 1 + chunks.count() // BLOCK_CHUNKS
+    edges = np.array([k * (1 << 64) // blocks for k in range(1, blocks)], dtype=np.uint64)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, sizes, codes, h, classes = _arrays(batch, i)
+                keys, places = feature_keys(codes, sizes, h, classes)
+                trains = np.repeat(~held, sizes)
+                counts = np.zeros(len(keys), np.int64)
+                for pair in places:
+                    for at in pair:
+                        counts += np.bincount(at[trains], minlength=len(keys))
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                own = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("chunk")[i].as_py()] * len(own), pa.int64()),
+                        pa.array([k for k, _ in own], pa.int32()),
+                        pa.array([keys[part].tobytes() for _, part in own], pa.binary()),
+                        pa.array([_wide(counts[part]) for _, part in own], pa.binary()),
+                    ],
+                    names=["chunk", "block", "keys", "counts"],
+                )
+
+    def add(block: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.uint64) for k in block["keys"].to_pylist()]
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.zeros(len(own), np.int64)
+        np.add.at(counts, at, np.concatenate([_from_wide(c) for c in block["counts"].to_pylist()]))
+        parts = np.split(counts[at], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"chunk": block["chunk"], "block": block["block"], "counts": pa.array([_wide(x) for x in parts], pa.binary())})
+
+    rows = chunks.select("chunk", "held", "sizes", "codes", "hashes", "classes").mapInArrow(
+        emit, "chunk long, block int, keys binary, counts binary"
+    )
+    return rows.groupBy("block").applyInArrow(add, "chunk long, block int, counts binary")
+
+
 def score_texts(
-    model: Model, sizes: np.ndarray, codes: np.ndarray, h: np.ndarray, classes: np.ndarray, counts: np.ndarray
+    model: Model, sizes: np.ndarray, codes: np.ndarray, h: np.ndarray, classes: np.ndarray, counts: np.ndarray, features: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(known tokens, base score, score) of each text of a chunk; ``counts``
-    holds the whole corpus's training count of each dictionary entry."""
+    holds the whole corpus's training count of each dictionary entry and
+    ``features`` that of each of the chunk's features."""
     first = np.cumsum(sizes) - sizes
     base = np.log10(counts + 0.5) - np.log10(model.total + 0.5 * (model.distinct + 1))
     k = classes.astype(np.int64)
@@ -339,7 +428,10 @@ def score_texts(
     with np.errstate(divide="ignore", invalid="ignore"):
         share = np.where(seen, (counts - model.discount[k]) / mass, np.where(mass > 0, left / mass, 1.0))
     own = np.log10(share)
-    total = own[codes] + class_probability(model, context(codes, sizes, h, classes), classes[codes])
+    p = 10 ** class_probability(model, context(codes, sizes, h, classes), classes[codes])
+    for with_class, alone in feature_keys(codes, sizes, h, classes)[1]:
+        p = (features[with_class] + PRIOR * p) / (features[alone] + PRIOR)
+    total = own[codes] + np.log10(p)
     add = lambda x: np.add.reduceat(x, first)
     return add(seen[codes].astype(np.int64)), add(base[codes]), add(total)
 
@@ -376,16 +468,20 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     # has the count itself
     wide = counted.where(F.col("chunks") > 1).select("h", F.col("c").alias("all"))
     told = entries.select("chunk", "at", "h").join(wide, "h").select("chunk", "at", "all")
+    told = told.unionByName(feature_counts(chunks), allowMissingColumns=True)
 
     def score(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
         out = []
+        blocks = words.filter(pc.is_valid(words["block"])).sort_by("block")
+        words = words.filter(pc.is_null(words["block"]))
+        features = np.concatenate([np.zeros(0, np.int64), *(_from_wide(c) for c in blocks["counts"].to_pylist())])
         for batch in chunk.to_batches():
             for i in range(batch.num_rows):
                 held, sizes, codes, h, classes = _arrays(batch, i)
                 counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int32).astype(np.int64)
                 if words.num_rows:
                     counts[words["at"].to_numpy()] = words["all"].to_numpy()
-                known, base, own = score_texts(model, sizes, codes, h, classes, counts)
+                known, base, own = score_texts(model, sizes, codes, h, classes, counts, features)
                 out.append(
                     pa.table(
                         {

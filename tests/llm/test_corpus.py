@@ -132,6 +132,24 @@ def test_lm(spark):
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got.values())
 
 
+def test_lm_learns_from_every_word_before(spark):
+    # 6,000 words, more than the hashed rows, each of which fixes the next
+    # word and, two places on, the one after
+    rnd = random.Random(4)
+    name = lambda k: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4 + k % 5))
+    chain = [name(k) for k in range(6000)]
+    rows = []
+    for i in range(600):
+        at = rnd.randrange(len(chain))
+        rows.append((i, " ".join(chain[(at + k) % len(chain)] for k in range(150))))
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    held = [r for r in got if r["held_out"]]
+    per_token = sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    base = sum(r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    print(per_token, base)
+    assert per_token > base + 1.0  # the class alone is worth 2.4
+
+
 def check_base(rows, got):
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
     tokens = {d: [*words(t), "\n"] for d, t in rows}
