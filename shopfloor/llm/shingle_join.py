@@ -377,7 +377,8 @@ def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.Rec
         size = own["n"].to_numpy()[keep].astype(np.int64)
         low = own["low"].to_numpy()[keep].astype(bool)
         bits = np.stack(bits)
-        group = np.unique(own["group"].to_numpy()[keep], return_inverse=True)[1]
+        # with nulls (failed pairs, not kept) ids would become floats
+        group = np.unique(own["group"].fill_null(0).to_numpy()[keep], return_inverse=True)[1]
         # first only pairs well within the bound, which hardly ever fail
         # verification, then all pairs between what these leave apart
         for sure in (True, False):

@@ -12,7 +12,7 @@ import corpus_pipeline
 from shopfloor.llm.components import components
 from shopfloor.llm.decontaminate import common_subsequence, find_leaks, subsequence_masks
 from shopfloor.llm.lm_score import lm_scores
-from shopfloor.llm.shingle_join import bands_for, near_duplicates
+from shopfloor.llm.shingle_join import _spanning, bands_for, near_duplicates
 from tests.llm.conftest import pairs
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,6 +88,21 @@ def test_repeated_id_links_its_texts(spark):
     assert {(r["doc"], r["component_id"]) for r in near_duplicates(docs).collect()} == {(5, 3), (3, 3), (7, 3), (9, 9)}
 
 
+def test_close_large_ids_are_groups_of_their_own():
+    import pyarrow as pa
+
+    big = 1 << 60
+    row = {"k": 1, "lo": 0, "hi": 0, "b": None, "low": True, "n": 100, "own": 3, "sketch": bytes(128), "above": bytes(128)}
+    rows = [row | {"a": a, "group": big + a} for a in (1, 2, 3)]
+    failed = row | {"a": 1, "b": 2, "group": None, "low": None, "n": None, "own": None, "sketch": None, "above": None}
+    kinds = {"k": "int64", "lo": "int32", "hi": "int32", "a": "int64", "b": "int64", "group": "int64", "low": "bool_", "n": "int32", "own": "int32"}
+    schema = pa.schema([(c, getattr(pa, t)()) for c, t in kinds.items()] + [("sketch", pa.binary()), ("above", pa.binary())])
+    batch = pa.RecordBatch.from_pylist([rows[0], failed, *rows[1:]], schema=schema)
+    out = _spanning([batch], bands_for(80), 8).to_pylist()
+    # (1, 2) failed before; 3 must still meet one of them
+    assert (1, 3) in {(r["a"], r["b"]) for r in out}
+
+
 def test_bands_hold_every_linked_pair():
     for percent in (80, 85):
         bands = bands_for(percent)
