@@ -69,6 +69,8 @@ NO_P_INSIDE = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: In every page whose markup names its content (and in few others).
+LABELLED_RE = r"(?i)<(?:article|main)\b|\brole\s*=[^>]*(?:main|&)|\bitemprop\s*=[^>]*(?:articlebody|&)"
 #: Used where no page of the sample is labelled.
 DEFAULT_WEIGHTS = {"word": 1.0, "excluded": -3.0, "tag": -3.25}
 
@@ -274,10 +276,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> tuple[str, float]:
 
 
 def learn_weights(pages: DataFrame, key_col: str, html_col: str, sample: int = 500) -> dict[str, float]:
-    """Weights from at most ``sample`` pages, those with the lowest hash of
-    their key."""
+    """Weights from at most ``sample`` pages whose markup may name their
+    content, one a key, those with the lowest hash of their key."""
     keyed = pages.select(F.xxhash64(F.col(f"`{key_col}`")).alias("h"), F.col(f"`{html_col}`").alias("html"))
-    top = [r["h"] for r in keyed.select("h").orderBy("h").limit(sample).collect()]
+    keyed = keyed.where(F.col("html").rlike(LABELLED_RE))
+    top = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
     if not top:
         return dict(DEFAULT_WEIGHTS)
 

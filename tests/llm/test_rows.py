@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shopfloor.llm.chat_format import escape, fold_events, format_chats, read_loss, read_turns, unescape
+from shopfloor.llm.html_extract import DEFAULT_WEIGHTS, learn_weights
 from shopfloor.llm.line_dedup import dedup_lines
 from shopfloor.llm.quality_rules import quality_rules
 from shopfloor.llm.sharding import assign_shards, permute, unpermute
@@ -185,3 +186,13 @@ def test_chat_ties_and_nulls(spark):
     assert got == {None: [""], 1: ["first", "a", "a", "b"]}
 
 
+def test_weights_come_from_labelled_pages(spark):
+    plain = [(f"u{i}", "<div><p>some words here</p></div>") for i in range(2000)]
+    named = [(f"n{i}", "<nav>a b</nav><article><p>many words of the text</p></article><div>c</div>") for i in range(3)]
+    named.append(("r", '<div role="main">more words</div><footer>x y z</footer>'))
+    learn = lambda rows: learn_weights(spark.createDataFrame(rows, "url string, html string"), "url", "html", 20)
+    want = learn(named)
+    assert want != DEFAULT_WEIGHTS
+    # neither pages without labels nor repeated keys take up the sample
+    assert learn(plain + named) == want
+    assert all(learn([*named, *[row] * 100]) == want for row in named)
