@@ -120,6 +120,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.hard_negatives import hard_negatives
+
+    vectors = only(read(spark, sf_dir, "embeddings"), ["vec_id", "embedding", "label"])
+    moved = F.when(F.col("id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    found = hard_negatives(vectors, anchor=F.col("id") % 100 == 0, label=moved)
+    return found.select(
+        F.col("anchor").alias("anchor_id"),
+        F.col("positive").alias("positive_id"),
+        "rank",
+        F.col("negative").alias("negative_id"),
+        "positive_score",
+        "negative_score",
+    )
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from shopfloor.llm.best_fit_packing import pack_documents
+
+    docs = only(read(spark, sf_dir, "documents"), ["doc_id", "text"])
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        F.col("doc").alias("doc_id"), "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), "offset"
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shopfloor.llm.vector_codes import codebooks_sha256, vector_codes
+
+    vectors = only(read(spark, sf_dir, "embeddings"), ["vec_id", "embedding", "label"])
+    coded, books = vector_codes(vectors)
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return coded.select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(codebooks_sha256(books)).alias("codebooks_sha256"),
+    )
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_bpe_codec": op2_bpe_codec,
@@ -131,4 +174,7 @@ QUERIES = {
     "op8_shingle_join": op8_shingle_join,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
