@@ -12,8 +12,9 @@ displaced piece takes the place of a somewhat shorter one where that fills a
 bin better, and what is left goes, longest first, into the bin that it fits
 best.  Mutation dissolves the emptiest bins and a few others.  Plans are
 ranked by their number of bins, then by the sum of squared fills, which
-prefers full bins and empty ones to halves.  The first plan is best fit in
-descending order, so no result is worse than that.
+prefers full bins and empty ones to halves.  The first plans are best fit in
+descending order, so that no result is worse than that, and bins filled one
+by one by pieces of matching lengths; others are best fit in noisy order.
 
 On Spark: pieces are dealt evenly into blocks of a bounded size.  Each block
 is bred on several islands, a task each; after an epoch every island writes
@@ -48,7 +49,9 @@ from shopfloor.llm.byte_ids import byte_ids
 from shopfloor.llm.tables import materialise
 
 #: Pieces of a block; islands of a block; epochs, and generations of each.
-BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS = 8192, 3, 2, 8
+BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS = 8192, 3, 2, 20
+#: Islands bred one after the other by a task.
+ISLANDS_PER_TASK = 4
 #: Texts of so many bytes are encoded at once, a longer one alone.
 SLICE_BYTES = 16_000_000
 #: Plans of an island; share of a plan's bins that a child gets injected.
@@ -94,6 +97,39 @@ def fresh(order: np.ndarray, sizes: np.ndarray, limit: int) -> np.ndarray:
     return plan
 
 
+def filled(sizes: np.ndarray, limit: int) -> np.ndarray:
+    """A plan made bin by bin: the longest piece left, then one or two pieces
+    that fill the bin exactly if there are such, else the longest that fits,
+    and so on.  Sets of lengths are bits of a number, so that all pairs of a
+    sum are one intersection with the mirrored set."""
+    by_size = [[] for _ in range(limit + 1)]
+    for piece in range(len(sizes) - 1, -1, -1):
+        by_size[sizes[piece]].append(piece)
+    there = sum(1 << n for n, own in enumerate(by_size) if own)
+    mirror = sum(1 << (limit - n) for n, own in enumerate(by_size) if own)
+    plan, b = np.empty(len(sizes), dtype=np.int64), 0
+    while there:
+        room, n = limit, there.bit_length() - 1
+        while True:
+            plan[by_size[n].pop()] = b
+            room -= n
+            if not by_size[n]:
+                there ^= 1 << n
+                mirror ^= 1 << (limit - n)
+            fits = there & ((1 << (room + 1)) - 1)
+            if not fits:
+                break
+            n = fits.bit_length() - 1
+            if n != room:
+                pairs = fits & (mirror >> (limit - room))
+                if room % 2 == 0 and pairs >> (room // 2) & 1 and len(by_size[room // 2]) < 2:
+                    pairs ^= 1 << (room // 2)
+                if pairs:
+                    n = pairs.bit_length() - 1
+        b += 1
+    return plan
+
+
 def rank(plan: np.ndarray, sizes: np.ndarray) -> tuple[int, int]:
     """Fewer bins, then fuller ones, come first."""
     fill = np.bincount(plan, weights=sizes).astype(np.int64)
@@ -164,7 +200,7 @@ def evolve(sizes: np.ndarray, plans: list[np.ndarray], limit: int, seed: int, ge
     rng = np.random.default_rng(seed)
     needed = -(-int(sizes.sum()) // limit)
     if not plans:
-        plans = [fresh(np.argsort(-sizes, kind="stable"), sizes, limit)]
+        plans = [fresh(np.argsort(-sizes, kind="stable"), sizes, limit), filled(sizes, limit)]
     kept = sorted(((rank(p, sizes), k, p) for k, p in enumerate(plans)), key=lambda x: x[:2])
     born = len(kept)
     while len(kept) < PLANS and kept[0][0][0] > needed:
@@ -232,9 +268,10 @@ def cut_pieces(
 
 
 # ------------------------------------------------------------------- packing
-def _islands(loose: DataFrame, limit: int, islands: int, epochs: int, seed: int) -> DataFrame:
+def _islands(loose: DataFrame, blocks: int, limit: int, islands: int, epochs: int, seed: int) -> DataFrame:
     """The best plan of each block (of pieces: block, row, length): its bins
     as bytes, for the pieces from the longest, equal ones by row."""
+    tasks = -(-blocks * islands // ISLANDS_PER_TASK)  # their work is not in their size
     lengths = loose.select("block", "length").groupBy("block")
 
     def lay_out(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -262,6 +299,7 @@ def _islands(loose: DataFrame, limit: int, islands: int, epochs: int, seed: int)
         return breed
 
     for number in range(epochs):
+        state = state.repartition(tasks, "block", "island")
         state = materialise(state.groupBy("block", "island").applyInPandas(epoch(number), state_schema))
         elite = state.filter("place = 0")
         if number + 1 < epochs and islands > 1:
@@ -270,11 +308,11 @@ def _islands(loose: DataFrame, limit: int, islands: int, epochs: int, seed: int)
     return state.groupBy("block").agg(best.alias("plan"))
 
 
-def _dealt(pieces: DataFrame, block_pieces: int) -> DataFrame:
+def _dealt(pieces: DataFrame, block_pieces: int) -> tuple[DataFrame, int]:
     """Pieces (row, length) with a block, evenly and by their rows' numbers
-    alone."""
+    alone, and the number of blocks."""
     blocks = max(1, -(-pieces.count() // block_pieces))
-    return pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), blocks
 
 
 def _placed(loose: DataFrame, plans: DataFrame, limit: int, again: float) -> DataFrame:
@@ -309,10 +347,10 @@ def pack(pieces: DataFrame, limit: int = 1024, block_pieces: int = BLOCK_PIECES,
     # row numbers of a stored table do not change when a task is run again
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())
     loose = pieces.filter(F.col("length") < limit).select("row", "length")
-    dealt = _dealt(loose, block_pieces)
-    placed = materialise(_placed(dealt, _islands(dealt, limit, islands, epochs, seed), limit, AGAIN))
-    rest = _dealt(placed.filter("again").select("row", "length"), block_pieces)
-    second = _placed(rest, _islands(rest, limit, islands, epochs, seed + 1), limit, 0)
+    dealt, blocks = _dealt(loose, block_pieces)
+    placed = materialise(_placed(dealt, _islands(dealt, blocks, limit, islands, epochs, seed), limit, AGAIN))
+    rest, blocks = _dealt(placed.filter("again").select("row", "length"), block_pieces)
+    second = _placed(rest, _islands(rest, blocks, limit, islands, epochs, seed + 1), limit, 0)
     # three families of numbers: full pieces, first packing, second packing
     number = lambda family: (F.col("block") * (1 << 30) + F.col("bin")) * 3 + family
     where = placed.filter("NOT again").select("row", number(1).alias("sequence"), "offset").unionByName(

@@ -263,6 +263,10 @@ def test_breeding_keeps_every_piece_and_never_gets_worse():
         assert P.rank(plans[0], sizes) <= P.rank(first, sizes)
         child = P.cross(first, plans[-1], sizes, 100, rng)
         assert (child >= 0).all() and np.bincount(child, weights=sizes).max() <= 100
+    for n, most in ((300, 100), (50, 60)):
+        sizes = np.sort(rng.integers(1, most, n))[::-1].astype(np.int64)
+        plan = P.filled(sizes, 100)
+        assert np.bincount(plan, weights=sizes).max() <= 100 and sorted(set(plan.tolist())) == list(range(plan.max() + 1))
     # best fit in descending order needs 3 bins of 10 here, two are enough
     sizes = np.array([5, 4, 4, 3, 2, 2], dtype=np.int64)
     assert P.rank(P.evolve(sizes, [], 10, seed=0, generations=40)[0], sizes)[0] == 2
