@@ -53,7 +53,7 @@ BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS = 8192, 3, 2, 20
 #: Islands bred one after the other by a task.
 ISLANDS_PER_TASK = 4
 #: Texts of so many bytes are encoded at once, a longer one alone.
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 8_000_000
 #: Plans of an island; share of a plan's bins that a child gets injected.
 PLANS, INJECTED = 4, 0.15
 #: Share of bins, from the emptiest, that are packed again with other blocks'.
