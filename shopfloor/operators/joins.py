@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,49 @@ def attribute_values(
         .distinct()
     )
     return df.join(values, list(keys), "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+
+
+def attribute_pairs(
+    df: DataFrame,
+    eav: DataFrame,
+    keys: Sequence[str],
+    first: tuple[str, str, str],
+    second: tuple[str, str, str],
+    name_col: str = "ParamText",
+) -> DataFrame:
+    """S9 / J5 / C1 for two attributes in one pass over the EAV rows; each is
+    (name, value column, output column).
+
+    Two left joins, one for each name, give a row of ``df`` every pair of its
+    values.  Here the rows of both names go through one shuffle on the keys.
+    The m distinct values of the first name and the n of the second are
+    numbered; value i of the first stands in the cells (i, 1..n), value j of
+    the second in (1..m, j), and an aggregation by cell puts the pairs
+    together.  Nothing is collected, and a name without a value has one cell
+    with an empty text."""
+    keys, name = list(keys), F.col(name_col)
+    (one, one_value, one_out), (two, two_value, two_out) = first, second
+    role = lambda tag, wanted, value: F.when(
+        name == F.lit(wanted), F.struct(F.lit(tag).alias("tag"), F.coalesce(F.col(value), F.lit("")).alias("value"))
+    )
+    roles = F.array_compact(F.array(role(1, one, one_value), role(2, two, two_value)))
+    tagged = eav.filter(name.isin(one, two)).select(*keys, F.explode(roles).alias("r")).select(*keys, "r.tag", "r.value")
+    # one exchange: the distinct rows, both windows and the cells need the keys together
+    values = tagged.repartition(*keys).distinct()
+    by_key, place = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("tag", "value")
+    count = lambda tag: F.count(F.when(F.col("tag") == tag, 1)).over(by_key)
+    values = values.select(*keys, "tag", "value", F.row_number().over(place).alias("at"), count(1).alias("m"), count(2).alias("n"))
+    own = F.when(F.col("tag") == 1, F.col("at")).otherwise(F.col("at") - F.col("m"))
+    across = F.greatest(F.when(F.col("tag") == 1, F.col("n")).otherwise(F.col("m")), F.lit(1))
+    cells = values.select(*keys, "tag", "value", own.alias("own"), F.explode(F.sequence(F.lit(1).cast("long"), across)).alias("other"))
+    is_one = F.col("tag") == 1
+    cells = cells.select(
+        *keys,
+        F.when(is_one, F.col("own")).otherwise(F.col("other")).alias("i"),
+        F.when(is_one, F.col("other")).otherwise(F.col("own")).alias("j"),
+        F.when(is_one, F.col("value")).alias(one_out),
+        F.when(~is_one, F.col("value")).alias(two_out),
+    )
+    pairs = cells.groupBy(*keys, "i", "j").agg(F.max(one_out).alias(one_out), F.max(two_out).alias(two_out)).drop("i", "j")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return df.join(pairs, keys, "left").select(*df.columns, text(one_out), text(two_out))

@@ -7,8 +7,8 @@ Plan:
 2. open orders: one inner join to open orders grouped by (OrderNumber,
    TargetShipDate) with a row count; the line count is multiplied by it (T10);
 3. a relation of type 2 excludes an order: left anti join on oKey;
-4. line counts of the orders that are left, prices and the per-order facts as
-   left joins on oKey;
+4. line counts (added up by order before the shuffle), prices and the
+   per-order facts as left joins on oKey;
 5. dimension lookups (order types, customer, project, employees); orders
    without a project or employee stay off the shuffle.
 
@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.functions.columns import format_employee, identity_text, month_name, signed_price, status_name, uninvoiced
+from shopfloor.functions.money import product
 from shopfloor.operators.filters import half_open_days, in_list
 from shopfloor.operators.joins import left_join_known, line_counts, open_order_multiplicity, without_relation
+from shopfloor.sources.contracts import contracted
 
 # Fixed values of the report.
 BACKLOG_ORDER_TYPES = (1, 3)
@@ -82,6 +84,7 @@ def backlog_snapshot(
     OrderWeight, DecimalPlaces, CultureInfo, UOM — the outputs of the
     report's elided CTEs; absent columns are NULL).
     """
+    tables = contracted(tables, "backlog", ("order_prices", "order_facts", "translations"))
     orders = tables["orders"]
     orders = in_list(orders, "OrderType", order_types)
     orders = half_open_days(orders, "Date", start, end)
@@ -96,9 +99,9 @@ def backlog_snapshot(
     # facts): one partitioning of the orders side serves all of them.
     orders = open_order_multiplicity(orders, tables["orders_open"])
     orders = without_relation(orders, tables["order_relations"], EXCLUDED_RELATION_TYPE)
-    # lines are counted only for the orders that are left
-    details = tables["order_detail"].join(orders.select("oKey"), "oKey", "left_semi")
-    df = orders.join(line_counts(details), "oKey", "left")
+    # lines are counted by order in the map tasks, before the shuffle: the
+    # orders are read once, not once more to choose lines
+    df = orders.join(line_counts(tables["order_detail"]), "oKey", "left")
     if not price_in_orders:
         df = df.join(tables["order_prices"].select("oKey", "TotalPrice"), "oKey", "left")
     facts = tables.get("order_facts")
@@ -135,7 +138,7 @@ def backlog_snapshot(
         df = df.filter(F.col("__e_loc") == F.lit(location))
 
     type_desc = translate(F.col("__type_desc"))
-    total = F.col("TotalPrice") * F.col("CurrencyMultiplier")
+    total = product(df, "TotalPrice", "CurrencyMultiplier")
     result = df.select(
         "oKey",
         "OrderNumber",

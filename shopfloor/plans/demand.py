@@ -29,7 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.functions.columns import ack_label, format_part, is_open_closed_date, on_hold_label
+from shopfloor.functions.money import total, union_type
 from shopfloor.operators.filters import optional_eq
+from shopfloor.sources.contracts import contracted
 
 # Fixed values of the report.
 DEMAND_ORDER_TYPES = (1, 4)  # note: the backlog report uses (1, 3) — trap T11
@@ -135,12 +137,12 @@ def demand_from_serialized(
         "PONumber", "PartNo", "PartNoSuffix", "Description", "Status", "AckDate",
     ]
     agg = joined.groupBy(*keys).agg(
-        F.sum("IssuePartQty").alias("__sum"), F.count(F.lit(1)).alias("__count")
+        total(joined, "IssuePartQty").alias("__sum"), F.count(F.lit(1)).alias("__count")
     )
-    # The measure keeps the sum's own type; the count, an integer, is cast to it.
-    kind = agg.schema["__sum"].dataType
+    # The measure has the type of a union of the sum and the count.
+    kind = union_type(agg.schema["__sum"].dataType, agg.schema["__count"].dataType)
     return agg.withColumn(
-        "SOQty", F.when(F.col("branch") == 2, F.col("__sum")).otherwise(F.col("__count").cast(kind))
+        "SOQty", F.when(F.col("branch") == 2, F.col("__sum").cast(kind)).otherwise(F.col("__count").cast(kind))
     )
 
 
@@ -160,9 +162,12 @@ def so_quantity_detail(
     master_part_list, inventory_order_detail_quantities,
     inventory_detail_serialized, inventory_results.
     """
+    tables = contracted(tables, "demand")
     view = _project(demand_from_view(tables, part, suffix, location), part_format, F.col("SOQty"))
     serialized = _project(demand_from_serialized(tables, part, suffix, location), part_format, F.col("SOQty"))
-    result = view.unionByName(serialized).filter(F.col("SOQty") != 0)
+    kind = union_type(view.schema["SOQty"].dataType, serialized.schema["SOQty"].dataType)
+    stacked = [df.withColumn("SOQty", F.col("SOQty").cast(kind)) for df in (view, serialized)]
+    result = stacked[0].unionByName(stacked[1]).filter(F.col("SOQty") != 0)
     if sort:
         result = result.orderBy("PlanDate")
     return result

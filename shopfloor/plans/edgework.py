@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.operators.edge import PREPOST_TOKEN, is_number, item_layers, with_edge_totals, with_layer_flags
+from shopfloor.sources.contracts import contracted
 
 # Fixed attribute names of the calculation.
 EW_ATTR = "EW-STRAIGHT"
@@ -86,7 +87,9 @@ def gated_items(attributes: DataFrame, group_codes: DataFrame, options: DataFram
 def post_edge_lineal(attributes: DataFrame, group_codes: DataFrame, options: DataFrame) -> DataFrame:
     """``attributes`` (item_id, name, value), ``group_codes`` (item_id,
     group_name, code), ``options`` (item_id, option, group_name)."""
-    df = gated_items(attributes, group_codes, options)
+    t = {"item_attributes": attributes, "item_group_codes": group_codes, "item_options": options}
+    t = contracted(t, "edge")
+    df = gated_items(t["item_attributes"], t["item_group_codes"], t["item_options"])
     cond = F.coalesce(F.col("post"), F.lit(False)) | (
         (_variant_eq_one(F.col("annlami")) | F.coalesce(F.col("ew").contains(PREPOST_TOKEN), F.lit(False)))
         & _variant_ne_one(F.col("buyout"))

@@ -32,6 +32,7 @@ from shopfloor.functions.text import parse_int_list
 from shopfloor.operators.filters import equal_or_self, in_list
 from shopfloor.operators.lookback import look_back_final, look_back_partials
 from shopfloor.operators.settings import setting
+from shopfloor.sources.contracts import contracted
 
 COSTING_METHOD_SETTING = "CostingMethod"
 
@@ -58,6 +59,7 @@ def usage_by_period(
     report for ``days=(30, 60, 90)``; other window lists get the same
     ``'<d> Days Quantity'`` / ``'<d> Days Total Cost'`` pattern.
     """
+    tables = contracted(tables, "usage", ("general_setup", "part_multipliers"))
     days = sorted(set(days))
     if isinstance(categories, str):
         categories = parse_int_list(categories)

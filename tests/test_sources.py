@@ -1,7 +1,5 @@
-from pyspark.sql import types as T
-
 from shopfloor.operators.settings import setting
-from shopfloor.sources.schemas import LABEL_PART_COLUMNS, LABEL_PASS_THROUGH, conform
+from shopfloor.sources.schemas import LABEL_PART_COLUMNS, LABEL_PASS_THROUGH
 from shopfloor.sources.tables import catalog_tables
 
 
@@ -12,14 +10,6 @@ def test_setting_lookup_with_default(spark):
     assert setting(gs, "Missing") is None
 
 
-def test_conform_casts_and_fills(spark):
-    df = spark.createDataFrame([(1, "a")], "odKey int, Extra string")
-    schema = T.StructType([T.StructField("odKey", T.LongType()), T.StructField("Missing", T.StringType())])
-    out = conform(df, schema)
-    assert out.dtypes == [("odKey", "bigint"), ("Missing", "string")]
-    assert out.first()["Missing"] is None
-
-
 def test_label_contract_shape():
     assert len(LABEL_PART_COLUMNS) == 104
     assert len(LABEL_PASS_THROUGH) == 102
