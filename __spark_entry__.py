@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -230,15 +230,23 @@ def q_label_remake_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_label_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LITE and LOGO attributes of every label part ('' if absent)."""
+    from shopfloor.operators.joins import attribute_pairs
+    from shopfloor.plans.labels import ATTR_KEYS
+
+    t = TM.label_tables(LazyTables(spark, sf_dir))
+    df = t["label_parts"].select(*ATTR_KEYS).distinct()
+    lite, logo = ("LITE", "ParamValue", "LiteNumber"), ("LOGO", "ParamValue2", "LogoAttribute")
+    return attribute_pairs(df, t["order_detail_attributes"], ATTR_KEYS, lite, logo)
+
+
+def q_label_lite_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 / J5 for one attribute alone."""
     from shopfloor.operators.joins import attribute_values
     from shopfloor.plans.labels import ATTR_KEYS
 
     t = TM.label_tables(LazyTables(spark, sf_dir))
-    eav = t["order_detail_attributes"]
     df = t["label_parts"].select(*ATTR_KEYS).distinct()
-    df = attribute_values(df, eav, ATTR_KEYS, "LITE", "ParamValue", "LiteNumber")
-    df = attribute_values(df, eav, ATTR_KEYS, "LOGO", "ParamValue2", "LogoAttribute")
-    return df.distinct()
+    return attribute_values(df, t["order_detail_attributes"], ATTR_KEYS, "LITE", "ParamValue", "LiteNumber")
 
 
 def q_label_plan_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,6 +389,117 @@ def q_backlog_subtotal_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(df.select("oKey", "InvoiceAmount", uninvoiced("Subtotal").alias("Subtotal")))
 
 
+# ---------------------------- contracts, exact decimals, case-blind codes
+def _exact_text(df: DataFrame) -> DataFrame:
+    """Decimals as text, digit by digit: nothing is rounded on the way to the
+    comparison."""
+    return df.select(
+        *[F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    )
+
+
+def q_usage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5, A6, C18 on decimal(18,4) quantities, decimal(19,4) costs and
+    decimal(18,6) multipliers, unrounded."""
+    from shopfloor.plans.usage import usage_by_period
+    from shopfloor.sources.contracts import load
+
+    t = dict(TM.inventory_tables(LazyTables(spark, sf_dir)))
+    half = F.when(F.col("CategoryID") <= 3, 2.0).otherwise(0.5)
+    t["part_multipliers"] = t["inventory"].select("PartNo", "PartNoSuffix", half.alias("multiplier"))
+    return _exact_text(usage_by_period(load(t).tables, TM.END_DATE, system_cost_method=1))
+
+
+def q_so_quantity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, X1 on decimal(18,4): the view's quantity, a SUM and a COUNT in one
+    column, unrounded."""
+    from shopfloor.plans.demand import so_quantity_detail
+    from shopfloor.sources.contracts import load
+
+    t = TM.demand_tables(LazyTables(spark, sf_dir))
+    return _exact_text(so_quantity_detail(load(t).tables))
+
+
+def q_backlog_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3, C18 on decimal(19,4) prices times decimal(18,6) rates, unrounded."""
+    from shopfloor.plans.backlog import backlog_snapshot
+    from shopfloor.sources.contracts import load
+
+    t = load(TM.backlog_tables(LazyTables(spark, sf_dir))).tables
+    return _exact_text(backlog_snapshot(t, "1995-01-01", "2001-08-01"))
+
+
+def _backlog_of_texts(spark: SparkSession, sf_dir: str):
+    from shopfloor.sources.contracts import load
+
+    t = dict(TM.backlog_tables(LazyTables(spark, sf_dir)))
+    t["orders"] = TM.text_orders(t["orders"])
+    return load(t)
+
+
+def q_backlog_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts, held to their contract; rows with a value that is
+    none of its column, or without a key, do not reach the report."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    return _exact_text(backlog_snapshot(_backlog_of_texts(spark, sf_dir).tables, TM.BACKLOG_START, TM.BACKLOG_END))
+
+
+def q_orders_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that were rejected, and why."""
+    rejected = _backlog_of_texts(spark, sf_dir).rejected
+    return rejected.select(
+        "table", F.get_json_object("row", "$.OrderNumber").alias("OrderNumber"), F.array_join("reasons", "; ").alias("reasons")
+    )
+
+
+def q_backlog_nocase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collation and GUID case: other spellings of customers, employees, order
+    numbers, GUIDs and the location parameter meet all the same."""
+    from shopfloor.plans.backlog import backlog_snapshot
+    from shopfloor.sources.contracts import load, plain_text
+
+    t = load(TM.mixed_case(TM.backlog_tables(LazyTables(spark, sf_dir))), exact=False, nocase=True).tables
+    return _round_doubles(plain_text(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END, location="main")))
+
+
+def q_labels_nocase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collation and GUID case in the label report: cell ``Cutting`` meets the
+    stage CUT, attribute ``lite`` is LITE, session ``{s1}`` is S1."""
+    from shopfloor.plans.labels import work_cell_labels
+    from shopfloor.sources.contracts import load, plain_text
+
+    t = load(TM.mixed_case(TM.label_tables(LazyTables(spark, sf_dir))), exact=False, nocase=True).tables
+    return _round_doubles(plain_text(work_cell_labels(t, session=TM.SESSION)))
+
+
+def q_usage_nocase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collation in the usage report: part numbers, locations and cultures."""
+    from shopfloor.plans.usage import usage_by_period
+    from shopfloor.sources.contracts import load, plain_text
+
+    t = load(TM.mixed_case(TM.inventory_tables(LazyTables(spark, sf_dir))), exact=False, nocase=True).tables
+    return _round_doubles(plain_text(usage_by_period(t, TM.END_DATE, location="main", categories=" 2, 5 ,2, 6")))
+
+
+def q_backlog_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the open orders of one category, from the other source."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    t = dict(TM.backlog_tables(LazyTables(spark, sf_dir)))
+    t["orders_open_by_category"] = TM.open_orders_by_category(t.pop("orders_open"))
+    return _round_doubles(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END, category=TM.CATEGORY))
+
+
+def q_backlog_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order types in another language, as they are where there is no
+    translation; the sign of credits is told by the untranslated text."""
+    from shopfloor.plans.backlog import backlog_snapshot
+
+    t = {**TM.backlog_tables(LazyTables(spark, sf_dir)), "translations": TM.translations(spark)}
+    return _round_doubles(backlog_snapshot(t, TM.BACKLOG_START, TM.BACKLOG_END, order_types=(1, 3, 4)))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "usage_by_period": q_usage_by_period,
     "usage_param_list": q_usage_param_list,
@@ -416,6 +535,17 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backlog_price_table": q_backlog_price_table,
     "label_display_desc": q_label_display_desc,
     "backlog_subtotal_fallback": q_backlog_subtotal_fallback,
+    "label_lite_attribute": q_label_lite_attribute,
+    "usage_exact": q_usage_exact,
+    "so_quantity_exact": q_so_quantity_exact,
+    "backlog_exact": q_backlog_exact,
+    "backlog_from_text": q_backlog_from_text,
+    "orders_rejected": q_orders_rejected,
+    "backlog_nocase": q_backlog_nocase,
+    "labels_nocase": q_labels_nocase,
+    "usage_nocase": q_usage_nocase,
+    "backlog_by_category": q_backlog_by_category,
+    "backlog_translated": q_backlog_translated,
 }
 
 _ORACLE: dict[str, str] = {
@@ -456,6 +586,19 @@ _ORACLE: dict[str, str] = {
     "backlog_price_table": SQ.backlog_sql("1998-01-01", "2000-12-31", price="(TotalPrice + 10.0::DOUBLE)"),
     "label_display_desc": SQ.label_display_desc_sql(),
     "backlog_subtotal_fallback": SQ.backlog_subtotal_fallback_sql(),
+    "label_lite_attribute": SQ.label_lite_sql(),
+    "usage_exact": SQ.usage_sql(system_method=1, multiplier="if(CategoryID <= 3, 2.0, 0.5)", exact=True),
+    "so_quantity_exact": SQ.demand_sql(location=None, exact=True),
+    "backlog_exact": SQ.backlog_sql("1995-01-01", "2001-08-01", exact=True),
+    "backlog_from_text": SQ.backlog_sql("1998-01-01", "2000-12-31", exact=True, only=SQ.READABLE_ORDERS),
+    "orders_rejected": SQ.orders_rejected_sql(),
+    "backlog_nocase": SQ.backlog_sql("1998-01-01", "2000-12-31", location="MAIN"),
+    "labels_nocase": SQ.labels_sql(session=TM.SESSION),
+    "usage_nocase": SQ.usage_sql(location="MAIN", categories=(2, 5, 6)),
+    "backlog_by_category": SQ.backlog_sql(
+        "1998-01-01", "2000-12-31", waiting=f"substr(OrderNumber, 3)::BIGINT % 4 = {TM.CATEGORY}"
+    ),
+    "backlog_translated": SQ.backlog_sql("1998-01-01", "2000-12-31", words=TM.TRANSLATIONS, types=(1, 3, 4)),
 }
 
 

@@ -73,18 +73,30 @@ def backlog_snapshot(
     employee_name: Callable[[Column, Column], Column] = format_employee,
     translate: Callable[[Column], Column] = identity_text,
     sort: bool = True,
+    category: int = 0,
 ) -> DataFrame:
     """Run the backlog snapshot.
 
+    ``category``: 0 takes the open orders of all categories (``orders_open``),
+    any other one those of ``orders_open_by_category`` with that CategoryID
+    (S3).
+
     ``tables``: orders, order_types, customers, order_detail, employees,
     order_relations, orders_open; optional ``order_prices`` (oKey,
-    TotalPrice — else ``orders.TotalPrice`` is used) and ``order_facts``
+    TotalPrice — else ``orders.TotalPrice`` is used), ``translations`` (Text,
+    Translation: order types are shown translated, or as they are where there
+    is none; credits are told by the untranslated text) and ``order_facts``
     (one DataFrame or a list, keyed by oKey, carrying any of IncQuantity,
     Status, InvoiceAmount, Subtotal, TotalDimensions, QtyTotal, ItemTotal,
     OrderWeight, DecimalPlaces, CultureInfo, UOM — the outputs of the
     report's elided CTEs; absent columns are NULL).
     """
-    tables = contracted(tables, "backlog", ("order_prices", "order_facts", "translations"))
+    # the report asks one of two sources for the open orders
+    source, other = ("orders_open", "orders_open_by_category")[:: 1 if category == 0 else -1]
+    tables = contracted(tables, "backlog", ("order_prices", "order_facts", "translations", other))
+    open_orders = tables[source]
+    if category != 0:
+        open_orders = open_orders.filter(F.col("CategoryID") == category).drop("CategoryID")
     orders = tables["orders"]
     orders = in_list(orders, "OrderType", order_types)
     orders = half_open_days(orders, "Date", start, end)
@@ -97,7 +109,7 @@ def backlog_snapshot(
     )
     # oKey joins back to back (anti join, line counts, prices, per-order
     # facts): one partitioning of the orders side serves all of them.
-    orders = open_order_multiplicity(orders, tables["orders_open"])
+    orders = open_order_multiplicity(orders, open_orders)
     orders = without_relation(orders, tables["order_relations"], EXCLUDED_RELATION_TYPE)
     # lines are counted by order in the map tasks, before the shuffle: the
     # orders are read once, not once more to choose lines
@@ -113,6 +125,11 @@ def backlog_snapshot(
             df = df.withColumn(dst, F.lit(None).cast(kind))
 
     types = tables["order_types"].select("OrderType", F.col("Description").alias("__type_desc"))
+    shown = translate(F.col("__type_desc"))
+    if "translations" in tables:
+        words = tables["translations"].select(F.col("Text").alias("__type_desc"), "Translation")
+        types = types.join(words, "__type_desc", "left")
+        shown = F.coalesce(F.col("Translation"), shown)
     cust = tables["customers"].select("CustomerID", "SiteID", "Name", "SiteName")
     project = tables["customers"].select(
         F.col("CustomerGUID").alias("ProjectGUID"), F.col("SiteName").alias("__project_site")
@@ -137,7 +154,6 @@ def backlog_snapshot(
         # inner join — orders without an entering employee disappear.
         df = df.filter(F.col("__e_loc") == F.lit(location))
 
-    type_desc = translate(F.col("__type_desc"))
     total = product(df, "TotalPrice", "CurrencyMultiplier")
     result = df.select(
         "oKey",
@@ -150,7 +166,7 @@ def backlog_snapshot(
         "Status",
         "TargetShipDate",
         status_name("Status").alias("statusName"),
-        type_desc.alias("OrderType"),
+        shown.alias("OrderType"),
         "Name",
         "SiteName",
         "CustomerRef",

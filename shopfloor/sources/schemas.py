@@ -95,6 +95,7 @@ CONTRACTS: dict[str, T.StructType] = {
         "OrderDate timestamp_ntz, OrderNumber string, CompleteDate timestamp_ntz, OrderType string, TargetShipDate date,"
         " ReqDate date, Customer string, SalesPerson string, OrderTotal decimal(18,2), CultureInfo string"
     ),
+    "orders_open_by_category": _fields("OrderNumber string, TargetShipDate date, CategoryID int"),
     "order_prices": _fields(f"oKey long, TotalPrice {_MONEY}"),
     "order_facts": _fields(
         f"oKey long, IncQuantity {_QUANTITY}, Status string, InvoiceAmount {_MONEY}, Subtotal {_MONEY},"
@@ -180,6 +181,7 @@ CODES: dict[str, tuple[str, ...]] = {
     "customers": ("CustomerID", "SiteID"),
     "employees": ("EmployeeID", "LocationID"),
     "orders_open": ("OrderNumber",),
+    "orders_open_by_category": ("OrderNumber",),
     "translations": ("Text",),
     "label_parts": (),
     "order_detail_attributes": ("ParamText",),
@@ -228,6 +230,7 @@ REPORT_INPUTS: dict[str, dict[str, str]] = {
         "employees": "EmployeeID LastName FirstName LocationID",
         "order_relations": "ChildoKey RelationType",
         "orders_open": "OrderNumber TargetShipDate",
+        "orders_open_by_category": "OrderNumber TargetShipDate CategoryID",
         "order_prices": "oKey TotalPrice",
         "order_facts": "oKey IncQuantity? Status? InvoiceAmount? Subtotal? TotalDimensions? QtyTotal? ItemTotal?"
         " OrderWeight? DecimalPlaces? CultureInfo? UOM?",

@@ -622,3 +622,60 @@ def edge_tables(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "item_group_codes": glass.unionByName(gap_codes),
         "item_options": options,
     }
+
+
+# ------------------------------------------- the same inputs, less well kept
+# What is wrong with which order's text (column, text, divisor
+# of the order key).
+TEXT_FAULTS = (("Status", "n/a", 101), ("Date", "1997-13-40", 103), ("CurrencyMultiplier", "1,25", 107), ("oKey", None, 109))
+CATEGORY = 2  # the open-order category asked for
+TRANSLATIONS = (("Sales", "Verkauf"), ("Credit", "Gutschrift"))
+
+
+def text_orders(orders: DataFrame) -> DataFrame:
+    """Orders as an export of texts, some of which are no values of their
+    column, and with empty closing dates."""
+    out = []
+    for name, kind in orders.dtypes:
+        text = F.col(name).cast("string")
+        if name == "ClosedDate":
+            text = F.when(text == "1900-01-01 00:00:00", "").otherwise(text)
+        for column, wrong, every in TEXT_FAULTS:
+            if column == name:
+                text = F.when(F.col("oKey") % every == 0, F.lit(wrong)).otherwise(text)
+        out.append(text.alias(name))
+    return orders.select(*out)
+
+
+def mixed_case(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Codes and GUIDs as a case-blind database keeps them: other spellings on
+    the side that a report looks up, blanks at the end, braces."""
+    blind = lambda c: F.concat(F.lower(c), F.lit(" "))
+    braces = lambda c: F.concat(F.lit("{"), F.lower(c), F.lit("}"))
+    spelled = {
+        "customers": {"CustomerID": blind, "CustomerGUID": braces},
+        "employees": {"EmployeeID": blind, "LocationID": F.initcap},
+        "orders_open": {"OrderNumber": blind},
+        "work_cells": {"Description": lambda c: F.concat(F.initcap(c), F.lit("  "))},
+        "order_detail_attributes": {"ParamText": lambda c: F.when(F.col("MasterKey") % 2 == 0, blind(c)).otherwise(c)},
+        "opti_report_lites": {"SessionGUID": lambda c: F.when(F.col("Sequence") % 2 == 0, braces(c)).otherwise(c)},
+        "inventory": {"PartNo": blind},
+        "inventory_detail": {"PartNo": F.lower, "LocationID": blind},
+        "locations": {"LocationID": F.initcap},
+        "culture_currencies": {"CultureInfo": F.upper},
+        "master_part_list": {"MasterPartNo": blind},
+    }
+    out = dict(tables)
+    for table in set(tables) & set(spelled):
+        out[table] = tables[table].withColumns({c: f(F.col(c)) for c, f in spelled[table].items()})
+    return out
+
+
+def open_orders_by_category(orders_open: DataFrame) -> DataFrame:
+    """The other open-order source: every open order with a category."""
+    number = F.substring("OrderNumber", 3, 20).cast("long")
+    return orders_open.withColumn("CategoryID", (number % 4).cast("int"))
+
+
+def translations(spark: SparkSession) -> DataFrame:
+    return _literal_table(spark, TRANSLATIONS, "Text string, Translation string")

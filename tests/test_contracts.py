@@ -47,20 +47,73 @@ def _final_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plans_without_broadcast(spark):
-    """Plan shapes for sides too big to broadcast."""
-    from shopfloor.plans.demand import so_quantity_detail
-    from shopfloor.plans.labels import work_cell_labels
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """Contract tables as files, so that plans hold the reports' own joins and
+    not the fixture's, and without broadcasts: sides too big for them."""
     from shopfloor.sources import testmap as TM
     from shopfloor.sources.tables import LazyTables
 
     raw = LazyTables(spark, "/root/testdata/sf0.001")
+    folder, out = tmp_path_factory.mktemp("contracts"), {}
+    for report, tables in (("labels", TM.label_tables(raw)), ("backlog", TM.backlog_tables(raw)), ("demand", TM.demand_tables(raw))):
+        out[report] = {}
+        for name, df in tables.items():
+            path = f"file://{folder}/{report}/{name}"
+            df.write.parquet(path)
+            out[report][name] = spark.read.parquet(path)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        labels = _final_plan(work_cell_labels(TM.label_tables(raw), session=TM.SESSION))
-        assert labels.count("FileScan") <= 15 and labels.count("Exchange hashpartitioning") <= 32
-        demand = _final_plan(so_quantity_detail(TM.demand_tables(raw), part=TM.PART, suffix="0000", location="MAIN"))
-        assert "NestedLoop" not in labels + demand and "Cartesian" not in labels + demand
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    yield out
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_label_plan(spark, written):
+    from shopfloor.plans.labels import work_cell_labels
+    from shopfloor.sources import testmap as TM
+    from shopfloor.sources.staging import Stage
+
+    whole = work_cell_labels(written["labels"], session=TM.SESSION)
+    plan = _final_plan(whole)
+    assert plan.count("Exchange hashpartitioning") <= 23 and plan.count("FileScan") <= 12
+    with Stage(spark) as stage:
+        staged = work_cell_labels(written["labels"], session=TM.SESSION, stage=stage.keep)
+        plan = _final_plan(staged)
+        # the key set was made once, before; the attributes are read once
+        assert plan.count("Exchange hashpartitioning") <= 19 and "SessionGUID#" not in plan
+        assert plan.count("ParamText") and len([x for x in plan.split("FileScan")[1:] if "ParamValue2" in x.split("\n")[0]]) == 1
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        assert sorted(map(repr, staged.collect())) == sorted(map(repr, whole.collect()))
+        folder = stage.folder
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def test_staging_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from shopfloor.sources.staging import Stage
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        Stage(SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default)))
+
+
+def test_backlog_plan(written):
+    plan = _final_plan(backlog_snapshot(written["backlog"], "1995-01-01", "2001-08-01"))
+    # every table is read once, but for the two roles of customers and employees
+    assert plan.count("FileScan") <= 10 and plan.count("Exchange hashpartitioning") <= 18
+    assert len([x for x in plan.split("FileScan")[1:] if "OrderContact" in x.split("\n")[0]]) == 1
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_demand_plan_and_orders_of_results(written):
+    from shopfloor.plans.demand import so_quantity_detail
+    from shopfloor.sources import testmap as TM
+
+    demand = so_quantity_detail(written["demand"], part=TM.PART, suffix="0000", location="MAIN")
+    plan = _final_plan(demand)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    days = [r["PlanDate"] for r in so_quantity_detail(written["demand"]).collect()]  # O4
+    assert len(days) > 100 and days == sorted(days)
+    dates = [r["Date"] for r in backlog_snapshot(written["backlog"], "1995-01-01", "2001-08-01").collect()]  # O1
+    assert len(dates) > 100 and dates == sorted(dates)
