@@ -410,6 +410,17 @@ def q_usage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact_text(usage_by_period(load(t).tables, TM.END_DATE, system_cost_method=1))
 
 
+def q_usage_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U:75-77 on movements and lines that carry their month: only the
+    window's months meet."""
+    from shopfloor.plans.usage import usage_by_period
+    from shopfloor.sources.layout import with_month
+
+    t = dict(TM.inventory_tables(LazyTables(spark, sf_dir)))
+    t["inventory_trans"], t["inventory_trans_detail"] = with_month(t["inventory_trans"], t["inventory_trans_detail"])
+    return _round_doubles(usage_by_period(t, "2000-03-15 12:00:00", days=(10, 45)))
+
+
 def q_so_quantity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3, X1 on decimal(18,4): the view's quantity, a SUM and a COUNT in one
     column, unrounded."""
@@ -537,6 +548,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "backlog_subtotal_fallback": q_backlog_subtotal_fallback,
     "label_lite_attribute": q_label_lite_attribute,
     "usage_exact": q_usage_exact,
+    "usage_months": q_usage_months,
     "so_quantity_exact": q_so_quantity_exact,
     "backlog_exact": q_backlog_exact,
     "backlog_from_text": q_backlog_from_text,
@@ -588,6 +600,7 @@ _ORACLE: dict[str, str] = {
     "backlog_subtotal_fallback": SQ.backlog_subtotal_fallback_sql(),
     "label_lite_attribute": SQ.label_lite_sql(),
     "usage_exact": SQ.usage_sql(system_method=1, multiplier="if(CategoryID <= 3, 2.0, 0.5)", exact=True),
+    "usage_months": SQ.usage_sql(end="TIMESTAMP '2000-03-15 12:00:00'", windows=(10, 45)),
     "so_quantity_exact": SQ.demand_sql(location=None, exact=True),
     "backlog_exact": SQ.backlog_sql("1995-01-01", "2001-08-01", exact=True),
     "backlog_from_text": SQ.backlog_sql("1998-01-01", "2000-12-31", exact=True, only=SQ.READABLE_ORDERS),

@@ -113,11 +113,12 @@ def attribute_pairs(
     )
     roles = F.array_compact(F.array(role(1, one, one_value), role(2, two, two_value)))
     tagged = eav.filter(name.isin(one, two)).select(*keys, F.explode(roles).alias("r")).select(*keys, "r.tag", "r.value")
-    # one exchange: the distinct rows, both windows and the cells need the keys together
-    values = tagged.repartition(*keys).distinct()
+    # One exchange, made for the first window (none where the rows lie by key
+    # already): the distinct rows, the counts and the cells need no other.
     by_key, place = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("tag", "value")
+    values = tagged.withColumn("at", F.dense_rank().over(place)).distinct()
     count = lambda tag: F.count(F.when(F.col("tag") == tag, 1)).over(by_key)
-    values = values.select(*keys, "tag", "value", F.row_number().over(place).alias("at"), count(1).alias("m"), count(2).alias("n"))
+    values = values.select(*keys, "tag", "value", "at", count(1).alias("m"), count(2).alias("n"))
     own = F.when(F.col("tag") == 1, F.col("at")).otherwise(F.col("at") - F.col("m"))
     across = F.greatest(F.when(F.col("tag") == 1, F.col("n")).otherwise(F.col("m")), F.lit(1))
     cells = values.select(*keys, "tag", "value", own.alias("own"), F.explode(F.sequence(F.lit(1).cast("long"), across)).alias("other"))

@@ -33,6 +33,7 @@ from shopfloor.operators.filters import equal_or_self, in_list
 from shopfloor.operators.lookback import look_back_final, look_back_partials
 from shopfloor.operators.settings import setting
 from shopfloor.sources.contracts import contracted
+from shopfloor.sources.layout import MONTH, in_months
 
 COSTING_METHOD_SETTING = "CostingMethod"
 
@@ -68,19 +69,23 @@ def usage_by_period(
         value = setting(gs, COSTING_METHOD_SETTING) if gs is not None else None
         system_cost_method = int(value) if value not in (None, "") else 0
 
-    trans = equal_or_self(tables["inventory_trans"], "LocationID", location).select(
-        "InvTransID", "InvTransDate", "LocationID"
-    )
+    # Where both tables are kept by month (sources/layout.py), the window's
+    # months are the only partitions read, of the lines too.
+    movements = [tables["inventory_trans"], tables["inventory_trans_detail"]]
+    by_month = [MONTH] if all(MONTH in df.columns for df in movements) else []
+    if by_month:
+        movements = [in_months(df, tables["inventory_trans"], "InvTransDate", end, days[-1]) for df in movements]
+    trans = equal_or_self(movements[0], "LocationID", location).select("InvTransID", "InvTransDate", "LocationID", *by_month)
     lines = (
-        tables["inventory_trans_detail"]
+        movements[1]
         .filter(F.col("QuantityOnHandAdj") != 0)
-        .select("InvTransID", "PartNo", "PartNoSuffix", (-F.col("QuantityOnHandAdj")).alias("Quantity"))
+        .select("InvTransID", "PartNo", "PartNoSuffix", (-F.col("QuantityOnHandAdj")).alias("Quantity"), *by_month)
     )
     if categories is not None:
         # only movements of the chosen categories' parts meet the transactions
         chosen = in_list(tables["inventory"], "CategoryID", categories).select("PartNo", "PartNoSuffix")
         lines = lines.join(chosen, ["PartNo", "PartNoSuffix"], "left_semi")
-    fact = lines.join(trans, "InvTransID")
+    fact = lines.join(trans, ["InvTransID", *by_month])
     fine_keys = ["PartNo", "PartNoSuffix", "LocationID"]
     partial = look_back_partials(fact, fine_keys, "InvTransDate", ["Quantity"], end, days)
 

@@ -78,13 +78,14 @@ def same_guid(column: Column) -> Column:
     return F.upper(F.translate(F.trim(column), "{}", ""))
 
 
-def _columns(table: str, asked: str | None) -> list[tuple[T.StructField, bool]]:
-    """The contract's fields that are asked for, and whether they must be
-    there."""
+def _columns(table: str, df: DataFrame, asked: str | None) -> list[tuple[T.StructField, bool]]:
+    """The contract's fields that are asked for (default: those that the frame
+    has), and whether they must be there."""
     contract = CONTRACTS[table]
     if asked is None:
-        return [(f, False) for f in contract.fields]
-    return [(contract[n.rstrip("?")], not n.endswith("?")) for n in asked.split()]
+        return [(f, False) for f in contract.fields if f.name in df.columns]
+    names = [n for n in asked.split() if not n.endswith("*") or n[:-1] in df.columns]
+    return [(contract[n.rstrip("?*")], n[-1] not in "?*") for n in names]
 
 
 def _check(table: str, df: DataFrame, fields: Iterable[tuple[T.StructField, bool]]) -> None:
@@ -96,9 +97,7 @@ def _check(table: str, df: DataFrame, fields: Iterable[tuple[T.StructField, bool
 def admit(table: str, df: DataFrame, asked: str | None = None, exact: bool = False, nocase: bool = False, load: bool = False) -> Admitted:
     """Hold one frame to its contract.  ``asked`` are the columns wanted
     (default: all of the contract's that the frame has, in its order)."""
-    fields = _columns(table, asked)
-    if asked is None:
-        fields = [(f, needed) for f, needed in fields if f.name in df.columns]
+    fields = _columns(table, df, asked)
     _check(table, df, [*fields, *((CONTRACTS[table][k], True) for k in KEYS.get(table, ()) if load)])
     types = {f.name: f.dataType for f in df.schema.fields}
     out, faults = [], []
@@ -157,10 +156,6 @@ def contracted(tables: Mapping, report: str, optional: Iterable[str] = ()) -> di
         raise ContractError(f"the {report} report needs the tables {', '.join(lacking)}")
     out: dict = {}
     for table, df, asked in _report_frames(tables, report):
-        if table == "order_facts":  # any of its columns, in one frame or several
-            asked = " ".join(n for n in asked.split() if not n.endswith("?") or n[:-1] in df.columns)
-        elif table == "orders" and "TotalPrice" not in df.columns:
-            asked = asked.replace(" TotalPrice?", "")
         rows = admit(table, df, asked).rows
         if isinstance(tables[table], (list, tuple)):
             out.setdefault(table, []).append(rows)
@@ -171,7 +166,7 @@ def contracted(tables: Mapping, report: str, optional: Iterable[str] = ()) -> di
 
 def rejected_rows(tables: Mapping, report: str) -> DataFrame:
     """The rows that ``contracted`` leaves out: table, reasons, row."""
-    frames = [admit(t, df, " ".join(n for n in asked.split() if n.rstrip("?") in df.columns)).rejected for t, df, asked in _report_frames(tables, report)]
+    frames = [admit(t, df, " ".join(n for n in asked.split() if n.rstrip("?*") in df.columns)).rejected for t, df, asked in _report_frames(tables, report)]
     return reduce(DataFrame.unionByName, frames)
 
 

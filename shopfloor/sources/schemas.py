@@ -114,9 +114,9 @@ CONTRACTS: dict[str, T.StructType] = {
     "order_detail_plans": _fields("odKey long, ParentKey int, WorkCellID int, PlanDate date"),
     "work_cells": _fields("ID int, Description string"),
     "shortcuts": _fields("odKey long, ShortcutDesc string"),
-    "inventory_trans": _fields("InvTransID long, InvTransDate timestamp_ntz, LocationID string"),
+    "inventory_trans": _fields("InvTransID long, InvTransDate timestamp_ntz, LocationID string, InvTransMonth date"),
     "inventory_trans_detail": _fields(
-        f"InvTransID long, PartNo string, PartNoSuffix string, QuantityOnHandAdj {_QUANTITY}"
+        f"InvTransID long, PartNo string, PartNoSuffix string, QuantityOnHandAdj {_QUANTITY}, InvTransMonth date"
     ),
     "inventory": _fields(
         "PartNo string, PartNoSuffix string, CostMethod short, StockUOM string, CostUOM string, CategoryID int"
@@ -199,11 +199,12 @@ CODES: dict[str, tuple[str, ...]] = {
     "inventory_detail_serialized": ("SerialNumber", "LocationID"),
 }
 
-#: What each report reads (``?``: a column it can do without, then NULL).
+#: What each report reads (``?``: a column it can do without, then NULL;
+#: ``*``: one that it uses where there is one).
 REPORT_INPUTS: dict[str, dict[str, str]] = {
     "usage": {
-        "inventory_trans": "InvTransID InvTransDate LocationID",
-        "inventory_trans_detail": "InvTransID PartNo PartNoSuffix QuantityOnHandAdj",
+        "inventory_trans": "InvTransID InvTransDate LocationID InvTransMonth*",
+        "inventory_trans_detail": "InvTransID PartNo PartNoSuffix QuantityOnHandAdj InvTransMonth*",
         "inventory": "PartNo PartNoSuffix CostMethod StockUOM CostUOM CategoryID",
         "inventory_detail": "PartNo PartNoSuffix LocationID StdCost AvgCost LastCost",
         "locations": "LocationID CurrencyCulture",
@@ -223,7 +224,7 @@ REPORT_INPUTS: dict[str, dict[str, str]] = {
     },
     "backlog": {
         "orders": "oKey OrderNumber Date ShipDate Status OrderType CustomerID SiteID ProjectGUID EnteredBy SalesPersonID"
-        " CustomerRef PONumber OrderContact CurrencyMultiplier TaxAmount Notes Terms CompleteDate TotalPrice?",
+        " CustomerRef PONumber OrderContact CurrencyMultiplier TaxAmount Notes Terms CompleteDate TotalPrice*",
         "order_types": "OrderType Description",
         "customers": "CustomerID SiteID CustomerGUID Name SiteName",
         "order_detail": "odKey oKey ItemType AlternativeODKey",
@@ -232,8 +233,8 @@ REPORT_INPUTS: dict[str, dict[str, str]] = {
         "orders_open": "OrderNumber TargetShipDate",
         "orders_open_by_category": "OrderNumber TargetShipDate CategoryID",
         "order_prices": "oKey TotalPrice",
-        "order_facts": "oKey IncQuantity? Status? InvoiceAmount? Subtotal? TotalDimensions? QtyTotal? ItemTotal?"
-        " OrderWeight? DecimalPlaces? CultureInfo? UOM?",
+        "order_facts": "oKey IncQuantity* Status* InvoiceAmount* Subtotal* TotalDimensions* QtyTotal* ItemTotal*"
+        " OrderWeight* DecimalPlaces* CultureInfo* UOM*",
         "translations": "Text Translation",
     },
     "labels": {
