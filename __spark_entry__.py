@@ -421,6 +421,34 @@ def q_usage_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_doubles(usage_by_period(t, "2000-03-15 12:00:00", days=(10, 45)))
 
 
+def q_usage_sql_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage report as SQL with named arguments, from the texts of a
+    report form; one of them is NULL."""
+    from shopfloor.params import UsageParameters
+
+    asked = UsageParameters.from_text(end=TM.END_DATE, location="NULL", categories=" 2, 5 ,2, 6", system_cost_method="2")
+    return _round_doubles(asked.sql(spark, TM.inventory_tables(LazyTables(spark, sf_dir))))
+
+
+def q_so_quantity_sql_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The demand report as SQL with named arguments, two of them NULL."""
+    from shopfloor.params import DemandParameters
+
+    asked = DemandParameters(location="EAST")
+    return _round_doubles(asked.sql(spark, TM.demand_tables(LazyTables(spark, sf_dir))))
+
+
+def q_usage_catalog_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of another database, by qualified names."""
+    from shopfloor.plans.usage import usage_by_period
+    from shopfloor.sources.tables import catalog_tables
+
+    for name, df in TM.inventory_tables(LazyTables(spark, sf_dir)).items():
+        df.createOrReplaceGlobalTempView(f"erp_{name}")
+    names = {n: f"global_temp.erp_{n}" for n in ("inventory_trans", "inventory_trans_detail", "inventory", "inventory_detail", "locations", "culture_currencies", "master_part_list", "categories")}
+    return _round_doubles(usage_by_period(catalog_tables(spark, names), TM.END_DATE, location="EAST"))
+
+
 def q_so_quantity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3, X1 on decimal(18,4): the view's quantity, a SUM and a COUNT in one
     column, unrounded."""
@@ -549,6 +577,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_lite_attribute": q_label_lite_attribute,
     "usage_exact": q_usage_exact,
     "usage_months": q_usage_months,
+    "usage_sql_face": q_usage_sql_face,
+    "so_quantity_sql_face": q_so_quantity_sql_face,
+    "usage_catalog_names": q_usage_catalog_names,
     "so_quantity_exact": q_so_quantity_exact,
     "backlog_exact": q_backlog_exact,
     "backlog_from_text": q_backlog_from_text,
@@ -601,6 +632,9 @@ _ORACLE: dict[str, str] = {
     "label_lite_attribute": SQ.label_lite_sql(),
     "usage_exact": SQ.usage_sql(system_method=1, multiplier="if(CategoryID <= 3, 2.0, 0.5)", exact=True),
     "usage_months": SQ.usage_sql(end="TIMESTAMP '2000-03-15 12:00:00'", windows=(10, 45)),
+    "usage_sql_face": SQ.usage_sql(categories=(2, 5, 6), system_method=2),
+    "so_quantity_sql_face": SQ.demand_sql(location="EAST"),
+    "usage_catalog_names": SQ.usage_sql(location="EAST"),
     "so_quantity_exact": SQ.demand_sql(location=None, exact=True),
     "backlog_exact": SQ.backlog_sql("1995-01-01", "2001-08-01", exact=True),
     "backlog_from_text": SQ.backlog_sql("1998-01-01", "2000-12-31", exact=True, only=SQ.READABLE_ORDERS),
@@ -639,8 +673,10 @@ try:
     import corpus_pipeline
     from shopfloor.llm import oracle as _llm_oracle
     from shopfloor.llm import queries as _llm_queries
-except ImportError:
-    pass
+except ModuleNotFoundError as absent:
+    # only the subpackage itself may be absent, not what it needs
+    if absent.name not in ("corpus_pipeline", "shopfloor.llm", "shopfloor.llm.oracle", "shopfloor.llm.queries"):
+        raise
 else:
     _QUERIES.update({k: _importable(q) for k, q in {**_llm_queries.QUERIES, "pipeline": corpus_pipeline.run}.items()})
     _ORACLE.update(_llm_oracle.ORACLE)
