@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.llm.components import components
-from shopfloor.llm.tables import materialise
+from shopfloor.llm.tables import materialise, release
 from shopfloor.llm.words import mix, shingles, text_slices
 
 _U = np.uint64
@@ -445,6 +445,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "u", "v", "s", "t").mapInArrow(look, "a long, b long, u long, v long, linked boolean")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a stored table; the shuffle files it was made from may go."""
+    out = materialise(df)
+    release(df.sparkSession)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -452,12 +459,12 @@ def near_duplicates(
     documents link when 100 * intersection >= percent * union of their
     ``width``-word shingles."""
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    table = materialise(set_table(texts, width))
+    table = _stored(set_table(texts, width))
     known = texts.where(F.col("doc").isNotNull())
     shown = table.where((F.col("n") > 0) & F.col("doc").isNotNull())
-    sets = materialise(shown.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")))
+    sets = _stored(shown.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")))
 
-    shared = materialise(shared_words(word_rows(known, width, percent)))
+    shared = _stored(shared_words(word_rows(known, width, percent)))
     pairs = shared.where(~F.col("many")).select("a", "b").distinct()
     members = shared.where(F.col("many")).select("k", "a").distinct()
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(members.select("a")).distinct()
@@ -468,7 +475,7 @@ def near_duplicates(
         .agg(F.first("text").alias("text"))
         .select("doc", "h1", "h2", "n", "text")
     )
-    traits = materialise(features(source, width, percent))
+    traits = _stored(features(source, width, percent))
 
     # the texts of a document that has several are linked by it
     several = shown.groupBy("doc").agg(F.count_distinct("h1", "h2", "n").alias("texts")).where(F.col("texts") > 1)
@@ -476,27 +483,27 @@ def near_duplicates(
     own = own.select("u", F.col("doc").alias("v"))
 
     alone = members.withColumn("group", F.col("a"))
-    spans, reach = materialise(_span(alone, traits, None, percent, 1)), 1
+    spans, reach = _stored(_span(alone, traits, None, percent, 1)), 1
     ask, seen = _near(pairs, traits, percent).union(spans.select("a", "b")).distinct(), None
     found = None
     while True:
-        now = materialise(_verify(ask, traits, percent))
+        now = _stored(_verify(ask, traits, percent))
         seen = now if seen is None else seen.union(now)
         if now.where(F.col("linked")).limit(1).count() or found is None:
             found = components(seen.where(F.col("linked")).select("u", "v").union(own))
         # a failed pair matters only if its word was left on the strength of
         # it and nothing else connects the two
         group = traits.select("h1", "doc").join(found.select(F.col("u").alias("doc"), "v"), "doc", "left")
-        group = materialise(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct())
+        group = _stored(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct())
         one, two = group.toDF("a", "group"), group.toDF("b", "other")
-        apart = materialise(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct())
+        apart = _stored(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct())
         wrong = spans.where(F.col("open")).join(apart, ["a", "b"], "left_semi").select("k").distinct()
         if wrong.isEmpty():
             break
         reach *= 16
-        again = materialise(members.join(wrong, "k", "left_semi").join(one, "a").select("k", "a", "group"))
+        again = _stored(members.join(wrong, "k", "left_semi").join(one, "a").select("k", "a", "group"))
         out = again.select("k", "a").join(apart, "a").select("k", "a", "b")
-        spans = materialise(_span(again, traits, out, percent, reach))
+        spans = _stored(_span(again, traits, out, percent, reach))
         ask = spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
 
     stands = sets.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -47,6 +48,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any
+    more, such as those a table has just been written from: its cleaner acts on
+    the driver's garbage collections, which may otherwise be long in coming
+    (every half hour by default) while the executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """The named columns and no others, so that extra columns of the input
     cannot clash with an operator's own."""
