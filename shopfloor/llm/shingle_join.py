@@ -5,20 +5,24 @@ hash space is cut into m equal pieces, and the shingles of each piece are
 XORed into one sketch word.  Sets with Jaccard similarity of at least the
 threshold differ in at most D shingles, where D follows from the sizes; each
 difference touches one piece, so with m = D + 1 + s pieces at least s + 1 are
-untouched and their words are equal (pigeonhole).  A set leaves out its empty
-pieces if they are at most s: then one of the equal words is not empty.  Sets
-that share a word are candidates; they are compared by the Hamming distance
+untouched and their words are equal (pigeonhole).  A set leaves out its s
+pieces with the fewest shingles, which unrelated sets may share by chance (the
+earlier ones first where they have equally many): equal pieces hold equally
+many, so the last of the equal words in this order has s equal ones before it
+and neither set leaves it out.  Sets that share a word are candidates; they
+are compared by the Hamming distance
 of their bit sketches (one bit flipped a shingle), which is a lower bound of
 their symmetric difference, and what remains is verified on the sets.
 
 Equal sets are one vertex, so copies are never paired.  A word that only a few
-sets share gives their pairs; one that many share goes through ``_span``: in
-blocks, pairs within the Hamming bound are taken only between sets that the
-pairs taken so far do not connect.  If a taken pair fails verification and
-nothing else connects the two, its word is gone through again from the
-components found, taking more pairs between two groups each time, until no
-group is taken for connected that is not: every component is exact, though
-not every link is listed.
+sets share gives their pairs; of one that many share each set is first paired
+with the word's least set only, and words whose sets these pairs connect are
+done with.  The others go through ``_span``: in blocks, pairs within the
+Hamming bound are taken only between sets that the pairs taken so far do not
+connect.  If a taken pair fails verification and nothing else connects the
+two, its word is gone through again from the components found, taking more
+pairs between two groups each time, until no group is taken for connected that
+is not: every component is exact, though not every link is listed.
 
 Nothing is dropped or capped; the driver sees counts only.
 
@@ -82,7 +86,7 @@ class Bands:
         """(pieces, spare) of a join band."""
         top = self.edges[j + 1] - 1
         least = self.differ(top, top) + 1
-        spare = 2 + least // 16 if least > 1 else 0
+        spare = 2 + least // 4 if least > 1 else 0
         return least + spare, spare
 
     def linked(self, both: int, s: int, t: int) -> bool:
@@ -114,15 +118,14 @@ def sketch_words(own: np.ndarray, j: int, bands: Bands) -> np.ndarray:
     full = np.flatnonzero(size)
     word = np.zeros(m, dtype=np.uint64)
     word[full] = np.bitwise_xor.reduceat(mix(own ^ _U(0x5851F42D4C957F2D)), at[full])
-    piece = np.arange(m, dtype=np.uint64)
-    if m - len(full) <= spare:
-        word, piece = word[full], piece[full]
-    return mix(word + mix(piece + _U(j) * _U(0x100000001B3) + _U(1)))
+    piece = np.argsort(size, kind="stable")[spare:]
+    return mix(word[piece] + mix(piece.astype(np.uint64) + _U(j) * _U(0x100000001B3) + _U(1)))
 
 
 def bit_sketch(own: np.ndarray, j: int, bands: Bands) -> bytes:
-    """One bit flipped for each shingle, 64 bits to a piece."""
-    bits = 64 * bands.pieces(j)[0]
+    """One bit flipped for each shingle, 64 bits to a piece that is not spare."""
+    m, spare = bands.pieces(j)
+    bits = 64 * (m - spare)
     flips = np.bincount((mix(own) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -189,12 +192,13 @@ def _pair_batch(keys: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBat
 
 def shared_words(rows: DataFrame) -> DataFrame:
     """(many, k, a, b) from (k, h1): the pairs of sets that share a word with
-    at most FEW sets, and each set (a) of a word that more share.  Rows of a
-    word lie together and in order, so that they are read as a stream."""
+    at most FEW sets, and each set (b) of a word that more share, with the
+    least of them (a).  Rows of a word lie together and in order, so that they
+    are read as a stream."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = h = np.zeros(0, np.int64)
-        crowded = None  # the key that runs on, if its rows are already out
+        crowded = None  # the key that runs on and its least set, if rows of it are out
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -204,12 +208,14 @@ def shared_words(rows: DataFrame) -> DataFrame:
             k, h = k[fresh], h[fresh]
             cut = int(np.searchsorted(k, k[-1]))  # the last key may run on
             yield from _runs(k[:cut], h[:cut], crowded)
-            if crowded != k[-1]:
+            if crowded and crowded[0] != k[-1]:
                 crowded = None
             if len(k) - cut > 4 * FEW:
                 # send what there is; the last row stays, to tell repeats
-                yield _rows(np.ones(len(k) - 1 - cut, bool), k[cut:-1], h[cut:-1], h[cut:-1])
-                crowded, cut = k[-1], len(k) - 1
+                crowded = crowded or (k[-1], h[cut])
+                n = len(k) - 1 - cut
+                yield _rows(np.ones(n, bool), k[cut:-1], np.full(n, crowded[1]), h[cut:-1])
+                cut = len(k) - 1
             k, h = k[cut:], h[cut:]
         yield from _runs(k, h, crowded)
 
@@ -220,17 +226,19 @@ def _rows(many, k, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(map(pa.array, (many, k, a, b))), names=["many", "k", "a", "b"])
 
 
-def _runs(k: np.ndarray, h: np.ndarray, crowded: int | None) -> Iterator[pa.RecordBatch]:
+def _runs(k: np.ndarray, h: np.ndarray, crowded: tuple[int, int] | None) -> Iterator[pa.RecordBatch]:
     if not len(k):
         return
     start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     size = np.diff(np.append(start, len(k)))
-    lots = size > FEW
-    if crowded is not None:
-        lots |= k[start] == crowded
+    lots, least = size > FEW, h[start]
+    if crowded:
+        runs_on = k[start] == crowded[0]
+        lots |= runs_on
+        least = np.where(runs_on, crowded[1], least)
     row = np.repeat(lots, size)
     if row.any():
-        yield _rows(np.ones(int(row.sum()), bool), k[row], h[row], h[row])
+        yield _rows(np.ones(int(row.sum()), bool), k[row], np.repeat(least, size)[row], h[row])
     left, right = [], []
     for n in range(2, FEW + 1):
         at = start[(size == n) & ~lots]
@@ -309,7 +317,7 @@ def _hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
 
 
-def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame | None, percent: int, reach: int) -> DataFrame:
+def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame, percent: int, reach: int) -> DataFrame:
     """(k, a, b, open): pairs of set keys to verify for words that many sets
     share (``members``: k, a and the group the set is known to belong to).
 
@@ -325,12 +333,10 @@ def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame | None, per
     )
     sk = sketches.select(F.col("h1").alias("a"), "n", "own", "sketch", "above")
     rows = dealt.join(sk, "a").select("k", "lo", "hi", "a", F.lit(None).cast("long").alias("b"), "group", "low", "n", "own", "sketch", "above")
-    if failed is not None:
-        # a word's failed pairs go to each of its blocks' pairs; there are few
-        blocks = per.select(F.col("k").alias("w"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "blocks")
-        blocks = blocks.select("w", F.col("i").alias("x"), F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("y"))
-        out = failed.join(blocks, failed["k"] == blocks["w"]).select("k", F.col("x").alias("lo"), F.col("y").alias("hi"), "a", "b")
-        rows = rows.unionByName(out, allowMissingColumns=True)
+    # a failed pair goes to the pair of blocks that would find it
+    block = lambda key: F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
+    out = failed.join(per, "k").select("k", F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
+    rows = rows.unionByName(out, allowMissingColumns=True)
     schema = "k long, a long, b long, open boolean"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,8 +471,9 @@ def near_duplicates(
     sets = _stored(shown.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")))
 
     shared = _stored(shared_words(word_rows(known, width, percent)))
-    pairs = shared.where(~F.col("many")).select("a", "b").distinct()
-    members = shared.where(F.col("many")).select("k", "a").distinct()
+    pairs = shared.where(~F.col("many")).select("a", "b")
+    least = shared.where(F.col("many") & (F.col("a") != F.col("b"))).select("a", "b")
+    members = shared.where(F.col("many")).select("k", F.col("b").alias("a")).distinct()
     wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(members.select("a")).distinct()
     source = (
         sets.join(wanted, "h1")
@@ -482,29 +489,34 @@ def near_duplicates(
     own = shown.join(several, "doc").join(sets.withColumnRenamed("doc", "u"), ["h1", "h2", "n"])
     own = own.select("u", F.col("doc").alias("v"))
 
-    alone = members.withColumn("group", F.col("a"))
-    spans, reach = _stored(_span(alone, traits, None, percent, 1)), 1
-    ask, seen = _near(pairs, traits, percent).union(spans.select("a", "b")).distinct(), None
-    found = None
+    ask = _near(pairs.union(least).distinct(), traits, percent)
+    seen = found = spans = None
+    reach = 1
     while True:
         now = _stored(_verify(ask, traits, percent))
         seen = now if seen is None else seen.union(now)
         if now.where(F.col("linked")).limit(1).count() or found is None:
             found = components(seen.where(F.col("linked")).select("u", "v").union(own))
-        # a failed pair matters only if its word was left on the strength of
-        # it and nothing else connects the two
+            release(docs.sparkSession)
         group = traits.select("h1", "doc").join(found.select(F.col("u").alias("doc"), "v"), "doc", "left")
         group = _stored(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct())
         one, two = group.toDF("a", "group"), group.toDF("b", "other")
         apart = _stored(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct())
-        wrong = spans.where(F.col("open")).join(apart, ["a", "b"], "left_semi").select("k").distinct()
-        if wrong.isEmpty():
+        if spans is None:
+            # words whose sets are not all connected yet
+            some = members.join(one, "a").groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+            words = some.where("lo <> hi").select("k")
+        else:
+            # a failed pair matters only if its word was left on the strength
+            # of it and nothing else connects the two
+            words = spans.where(F.col("open")).join(apart, ["a", "b"], "left_semi").select("k").distinct()
+        again = _stored(members.join(words, "k", "left_semi").join(one, "a").select("k", "a", "group"))
+        if again.isEmpty():
             break
-        reach *= 16
-        again = _stored(members.join(wrong, "k", "left_semi").join(one, "a").select("k", "a", "group"))
-        out = again.select("k", "a").join(apart, "a").select("k", "a", "b")
+        out = again.select("k", F.col("a").alias("b")).join(apart, "b").join(again, ["k", "a"], "left_semi").select("k", "a", "b")
         spans = _stored(_span(again, traits, out, percent, reach))
         ask = spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        reach *= 16
 
     stands = sets.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select(
         "h1", "h2", "n", F.coalesce("v", "doc").alias("component_id")

@@ -12,7 +12,7 @@ import corpus_pipeline
 from shopfloor.llm.components import components
 from shopfloor.llm.decontaminate import common_subsequence, find_leaks, subsequence_masks
 from shopfloor.llm.lm_score import lm_scores
-from shopfloor.llm.shingle_join import _spanning, bands_for, near_duplicates
+from shopfloor.llm.shingle_join import _runs, _spanning, bands_for, near_duplicates, sketch_words
 from tests.llm.conftest import pairs
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +116,37 @@ def test_bands_hold_every_linked_pair():
                         assert bands.differ(s, t) + spare < m
 
 
+def test_linked_sets_share_a_kept_word():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    for percent in (80, 85):
+        bands = bands_for(percent)
+        for n in (1, 2, 5, 9, 17, 40, 130, 700, 3000):
+            for _ in range(40):
+                own = np.unique(rnd.integers(0, 1 << 64, n, dtype=np.uint64))
+                # as many changes as a linked pair may have, some of them added only
+                gone = (100 - percent) * n // (100 + percent)
+                keep = rnd.permutation(own)[gone:]
+                new = rnd.integers(0, 1 << 64, int(rnd.integers(0, gone + 1)), dtype=np.uint64)
+                other = np.unique(np.concatenate([keep, new]))
+                if bands.linked(len(np.intersect1d(own, other)), len(own), len(other)):
+                    common = set(bands.of(len(own))) & set(bands.of(len(other)))
+                    assert any(set(sketch_words(own, j, bands)) & set(sketch_words(other, j, bands)) for j in common)
+
+
+def test_crowded_words_name_their_least_set():
+    import numpy as np
+
+    k, h = np.repeat([1, 2, 3], [12, 3, 9]), np.arange(24)
+    rows = [r for b in _runs(k, h, None) for r in b.to_pylist()]
+    assert {(r["k"], r["a"], r["b"]) for r in rows if r["many"]} == {(1, 0, x) for x in range(12)} | {(3, 15, x) for x in range(15, 24)}
+    assert {(r["a"], r["b"]) for r in rows if not r["many"]} == {(12, 13), (12, 14), (13, 14)}
+    # a word that runs on keeps the least set of its rows before
+    rows = [r for b in _runs(k[:2], h[:2], (1, -7)) for r in b.to_pylist()]
+    assert [(r["many"], r["a"], r["b"]) for r in rows] == [(True, -7, 0), (True, -7, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
