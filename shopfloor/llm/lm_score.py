@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.tables import materialise
+from shopfloor.llm.tables import materialise, release
 from shopfloor.llm.words import FOLD, Words, mix, text_slices
 
 _U = np.uint64
@@ -394,14 +394,15 @@ def feature_counts(chunks: DataFrame) -> DataFrame:
                     [
                         pa.array([batch.column("chunk")[i].as_py()] * len(own), pa.int64()),
                         pa.array([k for k, _ in own], pa.int32()),
-                        pa.array([keys[part].tobytes() for _, part in own], pa.binary()),
+                        # sorted keys lie close together, so that their differences have empty planes
+                        pa.array([_wide(np.diff(keys[part], prepend=_U(0))) for _, part in own], pa.binary()),
                         pa.array([_wide(counts[part]) for _, part in own], pa.binary()),
                     ],
                     names=["chunk", "block", "keys", "counts"],
                 )
 
     def add(block: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in block["keys"].to_pylist()]
+        keys = [np.cumsum(_from_wide(k).view(np.uint64), dtype=np.uint64) for k in block["keys"].to_pylist()]
         own, at = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.zeros(len(own), np.int64)
         np.add.at(counts, at, np.concatenate([_from_wide(c) for c in block["counts"].to_pylist()]))
@@ -463,12 +464,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     model = start_model(sums.toPandas())  # one row a class
     for part in range(rounds):
         model = train_round(chunks, model, part, rounds)
+        release(docs.sparkSession)
+    features = materialise(feature_counts(chunks))
+    release(docs.sparkSession)
 
     # counts of the words that other chunks hold too; of the rest each chunk
     # has the count itself
     wide = counted.where(F.col("chunks") > 1).select("h", F.col("c").alias("all"))
     told = entries.select("chunk", "at", "h").join(wide, "h").select("chunk", "at", "all")
-    told = told.unionByName(feature_counts(chunks), allowMissingColumns=True)
+    told = told.unionByName(features, allowMissingColumns=True)
 
     def score(key, chunk: pa.Table, words: pa.Table) -> pa.Table:
         out = []
