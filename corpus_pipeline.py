@@ -53,8 +53,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = first.select(F.col("doc").alias(f"{p}doc"), F.col("rows").alias(f"{p}rows"))
     kept = docs.join(first, docs["doc_id"] == first[f"{p}doc"])
     single = kept.where(F.col(f"`{p}rows`") == 1).select(docs["*"])
-    # of rows that repeat an id the least; there are none in a sound table
-    least = F.min(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias(f"{p}row")
+    # of rows that repeat an id the one whose JSON has the least digest (columns
+    # of any type, maps included); there are none in a sound table
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    least = F.min_by(row, F.sha2(F.to_json(row), 256)).alias(f"{p}row")
     several = kept.where(F.col(f"`{p}rows`") > 1).groupBy(f"`{p}doc`").agg(least).select(f"`{p}row`.*")
     return single.union(several).union(docs.where(F.col("doc_id").isNull()))
 
