@@ -29,10 +29,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where the
-    session names none (tests), a temporary one is made and set."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where a local
+    session names none (tests), a temporary one is made and set.  On a cluster
+    that would be another folder on every machine, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

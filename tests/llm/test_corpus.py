@@ -343,3 +343,26 @@ def test_pipeline_stages(spark, odd_docs, tmp_path):
     empty = spark.createDataFrame([], odd_docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_columns_of_any_type(spark):
+    rows = [(1, "some words of a text that is short.", {"a": 1}, [1.0]), (1, "other words of a text that is short.", {"b": 2}, None), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, n array<double>")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        assert stage(spark, docs, "").columns == docs.columns, name
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+    assert tuple(kept[0 if kept[0]["doc_id"] == 1 else 1]) in [(d, t, m, n) for d, t, m, n in rows]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from shopfloor.llm.tables import shared_dir
+
+    session = lambda path: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda name, default: path), sparkContext=SimpleNamespace(master="spark://host:7077")
+    )
+    assert shared_dir(session("file:///shared/folder/")) == "file:///shared/folder"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session(None))
