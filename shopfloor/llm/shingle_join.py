@@ -51,9 +51,14 @@ _U = np.uint64
 #: Words shared by more sets than this are gone through in blocks.
 FEW = 8
 BLOCK = 4096
+#: Pairs between two groups of a word's sets that are verified, if there are so
+#: many, before the groups are taken for connected.
+REACH = 8
 #: Sets whose words a task remembers having sent already.
 SEEN = 1_000_000
 BAND_RATIO = (3, 2)
+#: The low bits of a join key that hold its join band (some 70 bands).
+BAND_BITS = 7
 
 
 class Bands:
@@ -111,7 +116,7 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_words(own: np.ndarray, j: int, bands: Bands) -> np.ndarray:
-    """The join keys of a sorted set in join band j."""
+    """The join keys of a sorted set in join band j, which their low bits tell."""
     m, spare = bands.pieces(j)
     at = np.searchsorted(own, _cuts(m))
     size = np.diff(np.append(at, len(own)))
@@ -119,7 +124,8 @@ def sketch_words(own: np.ndarray, j: int, bands: Bands) -> np.ndarray:
     word = np.zeros(m, dtype=np.uint64)
     word[full] = np.bitwise_xor.reduceat(mix(own ^ _U(0x5851F42D4C957F2D)), at[full])
     piece = np.argsort(size, kind="stable")[spare:]
-    return mix(word[piece] + mix(piece.astype(np.uint64) + _U(j) * _U(0x100000001B3) + _U(1)))
+    key = mix(word[piece] + mix(piece.astype(np.uint64) + _U(j) * _U(0x100000001B3) + _U(1)))
+    return key >> _U(BAND_BITS) << _U(BAND_BITS) | _U(j)
 
 
 def bit_sketch(own: np.ndarray, j: int, bands: Bands) -> bytes:
@@ -331,8 +337,12 @@ def _span(members: DataFrame, sketches: DataFrame, failed: DataFrame, percent: i
     dealt = dealt.select(
         "k", "a", "group", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") <= F.col("j")).alias("low")
     )
-    sk = sketches.select(F.col("h1").alias("a"), "n", "own", "sketch", "above")
-    rows = dealt.join(sk, "a").select("k", "lo", "hi", "a", F.lit(None).cast("long").alias("b"), "group", "low", "n", "own", "sketch", "above")
+    # of a set's two sketches only the one for the word's band is sent
+    sk = sketches.select(F.col("h1").alias("a"), "n", "own", F.col("sketch").alias("mine"), "above")
+    fit = F.when(F.col("k").bitwiseAND((1 << BAND_BITS) - 1) == F.col("own"), F.col("mine")).otherwise(F.col("above"))
+    rows = dealt.join(sk, "a").select(
+        "k", "lo", "hi", "a", F.lit(None).cast("long").alias("b"), "group", "low", "n", fit.alias("sketch")
+    )
     # a failed pair goes to the pair of blocks that would find it
     block = lambda key: F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
     out = failed.join(per, "k").select("k", F.least(block("a"), block("b")).alias("lo"), F.greatest(block("a"), block("b")).alias("hi"), "a", "b")
@@ -367,12 +377,8 @@ def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.Rec
     word, cross = own["k"][0].as_py(), own["lo"][0].as_py() != own["hi"][0].as_py()
     key, other = own["a"].to_numpy(), own["b"].to_pylist()
     banned = {(a, b) for a, b in zip(key.tolist(), other, strict=True) if b is not None}
-    band, sketch, above = own["own"].to_pylist(), own["sketch"].to_pylist(), own["above"].to_pylist()
-    # all sketches of a word are for one join band, that of the larger sizes
-    top = max((x for x in band if x is not None), default=0)
     bits, keep = [], []
-    for i, (j, s, t) in enumerate(zip(band, sketch, above, strict=True)):
-        w = None if j is None else s if j == top else t
+    for i, w in enumerate(own["sketch"].to_pylist()):
         if w is not None and not (keep and key[keep[-1]] == key[i]):
             keep.append(i)
             bits.append(np.frombuffer(w, np.uint64))
@@ -491,7 +497,7 @@ def near_duplicates(
 
     ask = _near(pairs.union(least).distinct(), traits, percent)
     seen = found = spans = None
-    reach = 1
+    reach = REACH
     while True:
         now = _stored(_verify(ask, traits, percent))
         seen = now if seen is None else seen.union(now)
