@@ -20,6 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from shopfloor.functions.text import parse_int_list
+from shopfloor.operators.joins import never_broadcast
 from shopfloor.sources.contracts import contracted
 
 # ---------------------------------------------------------------- reading
@@ -109,7 +110,9 @@ class DemandParameters(Parameters):
         return so_quantity_detail(tables, self.part, self.suffix, self.location, **more)
 
     def sql(self, spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-        return spark.sql(DEMAND_SQL, args=self.args(), **contracted(tables, "demand"))
+        frames = contracted(tables, "demand")
+        frames["master_part_list"] = never_broadcast(frames["master_part_list"])
+        return spark.sql(DEMAND_SQL, args=self.args(), **frames)
 
 
 @dc.dataclass(frozen=True)
@@ -130,6 +133,7 @@ class UsageParameters(Parameters):
 
     def sql(self, spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
         frames = contracted(tables, "usage", ("general_setup", "part_multipliers"))
+        frames |= {n: never_broadcast(frames[n]) for n in ("inventory", "inventory_detail", "master_part_list")}
         args = self.args()
         # the columns hold local times
         args["end"] = self.end.isoformat(sep=" ")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions.columns import ack_label, format_part, is_open_closed_date, on_hold_label
 from shopfloor.functions.money import total, union_type
 from shopfloor.operators.filters import optional_eq
+from shopfloor.operators.joins import never_broadcast
 from shopfloor.sources.contracts import contracted
 
 # Fixed values of the report.
@@ -64,8 +65,8 @@ def _orders(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _line_parts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    return tables["master_part_list"].select(
-        F.col("MasterPartNo").alias("PartNo"), "PartNoSuffix", "Description"
+    return never_broadcast(
+        tables["master_part_list"].select(F.col("MasterPartNo").alias("PartNo"), "PartNoSuffix", "Description")
     )
 
 
@@ -110,6 +111,8 @@ def demand_from_serialized(
     issued = tables["master_part_list"]
     issued = optional_eq(optional_eq(issued, "MasterPartNo", part), "PartNoSuffix", suffix)
     issued = issued.select(F.col("GUID").alias("guid"))
+    if part is None:
+        issued = never_broadcast(issued)
 
     orders = _orders(tables).filter(
         is_open_closed_date("ClosedDate")

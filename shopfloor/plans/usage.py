@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from shopfloor.functions.columns import format_part, unit_cost
 from shopfloor.functions.text import parse_int_list
 from shopfloor.operators.filters import equal_or_self, in_list
+from shopfloor.operators.joins import never_broadcast
 from shopfloor.operators.lookback import look_back_final, look_back_partials
 from shopfloor.operators.settings import setting
 from shopfloor.sources.contracts import contracted
@@ -84,7 +85,7 @@ def usage_by_period(
     if categories is not None:
         # only movements of the chosen categories' parts meet the transactions
         chosen = in_list(tables["inventory"], "CategoryID", categories).select("PartNo", "PartNoSuffix")
-        lines = lines.join(chosen, ["PartNo", "PartNoSuffix"], "left_semi")
+        lines = lines.join(never_broadcast(chosen), ["PartNo", "PartNoSuffix"], "left_semi")
     fact = lines.join(trans, ["InvTransID", *by_month])
     fine_keys = ["PartNo", "PartNoSuffix", "LocationID"]
     partial = look_back_partials(fact, fine_keys, "InvTransDate", ["Quantity"], end, days)
@@ -107,13 +108,13 @@ def usage_by_period(
     # The partial result is hash-partitioned on the fine keys, so the cost
     # join on the same keys needs no new exchange of the fact side.
     # The code tables meet the small sides they describe, not the fact.
-    stocked = inv.join(cats, "CategoryID").join(parts, ["PartNo", "PartNoSuffix"])
+    stocked = inv.join(cats, "CategoryID").join(never_broadcast(parts), ["PartNo", "PartNoSuffix"])
     priced = costs.join(locs.join(cultures, "CurrencyCulture"), "LocationID")
-    joined = partial.join(priced, fine_keys).join(stocked, ["PartNo", "PartNoSuffix"])
+    joined = partial.join(never_broadcast(priced), fine_keys).join(never_broadcast(stocked), ["PartNo", "PartNoSuffix"])
     multipliers = tables.get("part_multipliers")
     if multipliers is not None:
         joined = joined.join(
-            multipliers.select("PartNo", "PartNoSuffix", F.col("multiplier").alias("__mult")),
+            never_broadcast(multipliers.select("PartNo", "PartNoSuffix", F.col("multiplier").alias("__mult"))),
             ["PartNo", "PartNoSuffix"],
             "left",
         ).withColumn("__mult", F.coalesce("__mult", F.lit(1)))
