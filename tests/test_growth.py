@@ -43,3 +43,31 @@ def test_no_table_of_parts_is_collected_on_the_driver(spark, stock):
         broadcast = re.findall(r"BroadcastHashJoin \[(.*?)\],", plan_text(df))
         assert broadcast and not [keys for keys in broadcast if "PartNo" in keys or "InvTransID" not in keys and "Part" in keys]
         assert [(r["Part"], r["30 Days Quantity"], r["CurrentCost"]) for r in df.collect()] == [("A-0", 5.0, 1.0)]
+
+
+def _routes(spark):
+    routes = spark.createDataFrame(
+        [(1, 1, "CUT, TEMP,CUT"), (1, 1, "CUT, TEMP,CUT"), (1, 2, "CUT"), (2, None, "TEMP"), (3, 1, None), (None, 1, "CUT")],
+        "odKey long, ParentKey int, WorkFlow string",
+    )
+    day = lambda m, d: dt.date(2024, m, d)
+    plans = spark.createDataFrame(
+        [(1, 0, 1, day(5, 2)), (1, 0, 1, day(5, 2)), (1, 1, 2, day(5, 1)), (1, 2, 1, day(4, 9)), (1, 1, 3, day(6, 1)),
+         (2, 0, 3, day(7, 1)), (2, 1, 3, day(7, 2)), (2, None, 3, day(7, 3)), (None, 0, 1, day(8, 1))],
+        "odKey long, ParentKey int, WorkCellID int, PlanDate date",
+    )
+    return routes, plans, spark.createDataFrame([(1, "CUT"), (2, "CUTTING"), (3, "TEMP")], "ID int, Description string")
+
+
+def test_a_route_travels_once_before_its_stages_are_made(spark):
+    routes, plans, cells = _routes(spark)
+    for df in (stage_dates(routes, plans, cells), plan_date_workflow(routes, plans, cells)):
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_text(df))
+        keys = [k for d in dealt if (k := re.sub(r"#\d+L?", "", d)) not in ("WorkCellID", "ID")]
+        assert keys == ["odKey", "odKey"], dealt
+    df = stage_dates(routes, plans, cells)
+    found = {(r["odKey"], r["ParentKey"], r["pos"], r["item"]): r["dates"] for r in df.collect()}
+    assert found == {
+        (1, 1, 0, "CUT"): ["05-01", "05-02"], (1, 1, 1, "TEMP"): ["06-01"], (1, 1, 2, "CUT"): ["05-01", "05-02"],
+        (1, 2, 0, "CUT"): ["04-09", "05-02"], (2, None, 0, "TEMP"): ["07-01"],
+    }
