@@ -6,17 +6,17 @@ The per-item Visual Basic loop becomes set operations:
 * group names (``LITE <lite> GLASS``, ``LITE <lite>.<i> INTERLAYERS``,
   ``... PROCESS``, ``... IL<j> TYPE``, ``... IL<j>``, option group
   ``... OPTION``) are classified in ONE pass, from the right (no regex);
-* rows are aggregated per gap ``(item, lite, i)`` into fixed int slots:
-  interlayer count, process, SHATOP option and per interlayer j the film
-  type / code flags — only ``i, j <= 9`` can matter because the loop bounds
-  are single digits, so both aggregations are plain hash aggregations over
-  ints and nothing is collected;
-* the first film interlayer is the smallest slot j <= count holding a film;
-* gaps are folded per ``(item, lite)`` into 9 slots per flag; the "scan in
-  order, stop at the first SHATOP gap" rule becomes
-  ``i_stop = min(i where SHATOP)``, and the flags are ``exists`` over the
-  gaps before it.  The stop gap still has its interlayer count read, so an
-  unreadable count there is an error, as in the loop.
+* rows are aggregated per gap ``(item, lite, i)`` into a few ints: interlayer
+  count, process, SHATOP option and, as bit sets over the interlayers j, where
+  a film, an SGP film and the film code stand — only ``i, j <= 9`` can matter
+  because the loop bounds are single digits, so both aggregations are plain
+  hash aggregations over ints, a narrow row a group, and nothing is collected;
+* the first film interlayer is the lowest bit j <= count of the films;
+* gaps are folded per ``(item, lite)`` into one bit set per flag; the "scan in
+  order, stop at the first SHATOP gap" rule becomes the lowest bit of the
+  SHATOP gaps, and the flags are tests of the bits below it.  The stop gap
+  still has its interlayer count read, so an unreadable count there is an
+  error, as in the loop.
 """
 
 from __future__ import annotations
@@ -104,111 +104,94 @@ def _digit_or_minus_one(c: Column) -> Column:
     return F.when(_is_digit(c), c.cast("int")).otherwise(F.lit(-1))
 
 
+def _bit(k: Column) -> Column:
+    """The bit of a gap or an interlayer number."""
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def _bits_to(k: Column) -> Column:
+    """The bits of the numbers 1 to ``k``, a digit or less than one."""
+    return F.call_function("shiftleft", F.lit(2), F.greatest(k, F.lit(0))) - 2
+
+
+def _bits(where: Column, k: Column) -> Column:
+    """The set of the ``k`` of a group's rows ``where`` holds, as bits."""
+    return F.coalesce(F.bit_or(F.when(where, _bit(k))), F.lit(0))
+
+
+def _lowest(bits: Column) -> Column:
+    return bits.bitwiseAND(-bits)
+
+
 def item_layers(group_codes: DataFrame, options: DataFrame) -> DataFrame:
     """Per (item_id, lite): ``glass_digit`` (last character of the GLASS
-    code as int, -1 when not a digit, NULL when the code is missing) and,
-    for gaps k = 1..9, int flags ``ok_k`` (interlayer count readable),
-    ``stop_k`` (SHATOP), ``post_k`` / ``pre_k`` / ``sgp_k`` (first film of
-    the gap).
+    code as int, -1 when not a digit, NULL when the code is missing) and the
+    gaps k = 1..9, as bit k of an int, that are ``ok_gaps`` (interlayer count
+    readable), ``stop_gaps`` (SHATOP), ``post_gaps`` / ``pre_gaps`` /
+    ``sgp_gaps`` (first film of the gap).
 
     Only single-digit gap and interlayer numbers can be reached by the
-    loop, so every value has a fixed slot: both aggregations are plain
-    hash aggregations over ints — nothing is collected, whatever the data."""
+    loop, so every value has a bit: both aggregations are plain hash
+    aggregations over a few ints — nothing is collected, whatever the data."""
     c = classify_codes(group_codes, options)
     kind, code, j = F.col("kind"), F.col("code"), F.col("j")
     in_gap = F.coalesce(F.col("i").between(1, MAX_DIGIT), F.lit(False))
-    film_kind = F.when(code.isin(list(FILM_TYPES)), 1 + (code == SGP_TYPE).cast("int")).otherwise(0)
-    aggs = [
+    film = (kind == "FTYPE") & in_gap & j.between(1, MAX_DIGIT)
+    film_code = (kind == "FCODE") & in_gap & j.between(1, MAX_DIGIT)
+    per_gap = c.groupBy("item_id", "lite", "i").agg(
         F.max(F.when(kind == "GLASS", _digit_or_minus_one(F.substring(code, -1, 1)))).alias("glass_digit"),
         F.max(F.when((kind == "INTERLAYERS") & in_gap, _digit_or_minus_one(F.substring(code, 1, 1)))).alias("nf"),
         F.max(F.when((kind == "PROCESS") & in_gap, (code == POST_PROCESS).cast("int"))).alias("proc_an"),
         F.max(F.when((kind == "SHATOP") & in_gap, 1)).alias("shatop"),
         F.max(F.when(kind.isNotNull() & in_gap, 1)).alias("is_gap"),
-    ]
-    for k in range(1, MAX_DIGIT + 1):
-        aggs.append(F.max(F.when((kind == "FTYPE") & in_gap & (j == k), film_kind)).alias(f"ft_{k}"))
-        aggs.append(
-            F.max(F.when((kind == "FCODE") & in_gap & (j == k), (code == POST_FILM_CODE).cast("int"))).alias(
-                f"fc_{k}"
-            )
-        )
-    per_gap = c.groupBy("item_id", "lite", "i").agg(*aggs)
-
-    # First film interlayer j <= count of each gap (0 = none).
+        _bits(film & code.isin(list(FILM_TYPES)), j).alias("films"),
+        _bits(film & (code == SGP_TYPE), j).alias("sgps"),
+        _bits(film_code & (code == POST_FILM_CODE), j).alias("codes"),
+    )
+
+    # First film interlayer j <= count of each gap, as its bit (0 = none).
     nf = F.col("nf")
-    first = F.lit(0)
-    for k in range(MAX_DIGIT, 0, -1):
-        first = F.when((F.coalesce(F.col(f"ft_{k}"), F.lit(0)) >= 1) & (nf >= k), F.lit(k)).otherwise(first)
-    per_gap = per_gap.withColumn("jmin", first)
-    jmin = F.col("jmin")
-    fc_at = F.lit(None).cast("int")
-    ft_at = F.lit(None).cast("int")
-    for k in range(1, MAX_DIGIT + 1):
-        fc_at = F.when(jmin == k, F.col(f"fc_{k}")).otherwise(fc_at)
-        ft_at = F.when(jmin == k, F.col(f"ft_{k}")).otherwise(ft_at)
-    has_film = jmin > 0
-    post = has_film & (F.coalesce(fc_at, F.lit(0)) == 1) & (F.coalesce(F.col("proc_an"), F.lit(0)) == 1)
+    per_gap = per_gap.withColumn("first", _lowest(F.col("films").bitwiseAND(F.coalesce(_bits_to(nf), F.lit(0)))))
+    first = F.col("first")
+    has_film = first > 0
+    post = has_film & (first.bitwiseAND(F.col("codes")) > 0) & (F.coalesce(F.col("proc_an"), F.lit(0)) == 1)
     per_gap = per_gap.select(
         "item_id",
         "lite",
         "i",
         "glass_digit",
         "is_gap",
-        (nf >= 0).cast("int").alias("ok"),
-        F.coalesce(F.col("shatop"), F.lit(0)).alias("stop"),
-        post.cast("int").alias("post"),
-        (has_film & ~post).cast("int").alias("pre"),
-        (has_film & (ft_at == 2)).cast("int").alias("sgp"),
+        (nf >= 0).alias("ok"),
+        (F.col("shatop") == 1).alias("stop"),
+        post.alias("post"),
+        (has_film & ~post).alias("pre"),
+        (has_film & (first.bitwiseAND(F.col("sgps")) > 0)).alias("sgp"),
     )
-    item_aggs = [F.max("glass_digit").alias("glass_digit")]
     gap = F.coalesce(F.col("is_gap"), F.lit(0)) == 1
-    for k in range(1, MAX_DIGIT + 1):
-        at_k = gap & (F.col("i") == k)
-        for name in ("ok", "stop", "post", "pre", "sgp"):
-            item_aggs.append(F.max(F.when(at_k, F.col(name))).alias(f"{name}_{k}"))
-    return per_gap.groupBy("item_id", "lite").agg(*item_aggs)
+    flags = [_bits(gap & F.col(name), F.col("i")).alias(f"{name}_gaps") for name in ("ok", "stop", "post", "pre", "sgp")]
+    return per_gap.groupBy("item_id", "lite").agg(F.max("glass_digit").alias("glass_digit"), *flags)
 
 
 def with_layer_flags(df: DataFrame, layers: str = "layers") -> DataFrame:
     """Add post, pre, sgp, layer_error from the layer count and the
-    per-gap slots of :func:`item_layers`."""
+    gap sets of :func:`item_layers`."""
     n = F.col(layers)
-
-    def slots(name: str) -> Column:
-        return F.array(*[F.coalesce(F.col(f"{name}_{k}"), F.lit(0)) for k in range(1, MAX_DIGIT + 1)])
-
-    df = df.select(
-        "*",
-        slots("ok").alias("__ok"),
-        slots("stop").alias("__stop"),
-        slots("post").alias("__post"),
-        slots("pre").alias("__pre"),
-        slots("sgp").alias("__sgp"),
-    )
-    gaps = F.filter(F.sequence(F.lit(1), F.lit(MAX_DIGIT)), lambda k: k <= n - 1)
-    df = df.withColumn("__gaps", gaps)
-    df = df.withColumn(
-        "__i_stop", F.array_min(F.filter("__gaps", lambda k: F.element_at(F.col("__stop"), k) == 1))
-    )
-    df = df.withColumn("__last_read", F.coalesce(F.col("__i_stop"), n - 1))
-    df = df.withColumn("__scanned", F.filter("__gaps", lambda k: k < F.coalesce(F.col("__i_stop"), n)))
-    last_read = F.col("__last_read")
-    unread = F.exists(
-        F.filter("__gaps", lambda k: k <= last_read), lambda k: F.element_at(F.col("__ok"), k) != 1
-    )
-    out = df.select(
+    sets = [f"{name}_gaps" for name in ("ok", "stop", "post", "pre", "sgp")]
+    ok, stop, post, pre, sgp = (F.coalesce(F.col(c), F.lit(0)) for c in sets)
+    df = df.withColumn("__gaps", F.coalesce(_bits_to(n - 1), F.lit(0)))
+    gaps, at = F.col("__gaps"), F.col("__stop")
+    df = df.withColumn("__stop", _lowest(gaps.bitwiseAND(stop)))
+    # the gaps before the stop, and those whose count is read: the stop's, too
+    df = df.withColumn("__scanned", F.when(at > 0, gaps.bitwiseAND(at - 1)).otherwise(gaps))
+    scanned = F.col("__scanned")
+    read = scanned.bitwiseOR(at)
+    return df.select(
         "*",
-        (F.col("__i_stop").isNotNull() | F.exists("__scanned", lambda k: F.element_at(F.col("__post"), k) == 1)).alias(
-            "post"
-        ),
-        F.exists("__scanned", lambda k: F.element_at(F.col("__pre"), k) == 1).alias("pre"),
-        F.exists("__scanned", lambda k: F.element_at(F.col("__sgp"), k) == 1).alias("sgp"),
-        F.when(last_read >= 1, unread).otherwise(F.lit(False)).alias("layer_error"),
-    )
-    slot_cols = [f"{name}_{k}" for name in ("ok", "stop", "post", "pre", "sgp") for k in range(1, MAX_DIGIT + 1)]
-    return out.drop(
-        "__ok", "__stop", "__post", "__pre", "__sgp", "__gaps", "__i_stop", "__last_read", "__scanned", *slot_cols
-    )
+        ((at > 0) | (scanned.bitwiseAND(post) > 0)).alias("post"),
+        (scanned.bitwiseAND(pre) > 0).alias("pre"),
+        (scanned.bitwiseAND(sgp) > 0).alias("sgp"),
+        (read.bitwiseAND(F.bitwise_not(ok)) > 0).alias("layer_error"),
+    ).drop("__gaps", "__stop", "__scanned", *sets)
 
 
 def is_number(c: Column) -> Column:

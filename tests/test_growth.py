@@ -71,3 +71,30 @@ def test_a_route_travels_once_before_its_stages_are_made(spark):
         (1, 1, 0, "CUT"): ["05-01", "05-02"], (1, 1, 1, "TEMP"): ["06-01"], (1, 1, 2, "CUT"): ["05-01", "05-02"],
         (1, 2, 0, "CUT"): ["04-09", "05-02"], (2, None, 0, "TEMP"): ["07-01"],
     }
+
+
+def test_a_gap_is_a_few_numbers(spark):
+    """Films at two interlayers, codes, a stop; each flag is one bit set."""
+    codes = [(1, "LITE 1 GLASS", "LAM4"), (2, "LITE 1 GLASS", "LAM3")]
+    gap = lambda item, i, s, code: codes.append((item, f"LITE 1.{i} {s}", code))
+    for s, code in (("INTERLAYERS", "3PLY"), ("PROCESS", "AN"), ("IL2 TYPE", "ILSGP"), ("IL2", "IMSCIPI"), ("IL3 TYPE", "ILPRT"), ("IL12 TYPE", "ILPRT")):
+        gap(1, 1, s, code)
+    for s, code in (("INTERLAYERS", "1PLY"), ("IL2 TYPE", "ILFAB")):  # a film beyond the count
+        gap(1, 2, s, code)
+    for s, code in (("INTERLAYERS", "XPLY"), ("IL1 TYPE", "ILFAB")):
+        gap(1, 3, s, code)
+    for s, code in (("INTERLAYERS", "9PLY"), ("IL9 TYPE", "ILNAT")):
+        gap(2, 9, s, code)
+    gap(2, 1, "INTERLAYERS", "0PLY")
+    groups = spark.createDataFrame(codes, "item_id long, group_name string, code string")
+    options = spark.createDataFrame([(2, "SHATOP", "LITE 1.2 OPTION")], "item_id long, option string, group_name string")
+    layers = item_layers(groups, options)
+    got = {(r["item_id"], r["lite"]): r.asDict() for r in layers.collect()}
+    flags = ("glass_digit", "ok_gaps", "stop_gaps", "post_gaps", "pre_gaps", "sgp_gaps")
+    assert len(layers.columns) == 2 + len(flags)
+    assert [got[1, "1"][f] for f in flags] == [4, 0b110, 0, 0b10, 0, 0b10]
+    assert [got[2, "1"][f] for f in flags] == [3, 0b1000000010, 0b100, 0, 1 << 9, 0]
+    flagged = with_layer_flags(layers.withColumn("layers", F.col("glass_digit")))
+    by_item = {r["item_id"]: (r["post"], r["pre"], r["sgp"], r["layer_error"]) for r in flagged.collect()}
+    assert by_item[1] == (True, False, True, True)  # gap 3's count is unreadable
+    assert by_item[2] == (True, False, False, True)  # the stop gap has no count
