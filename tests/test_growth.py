@@ -98,3 +98,16 @@ def test_a_gap_is_a_few_numbers(spark):
     by_item = {r["item_id"]: (r["post"], r["pre"], r["sgp"], r["layer_error"]) for r in flagged.collect()}
     assert by_item[1] == (True, False, True, True)  # gap 3's count is unreadable
     assert by_item[2] == (True, False, False, True)  # the stop gap has no count
+
+
+def test_label_sequences_keep_one_sort_and_no_map(spark):
+    lites = spark.createDataFrame(
+        [("S", 0, 1, 1, 1, 0, 5, 50), ("S", 2, 1, 1, 1, 0, 4, 60), ("S", 1, 1, 1, 1, 0, 4, 50), ("S", 1, 1, 1, 1, 0, 9, 90), ("S", 1, 1, 1, 1, 0, 9, 90),
+         ("S", 0, 1, 1, 2, 0, None, None), ("S", 1, 1, 1, 2, 0, None, None), ("S", 1, 1, 1, 2, 0, None, 7), ("S", 1, 1, 1, 3, None, 1, 1), ("S", 0, 1, 1, 3, None, 1, 1), ("S", 7, 1, 1, 4, 0, 1, 1)],
+        "SessionGUID string, ProdType short, SchedID int, UnitID short, MasterKey int, ParentKey int, ReleaseID int, Sequence int",
+    )
+    df = label_sequence(lites, None)
+    plan = plan_text(df)
+    assert "HashAggregate" not in plan and plan.count("Exchange") == 1 and plan.count(" Sort [") == 1, plan
+    got = sorted((tuple(r[c] for c in ("MasterKey", "ReleaseID", "Sequence")) for r in df.collect()), key=str)
+    assert got == sorted([(1, 4, 50), (1, 9, 90), (2, None, None), (2, None, 7), (3, 1, 1)], key=str)
