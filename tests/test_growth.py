@@ -111,3 +111,12 @@ def test_label_sequences_keep_one_sort_and_no_map(spark):
     assert "HashAggregate" not in plan and plan.count("Exchange") == 1 and plan.count(" Sort [") == 1, plan
     got = sorted((tuple(r[c] for c in ("MasterKey", "ReleaseID", "Sequence")) for r in df.collect()), key=str)
     assert got == sorted([(1, 4, 50), (1, 9, 90), (2, None, None), (2, None, 7), (3, 1, 1)], key=str)
+
+
+def test_attribute_pairs_keep_no_map(spark):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    rows = [(1, "LITE", "a", None), (1, "LITE", "a", None), (1, "LITE", "b", None), (1, "LOGO", None, "x"), (1, "LOGO", None, "x"), (2, "LOGO", None, None), (2, "COLOR", "c", "c")]
+    eav = spark.createDataFrame(rows, "k long, ParamText string, ParamValue string, ParamValue2 string")
+    out = attribute_pairs(df, eav, ["k"], ("LITE", "ParamValue", "Lite"), ("LOGO", "ParamValue2", "Logo"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", "x"), (1, "b", "x"), (2, "", ""), (3, "", "")]
+    assert "HashAggregate" not in plan_text(out)
