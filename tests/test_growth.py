@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from shopfloor.operators.edge import item_layers, with_layer_flags
 from shopfloor.operators.joins import attribute_pairs
 from shopfloor.params import UsageParameters
-from shopfloor.plans.labels import label_sequence
+from shopfloor.plans.labels import label_sequence, work_cell_labels
 from shopfloor.plans.usage import usage_by_period
-from shopfloor.plans.workflow import plan_date_workflow, stage_dates
+from shopfloor.plans.workflow import plan_date_workflow, stage_dates, with_plan_dates
 from tests.conftest import plan_text
 
 END = dt.datetime(2024, 8, 1)
@@ -73,6 +73,41 @@ def test_a_route_travels_once_before_its_stages_are_made(spark):
     }
 
 
+def test_rows_lying_by_line_get_their_route_strings_where_they_are(spark):
+    routes, plans, cells = _routes(spark)
+    routes = routes.union(spark.createDataFrame([(1, None, "CUT"), (1, 1, "BOXING"), (9, 1, "CUT"), (1, 1, "")], routes.schema))
+    cells = cells.union(spark.createDataFrame([(4, None), (2, "CUT")], cells.schema))
+    plans = plans.union(spark.createDataFrame([(1, 0, 4, dt.date(2024, 9, 9)), (1, 1, 1, None)], plans.schema))
+    for blind in (False, True):
+        named = cells.withColumn("Description", F.collate(F.initcap("Description"), "UTF8_LCASE_RTRIM")) if blind else cells
+        lying = routes.repartition("odKey")
+        df = with_plan_dates(lying, plans, named)
+        dealt = [re.sub(r"#\d+L?", "", d) for d in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan_text(df))]
+        assert [k for k in dealt if k not in ("WorkCellID", "ID")] == ["odKey", "odKey"], dealt
+        texts = {tuple(r[:3]): r[3] for r in plan_date_workflow(routes, plans, named).collect()}
+        assert texts[1, 1, "CUT, TEMP,CUT"] == "CUT ( 05-01 & 05-02), TEMP ( 06-01), CUT ( 05-01 & 05-02)"
+        got = sorted(map(repr, (tuple(r) for r in df.collect())))
+        assert got == sorted(repr((*r, texts.get(tuple(r)))) for r in routes.collect()), got
+
+
+def test_label_keys_travel_by_line_once(spark):
+    """The lines' derived tables share one exchange, and route strings none of
+    their own."""
+    from shopfloor.sources import testmap as TM
+    from shopfloor.sources.tables import LazyTables
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(work_cell_labels(TM.label_tables(LazyTables(spark, "/root/testdata/sf0.001"))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dealt = [re.sub(r"#\d+L?", "", d) for d in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    assert not [d for d in dealt if "WorkFlow" in d], dealt
+    filtered = {bool(re.search(r"isnotnull\(l_orderkey", scan.split("\n")[0])) for scan in plan.split("FileScan")[1:] if "l_shipdate" in scan.split("\n")[0]}
+    assert filtered == {False}, plan
+
+
 def test_a_gap_is_a_few_numbers(spark):
     """Films at two interlayers, codes, a stop; each flag is one bit set."""
     codes = [(1, "LITE 1 GLASS", "LAM4"), (2, "LITE 1 GLASS", "LAM3")]
