@@ -69,7 +69,11 @@ RATE = 0.25
 BEFORE = (2, 1)
 PRIOR = 64.0
 #: Chunks whose features make up one block of the feature table.
-BLOCK_CHUNKS = 4
+BLOCK_CHUNKS = 2
+#: Blocks that a chunk sends at once.
+SENT_BLOCKS = 4
+#: Keys of a block that are added up at once.
+ADD_KEYS = 1 << 18
 
 
 def word_classes(words: Words) -> np.ndarray:
@@ -343,24 +347,33 @@ def feature_keys(
     """(keys, places): the sorted 64-bit keys of a chunk's features, alone and
     with the class that follows, and for each distance of BEFORE the places of
     every token's (feature, class) and feature."""
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    known, own = np.append(h, END), classes[codes].astype(np.int64)
-    keys, places = [], []
+    # half as wide where a chunk's numbers allow it, as they do but for one of
+    # millions of words
+    kind = np.int32 if max(len(h) + 1, len(codes)) < 1 << 22 else np.int64
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(kind)
+    known, own = np.append(h, END), classes[codes].astype(kind)
+    keys, places, size = [], [], 0
     for k in BEFORE:
-        before = np.full(len(codes), len(h))
+        before = np.full(len(codes), len(h), kind)
         before[k:] = codes[:-k]
         before[place < k] = len(h)
+        before *= kind(512)
         # class 0 to 255, and 256 for the feature alone
-        for pair in (before * 512 + own, before * 512 + CLASSES):
-            used, at = np.unique(pair, return_inverse=True)
+        for follows in (own, kind(CLASSES)):
+            used, at = np.unique(before + follows, return_inverse=True)
+            places.append((at + size).astype(kind))
+            size += len(used)
+            used = used.astype(np.int64)
             feature = mix(known[used >> 9] + _U(k << 40))
-            places.append(at + sum(map(len, keys)))
             keys.append(mix(feature + (used & 511).astype(np.uint64)))
+            del at
+    del place, own, before
     both = np.concatenate(keys)
     order = np.argsort(both)
-    rank = np.empty_like(order)
+    rank = np.empty(len(order), kind)
     rank[order] = np.arange(len(order))
-    return both[order], [(rank[a], rank[b]) for a, b in zip(places[::2], places[1::2], strict=True)]
+    places = [rank[a] for a in places]
+    return both[order], list(zip(places[::2], places[1::2], strict=True))
 
 
 def _wide(x: np.ndarray) -> bytes:
@@ -372,6 +385,35 @@ def _from_wide(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def _buffers(column: pa.ChunkedArray) -> list[pa.Buffer]:
+    return [x.as_buffer() for chunk in column.chunks for x in chunk]
+
+
+def add_counts(keys: list, counts: list) -> list[bytes]:
+    """For each of several sorted sets of keys (differences, not empty) with
+    their counts: the sums of its keys' counts over all sets.  The keys are
+    gone through by ranges of about ADD_KEYS, so that beside what comes and
+    goes only a range is in memory at a time."""
+    keys = [np.cumsum(_from_wide(k).view(np.uint64), dtype=np.uint64) for k in keys]
+    planes = [np.frombuffer(c, np.uint8).reshape(8, -1) for c in counts]
+    out = [np.empty_like(p) for p in planes]
+    low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+    parts = 1 + sum(map(len, keys)) // ADD_KEYS
+    edges = np.array([low + (high - low + 1) * i // parts for i in range(1, parts)], dtype=np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k in keys]
+    for i in range(parts):
+        own = [slice(c[i], c[i + 1]) for c in cuts]
+        known, at = np.unique(np.concatenate([k[x] for k, x in zip(keys, own, strict=True)]), return_inverse=True)
+        sums = np.zeros(len(known), np.int64)
+        np.add.at(sums, at, np.concatenate([_from_wide(p[:, x].tobytes()) for p, x in zip(planes, own, strict=True)]))
+        sums, first = sums[at], 0
+        for o, x in zip(out, own, strict=True):
+            size = x.stop - x.start
+            o[:, x] = sums[first : first + size].astype("<i8").view(np.uint8).reshape(-1, 8).T
+            first += size
+    return [o.tobytes() for o in out]
+
+
 def feature_counts(chunks: DataFrame) -> DataFrame:
     """(chunk, block, counts): the training counts in all chunks of each
     chunk's features, in the order of their keys, by ranges of the keys."""
@@ -390,24 +432,22 @@ def feature_counts(chunks: DataFrame) -> DataFrame:
                         counts += np.bincount(at[trains], minlength=len(keys))
                 cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 own = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("chunk")[i].as_py()] * len(own), pa.int64()),
-                        pa.array([k for k, _ in own], pa.int32()),
-                        # sorted keys lie close together, so that their differences have empty planes
-                        pa.array([_wide(np.diff(keys[part], prepend=_U(0))) for _, part in own], pa.binary()),
-                        pa.array([_wide(counts[part]) for _, part in own], pa.binary()),
-                    ],
-                    names=["chunk", "block", "keys", "counts"],
-                )
+                chunk = batch.column("chunk")[i].as_py()
+                for few in (own[a : a + SENT_BLOCKS] for a in range(0, len(own), SENT_BLOCKS)):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([chunk] * len(few), pa.int64()),
+                            pa.array([k for k, _ in few], pa.int32()),
+                            # sorted keys lie close together, so that their differences have empty planes
+                            pa.array([_wide(np.diff(keys[part], prepend=_U(0))) for _, part in few], pa.binary()),
+                            pa.array([_wide(counts[part]) for _, part in few], pa.binary()),
+                        ],
+                        names=["chunk", "block", "keys", "counts"],
+                    )
 
     def add(block: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_from_wide(k).view(np.uint64), dtype=np.uint64) for k in block["keys"].to_pylist()]
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.zeros(len(own), np.int64)
-        np.add.at(counts, at, np.concatenate([_from_wide(c) for c in block["counts"].to_pylist()]))
-        parts = np.split(counts[at], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": block["chunk"], "block": block["block"], "counts": pa.array([_wide(x) for x in parts], pa.binary())})
+        counts = add_counts(_buffers(block["keys"]), _buffers(block["counts"]))
+        return pa.table({"chunk": block["chunk"], "block": block["block"], "counts": pa.array(counts, pa.binary())})
 
     rows = chunks.select("chunk", "held", "sizes", "codes", "hashes", "classes").mapInArrow(
         emit, "chunk long, block int, keys binary, counts binary"
