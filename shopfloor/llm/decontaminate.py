@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.llm.tables import materialise
+from shopfloor.llm.tables import materialise, release
 from shopfloor.llm.words import mix, split, text_slices
 
 _U = np.uint64
@@ -44,6 +44,9 @@ RANK, EXTRA = 128, 8
 PASSAGE, GRID = 32, 8
 ITEM_BLOCK = 512
 MIN_WORDS = 8
+#: Occurrences from which on a term's sum goes by its counts, and the number of
+#: such terms at once.
+OFTEN, OFTEN_BLOCK = 16, 256
 #: Words handled at once by a task.
 SLICE_WORDS = 25_000
 
@@ -104,6 +107,30 @@ def _piece_sums(vectors: np.ndarray, t: np.ndarray, sizes: np.ndarray, width: in
     return np.einsum("ijk->ik", vectors.take(filled, axis=0).reshape(-1, width, vectors.shape[1]))
 
 
+def _term_sums(latent: np.ndarray, own: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the terms among ``t``, for each the sum of ``latent`` over the passages
+    ``own`` of its occurrences).  Occurrences of equally frequent terms are
+    added in one step; those of frequent ones as counts by passage times
+    ``latent``."""
+    order = np.argsort(t.astype(np.uint16), kind="stable")  # linear for 16 bits
+    start = np.flatnonzero(np.append(True, np.diff(t[order]) > 0))
+    size, passage = np.diff(np.append(start, len(t))), own[order]
+    sums = np.empty((len(start), latent.shape[1]), np.float32)
+    for n in range(1, OFTEN + 1):
+        k = np.flatnonzero(size == n)
+        if len(k):
+            rows = latent.take((passage[start[k][:, None] + np.arange(n)]).ravel(), axis=0)
+            sums[k] = np.einsum("ijk->ik", rows.reshape(len(k), n, -1))
+    often = np.flatnonzero(size > OFTEN)
+    for a in range(0, len(often), OFTEN_BLOCK):
+        k = often[a : a + OFTEN_BLOCK]
+        at = np.repeat(np.arange(len(k)), size[k])
+        place = np.arange(len(at)) - np.repeat(np.cumsum(size[k]) - size[k], size[k]) + np.repeat(start[k], size[k])
+        counts = np.bincount(at * len(latent) + passage[place], minlength=len(k) * len(latent))
+        sums[k] = counts.reshape(len(k), -1).astype(np.float32) @ latent
+    return t[order[start]], sums
+
+
 def _with_zero(vectors: np.ndarray) -> np.ndarray:
     return np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
 
@@ -147,10 +174,8 @@ def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarra
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
             t = terms(w)
             latent = _piece_sums(weighted, t, sizes, PASSAGE)
-            order = np.argsort(t.astype(np.uint16), kind="stable")  # linear for 16 bits
-            used = np.flatnonzero(np.append(True, np.diff(t[order]) > 0))
-            at = t[order[used]]
-            out[at] += np.add.reduceat(latent.take(own[order], axis=0), used, axis=0) * idf[at][:, None]
+            at, sums = _term_sums(latent, own, t)
+            out[at] += sums * idf[at][:, None]
         at = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), *(pa.array(out[at, k].astype(np.float32)) for k in range(width))], names=["term", *columns]
@@ -315,6 +340,7 @@ def find_leaks(
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     table = materialise(word_table(texts))
     space = latent_space(table)
+    release(docs.sparkSession)
     rows = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`")).distinct()
     found, block = [], []
     for row in rows.toLocalIterator():
@@ -361,9 +387,9 @@ def _search(
                 # window's words that are words of the item
                 held = np.zeros((len(cells) + 1, len(own)), np.int32)
                 np.cumsum(_piece_sums(has, places, sizes, GRID), axis=0, out=held[1:])
-                near = cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None]
-                near &= held[end] - held[start] >= verifier.floor[own]
-                w, i = np.nonzero(near)
+                w, i = np.nonzero(cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None])
+                enough = held[end[w], i] - held[start[w], i] >= verifier.floor[own[i]]
+                w, i = w[enough], i[enough]
                 item, lo, hi = own[i], bounds[start[w]], bounds[end[w]]
                 for c in range(len(w)):
                     shares = verifier.verdict(int(item[c]), words[lo[c] : hi[c]].tolist())
