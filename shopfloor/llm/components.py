@@ -26,13 +26,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
     """(u, v): every vertex u that has an edge and is not the least of its
     component, with that least vertex v.  ``edges`` has two long columns;
-    loops are ignored."""
+    loops are ignored.  The rounds' tables are written to ``folder``."""
     a, b = edges.columns
     now = materialise(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
+        folder,
     )
 
     def state(df: DataFrame) -> tuple:
@@ -41,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = state(now)
     while True:
-        now = materialise(_small(_large(now)))
+        now = materialise(_small(_large(now)), folder)
         then, seen = seen, state(now)
         if then == seen:
             return now

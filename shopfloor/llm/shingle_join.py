@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopfloor.llm.components import components
-from shopfloor.llm.tables import materialise, release
+from shopfloor.llm.tables import discard, materialise, release, scratch
 from shopfloor.llm.words import mix, shingles, text_slices
 
 _U = np.uint64
@@ -56,6 +56,8 @@ BLOCK = 4096
 REACH = 8
 #: Sets whose words a task remembers having sent already.
 SEEN = 1_000_000
+#: Pairs whose texts a task holds at once.
+VERIFIED = 256
 BAND_RATIO = (3, 2)
 #: The low bits of a join key that hold its join band (some 70 bands).
 BAND_BITS = 7
@@ -259,33 +261,33 @@ def _runs(k: np.ndarray, h: np.ndarray, crowded: tuple[int, int] | None) -> Iter
 
 
 def features(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc, h1, h2, n, set, own, sketch, above) of candidate sets, from (doc,
-    h1, h2, n, text): the sorted set, its join band and the bit sketches for
-    that band and for the one above (null if it takes no part there)."""
+    """(doc, h1, h2, n, text, own, sketch, above) of candidate sets, from (doc,
+    h1, h2, n, text): the text (a fraction of its set's size when packed), the
+    set's join band and the bit sketches for that band and for the one above
+    (null if it takes no part there)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = bands_for(percent)
         for batch in batches:
             h1, h2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            keep, sets, own_band, sketch, above = [], [], [], [], []
+            keep, own_band, sketch, above = [], [], [], []
             for i, own in _sets(batch.column(4), width):
                 if set_key(own) != (h1[i], h2[i]):
                     continue  # another text of the same document
                 js = bands.of(len(own))
                 keep.append(i)
-                sets.append(own.tobytes())
                 own_band.append(js[0])
                 sketch.append(bit_sketch(own, js[0], bands))
                 above.append(bit_sketch(own, js[1], bands) if len(js) > 1 else None)
             few = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [few.column(c) for c in range(4)]
-                + [pa.array(sets, pa.binary()), pa.array(own_band, pa.int32()), pa.array(sketch, pa.binary()), pa.array(above, pa.binary())],
-                names=["doc", "h1", "h2", "n", "set", "own", "sketch", "above"],
+                [few.column(c) for c in range(5)]
+                + [pa.array(own_band, pa.int32()), pa.array(sketch, pa.binary()), pa.array(above, pa.binary())],
+                names=["doc", "h1", "h2", "n", "text", "own", "sketch", "above"],
             )
 
     return docs.mapInArrow(
-        build, "doc long, h1 long, h2 long, n long, set binary, own int, sketch binary, above binary"
+        build, "doc long, h1 long, h2 long, n long, text string, own int, sketch binary, above binary"
     )
 
 
@@ -432,34 +434,35 @@ def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.Rec
     )
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, u, v, linked) of pairs of set keys, from the sets; u and v are
-    the documents that stand for them."""
+def _verify(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, u, v, linked) of pairs of set keys, from the sets' texts; u and v
+    are the documents that stand for them."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = bands_for(percent)
-        for batch in batches:
-            good = []
-            for s, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                good.append(bands.linked(int((t[at] == s).sum()), len(s), len(t)))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(good, pa.bool_())], names=["a", "b", "u", "v", "linked"]
-            )
+        for whole in batches:
+            for batch in (whole.slice(i, VERIFIED) for i in range(0, whole.num_rows, VERIFIED)):
+                # every text here has words, so the two runs keep in step
+                good = []
+                for (_, s), (_, t) in zip(_sets(batch.column(4), width), _sets(batch.column(5), width), strict=True):
+                    if len(s) > len(t):
+                        s, t = t, s
+                    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+                    good.append(bands.linked(int((t[at] == s).sum()), len(s), len(t)))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:4], pa.array(good, pa.bool_())], names=["a", "b", "u", "v", "linked"]
+                )
 
     side = lambda key, doc, name: sets.select(
-        F.col("h1").alias(key), F.col("doc").alias(doc), F.col("set").alias(name)
+        F.col("h1").alias(key), F.col("doc").alias(doc), F.col("text").alias(name)
     )
     both = pairs.join(side("a", "u", "s"), "a").join(side("b", "v", "t"), "b")
     return both.select("a", "b", "u", "v", "s", "t").mapInArrow(look, "a long, b long, u long, v long, linked boolean")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def _stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a stored table; the shuffle files it was made from may go."""
-    out = materialise(df)
+    out = materialise(df, folder)
     release(df.sparkSession)
     return out
 
@@ -470,13 +473,14 @@ def near_duplicates(
     """(doc, n_shingles, component_id), one row for each row of ``docs``:
     documents link when 100 * intersection >= percent * union of their
     ``width``-word shingles."""
+    work = scratch(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     table = _stored(set_table(texts, width))
     known = texts.where(F.col("doc").isNotNull())
     shown = table.where((F.col("n") > 0) & F.col("doc").isNotNull())
     sets = _stored(shown.groupBy("h1", "h2", "n").agg(F.min("doc").alias("doc")))
 
-    shared = _stored(shared_words(word_rows(known, width, percent)))
+    shared = _stored(shared_words(word_rows(known, width, percent)), work)
     pairs = shared.where(~F.col("many")).select("a", "b")
     least = shared.where(F.col("many") & (F.col("a") != F.col("b"))).select("a", "b")
     members = shared.where(F.col("many")).select("k", F.col("b").alias("a")).distinct()
@@ -488,26 +492,26 @@ def near_duplicates(
         .agg(F.first("text").alias("text"))
         .select("doc", "h1", "h2", "n", "text")
     )
-    traits = _stored(features(source, width, percent))
+    traits = _stored(features(source, width, percent), work)
 
     # the texts of a document that has several are linked by it
     several = shown.groupBy("doc").agg(F.count_distinct("h1", "h2", "n").alias("texts")).where(F.col("texts") > 1)
     own = shown.join(several, "doc").join(sets.withColumnRenamed("doc", "u"), ["h1", "h2", "n"])
     own = own.select("u", F.col("doc").alias("v"))
 
-    ask = _near(pairs.union(least).distinct(), traits, percent)
+    ask = _stored(_near(pairs.union(least).distinct(), traits, percent), work)
     seen = found = spans = None
     reach = REACH
     while True:
-        now = _stored(_verify(ask, traits, percent))
+        now = _stored(_verify(ask, traits, width, percent), work)
         seen = now if seen is None else seen.union(now)
         if now.where(F.col("linked")).limit(1).count() or found is None:
-            found = components(seen.where(F.col("linked")).select("u", "v").union(own))
+            found = components(seen.where(F.col("linked")).select("u", "v").union(own), work)
             release(docs.sparkSession)
         group = traits.select("h1", "doc").join(found.select(F.col("u").alias("doc"), "v"), "doc", "left")
-        group = _stored(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct())
+        group = _stored(group.select("h1", F.coalesce("v", "doc").alias("group")).distinct(), work)
         one, two = group.toDF("a", "group"), group.toDF("b", "other")
-        apart = _stored(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct())
+        apart = _stored(seen.where(~F.col("linked")).join(one, "a").join(two, "b").where("group <> other").select("a", "b").distinct(), work)
         if spans is None:
             # words whose sets are not all connected yet
             some = members.join(one, "a").groupBy("k").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
@@ -516,14 +520,17 @@ def near_duplicates(
             # a failed pair matters only if its word was left on the strength
             # of it and nothing else connects the two
             words = spans.where(F.col("open")).join(apart, ["a", "b"], "left_semi").select("k").distinct()
-        again = _stored(members.join(words, "k", "left_semi").join(one, "a").select("k", "a", "group"))
+        again = _stored(members.join(words, "k", "left_semi").join(one, "a").select("k", "a", "group"), work)
         if again.isEmpty():
             break
         out = again.select("k", F.col("a").alias("b")).join(apart, "b").join(again, ["k", "a"], "left_semi").select("k", "a", "b")
-        spans = _stored(_span(again, traits, out, percent, reach))
+        spans = _stored(_span(again, traits, out, percent, reach), work)
         ask = spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
         reach *= 16
 
+    # what follows reads the sets and components only
+    found = _stored(found)
+    discard(docs.sparkSession, work)
     stands = sets.join(found.select(F.col("u").alias("doc"), "v"), "doc", "left").select(
         "h1", "h2", "n", F.coalesce("v", "doc").alias("component_id")
     )
