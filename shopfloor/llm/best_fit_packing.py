@@ -53,7 +53,7 @@ BLOCK_PIECES, ISLANDS, EPOCHS, GENERATIONS = 8192, 3, 2, 20
 #: Islands bred one after the other by a task.
 ISLANDS_PER_TASK = 4
 #: Texts of so many bytes are encoded at once, a longer one alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 #: Plans of an island; share of a plan's bins that a child gets injected.
 PLANS, INJECTED = 4, 0.15
 #: Share of bins, from the emptiest, that are packed again with other blocks'.
@@ -225,6 +225,13 @@ def evolve(sizes: np.ndarray, plans: list[np.ndarray], limit: int, seed: int, ge
 
 
 # -------------------------------------------------------------------- pieces
+def _spans(texts: pa.Array) -> list[tuple[int, int]]:
+    """(a, b) of the texts that are encoded at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = (np.flatnonzero(np.diff(ends // SLICE_BYTES, append=-1)) + 1).tolist()  # after each so many bytes
+    return list(zip([0, *cuts], cuts, strict=False))
+
+
 def cut_pieces(
     docs: DataFrame,
     path: str,
@@ -241,9 +248,7 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_ids(path)
         for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES, append=-1)) + 1  # after each so many bytes
-            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            for a, b in _spans(batch.column(1)):
                 ids, total = coder.encode(batch.column(1).slice(a, b - a), end_id)
                 pieces = -(-total // limit)
                 doc = np.repeat(np.arange(a, b), pieces)
@@ -259,6 +264,7 @@ def cut_pieces(
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids, pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     own = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     schema = f"doc {own.schema['doc'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"

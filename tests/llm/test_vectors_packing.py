@@ -243,6 +243,14 @@ def test_packing_of_odd_texts(spark, monkeypatch):
     assert P.pack_documents(df.limit(0), VOCAB).count() == 0
 
 
+def test_packing_encodes_few_texts_at_once():
+    size, n = 1000, 9000
+    spans = P._spans(pa.array(["x" * size] * n + [None, "y" * 5_000_000, ""]))
+    assert [b for _, b in spans[:-1]] == [a for a, _ in spans[1:]] and (spans[0][0], spans[-1][1]) == (0, n + 3)
+    assert max(b - a for a, b in spans) * size <= 2_500_000
+    assert P._spans(pa.array([], pa.string())) == [] and P._spans(pa.array([None, ""], pa.string())) == [(0, 2)]
+
+
 def test_packing_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = [tuple(r) for r in Q.op12_best_fit_packing(spark, SF).collect()]
