@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.llm import decontaminate, lm_score
 from shopfloor.llm.shingle_join import near_duplicates
-from shopfloor.llm.tables import shared_dir
+from shopfloor.llm.tables import materialise, shared_dir
 
 
 def test_feature_counts_are_added_a_range_at_a_time():
@@ -32,6 +32,24 @@ def test_feature_counts_are_added_a_range_at_a_time():
     assert peak < 50 * total, peak / total
 
 
+def test_a_block_of_features_is_no_larger_than_a_chunk(spark):
+    """Whatever the number of chunks, a task adds up about as many feature
+    keys as one chunk has."""
+    rng = np.random.default_rng(5)
+    rows = [(i, False, " ".join(f"w{k}" for k in rng.integers(0, 3000, 400))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc long, held boolean, text string").repartition(8)
+    chunks = materialise(lm_score.chunk_table(docs))
+    sizes = lm_score.feature_counts(chunks).groupBy("block").agg((F.sum(F.length("counts")) / 8).alias("n")).collect()
+    per_chunk = sum(r["n"] for r in sizes) / chunks.count()
+    assert chunks.count() > 1 and max(r["n"] for r in sizes) < 1.3 * per_chunk
+
+
+def test_softmax_in_columns():
+    z = np.random.default_rng(2).normal(size=(1000, lm_score.GROUPS)).astype(np.float32)
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    np.testing.assert_allclose(lm_score._softmax(z.copy()), (e / e.sum(axis=1, keepdims=True)).T, rtol=1e-6)
+
+
 def test_term_sums_of_rare_and_frequent_terms():
     rng = np.random.default_rng(2)
     for terms, words in ((40, 5000), (3000, 5000), (1, 50), (5, 1)):
