@@ -44,11 +44,15 @@ RANK, EXTRA = 128, 8
 PASSAGE, GRID = 32, 8
 ITEM_BLOCK = 512
 MIN_WORDS = 8
-#: Occurrences from which on a term's sum goes by its counts, and the number of
-#: such terms at once.
-OFTEN, OFTEN_BLOCK = 16, 256
-#: Words handled at once by a task.
-SLICE_WORDS = 25_000
+#: Occurrences from which on a term's sum goes by parts of so many.
+OFTEN = 16
+#: Input splits that share one task where a task's result does not grow with
+#: what it reads.
+SHARED = 8
+#: Words handled at once by a task, in sums by term (which cost less, the more
+#: of a term's occurrences come together), and whose vectors are gathered at
+#: once (which then stay in a core's own cache).
+SLICE_WORDS, SUM_WORDS, GATHER_WORDS = 8192, 100_000, 1024
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -70,15 +74,17 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(build, "doc long, words binary")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
-    """(batch, a, b, words, sizes): the rows a to b of a batch, about
-    SLICE_WORDS words of them (a longer text alone)."""
+def _slices(
+    batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_WORDS
+) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray, np.ndarray]]:
+    """(batch, a, b, words, sizes): the rows a to b of a batch, about ``most``
+    words of them (a longer text alone)."""
     for batch in batches:
         texts = [np.frombuffer(w, np.uint32) for w in batch.column(column).to_pylist()]
         a = held = 0
         for i, t in enumerate(texts):
             held += len(t)
-            if held >= SLICE_WORDS or i == len(texts) - 1:
+            if held >= most or i == len(texts) - 1:
                 part = texts[a : i + 1]
                 yield batch, a, i + 1, np.concatenate(part), np.array([len(t) for t in part])
                 a, held = i + 1, 0
@@ -104,35 +110,50 @@ def _piece_sums(vectors: np.ndarray, t: np.ndarray, sizes: np.ndarray, width: in
     shift = np.repeat((np.cumsum(count) - count) * width - (np.cumsum(sizes) - sizes), sizes)
     filled = np.full(int(count.sum()) * width, len(vectors) - 1)
     filled[np.arange(len(t)) + shift] = t
-    return np.einsum("ijk->ik", vectors.take(filled, axis=0).reshape(-1, width, vectors.shape[1]))
+    out = np.empty((len(filled) // width, vectors.shape[1]), vectors.dtype)
+    step = max(1, GATHER_WORDS // width)
+    for a in range(0, len(out), step):
+        rows = vectors.take(filled[a * width : (a + step) * width], axis=0)
+        np.einsum("ijk->ik", rows.reshape(-1, width, vectors.shape[1]), out=out[a : a + step])
+    return out
 
 
 def _term_sums(latent: np.ndarray, own: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the terms among ``t``, for each the sum of ``latent`` over the passages
     ``own`` of its occurrences).  Occurrences of equally frequent terms are
-    added in one step; those of frequent ones as counts by passage times
-    ``latent``."""
+    added in one step; those of frequent ones in parts of OFTEN, and the parts'
+    sums likewise until there is one of each."""
     order = np.argsort(t.astype(np.uint16), kind="stable")  # linear for 16 bits
     start = np.flatnonzero(np.append(True, np.diff(t[order]) > 0))
     size, passage = np.diff(np.append(start, len(t))), own[order]
     sums = np.empty((len(start), latent.shape[1]), np.float32)
     for n in range(1, OFTEN + 1):
         k = np.flatnonzero(size == n)
-        if len(k):
-            rows = latent.take((passage[start[k][:, None] + np.arange(n)]).ravel(), axis=0)
-            sums[k] = np.einsum("ijk->ik", rows.reshape(len(k), n, -1))
-    often = np.flatnonzero(size > OFTEN)
-    for a in range(0, len(often), OFTEN_BLOCK):
-        k = often[a : a + OFTEN_BLOCK]
-        at = np.repeat(np.arange(len(k)), size[k])
-        place = np.arange(len(at)) - np.repeat(np.cumsum(size[k]) - size[k], size[k]) + np.repeat(start[k], size[k])
-        counts = np.bincount(at * len(latent) + passage[place], minlength=len(k) * len(latent))
-        sums[k] = counts.reshape(len(k), -1).astype(np.float32) @ latent
+        step = max(1, GATHER_WORDS // n)
+        for few in (k[a : a + step] for a in range(0, len(k), step)):
+            rows = latent.take((passage[start[few][:, None] + np.arange(n)]).ravel(), axis=0)
+            sums[few] = np.einsum("ijk->ik", rows.reshape(len(few), n, -1))
+    often = size > OFTEN
+    if often.any():
+        at, left = passage[np.repeat(often, size)], size[often]
+        rows = latent
+        while left.max() > 1:
+            rows = _piece_sums(_with_zero(rows), at, left, OFTEN)
+            left = -(-left // OFTEN)
+            at = np.arange(len(rows))
+        sums[often] = rows
     return t[order[start]], sums
 
 
 def _with_zero(vectors: np.ndarray) -> np.ndarray:
-    return np.vstack([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+    return np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)]).astype(np.float32, copy=False)
+
+
+def _few_tasks(table: DataFrame) -> DataFrame:
+    """``table`` in tasks of SHARED input splits, but at least two a core: each
+    sends its sums for all terms, however little it has read."""
+    splits, cores = table.rdd.getNumPartitions(), table.sparkSession.sparkContext.defaultParallelism
+    return table.coalesce(max(2 * cores, splits // SHARED))
 
 
 def term_weights(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +165,10 @@ def term_weights(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             start, _ = _pieces(sizes, PASSAGE)
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
             t = terms(w)
-            found += np.bincount(np.unique(own * BUCKETS + t) % BUCKETS, minlength=BUCKETS)
+            order = np.argsort(t.astype(np.uint16), kind="stable")  # linear for 16 bits
+            term, passage = t[order], own[order]
+            fresh = np.append(True, (term[1:] != term[:-1]) | (passage[1:] != passage[:-1]))
+            found += np.bincount(term[fresh], minlength=BUCKETS)
             words += np.bincount(t, minlength=BUCKETS)
             passages += len(start)
         at = np.flatnonzero(words)
@@ -153,8 +177,8 @@ def term_weights(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             names=["term", "passages", "words"],
         )
 
-    rows = table.select("words").mapInArrow(count, "term long, passages long, words long")
-    got = rows.groupBy("term").agg(F.sum("passages").alias("passages"), F.sum("words").alias("words")).toPandas()
+    rows = _few_tasks(table.select("words")).mapInArrow(count, "term long, passages long, words long")
+    got = rows.groupBy("term").agg(F.sum("passages").alias("passages"), F.sum("words").alias("words")).toArrow()
     n, words = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     n[got["term"].to_numpy()], words[got["term"].to_numpy()] = got["passages"].to_numpy(), got["words"].to_numpy()
     idf = np.log((n[BUCKETS] + 1) / (n[:BUCKETS] + 1))
@@ -169,22 +193,24 @@ def gram_times(table: DataFrame, idf: np.ndarray, thin: np.ndarray) -> np.ndarra
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((BUCKETS, width))
-        for _, _, _, w, sizes in _slices(batches, 0):
+        for _, _, _, w, sizes in _slices(batches, 0, SUM_WORDS):
             start, _ = _pieces(sizes, PASSAGE)
             own = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(w))))
             t = terms(w)
             latent = _piece_sums(weighted, t, sizes, PASSAGE)
             at, sums = _term_sums(latent, own, t)
-            out[at] += sums * idf[at][:, None]
+            out[at] += sums
+        out *= idf[:, None]
         at = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at), *(pa.array(out[at, k].astype(np.float32)) for k in range(width))], names=["term", *columns]
         )
 
-    rows = table.select("words").mapInArrow(multiply, "term long, " + ", ".join(f"{c} float" for c in columns))
-    got = rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-    out = np.zeros((BUCKETS, width))
-    out[got["term"].to_numpy()] = got[columns].to_numpy()
+    rows = _few_tasks(table.select("words")).mapInArrow(multiply, "term long, " + ", ".join(f"{c} float" for c in columns))
+    got = rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    out, at = np.zeros((BUCKETS, width)), got["term"].to_numpy()
+    for k, c in enumerate(columns):
+        out[at, k] = got[c].to_numpy()
     return out
 
 
@@ -200,7 +226,7 @@ def passage_gram(table: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
             out += latent.T @ latent
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(out.ravel())], names=["at", "x"])
 
-    got = table.select("words").mapInArrow(multiply, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    got = _few_tasks(table.select("words")).mapInArrow(multiply, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
     out = np.zeros(width * width)
     out[got["at"].to_numpy()] = got["x"].to_numpy()
     return out.reshape(width, width)
@@ -268,9 +294,9 @@ def common_subsequence(masks: dict[int, int], size: int, window: list[int]) -> i
     """Length of the longest common subsequence, a bit for each item word."""
     full = (1 << size) - 1
     v = full
-    for w in window:
-        u = v & masks.get(w, 0)
-        if u:
+    for m in map(masks.get, window):
+        if m:
+            u = v & m
             v = ((v + u) | (v - u)) & full
     return size - v.bit_count()
 
@@ -368,7 +394,11 @@ def _search(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verifier, vectors = Verifier(items, cover, paraphrase), _with_zero(space)
         by_steps = [(int(s), np.flatnonzero(items.steps == s)) for s in np.unique(items.steps)]
-        holds = [verifier.holds(own) for _, own in by_steps]
+        order = np.concatenate([own for _, own in by_steps])
+        holds, floor = verifier.holds(order), verifier.floor[order]
+        # differences of sums are right however often the sums ran over, as long
+        # as a window's words fit in
+        count = np.min_scalar_type(by_steps[-1][0] * GRID)
         for batch, a, b, words, sizes in _slices(batches, 1):
             ids = batch.column(0).slice(a, b - a).to_pylist()
             cells, text = _pieces(sizes, GRID)
@@ -376,20 +406,22 @@ def _search(
             np.cumsum(_piece_sums(vectors, terms(words), sizes, GRID), axis=0, out=sums[1:])
             last = np.cumsum(np.bincount(text, minlength=len(sizes)))  # one past each text's cells
             bounds = np.append(cells, len(words))
-            places = verifier.places(words)
-            out = []
-            for (steps, own), has in zip(by_steps, holds, strict=True):
-                start, end = _windows(text, last, steps)
-                z = sums[end] - sums[start]
+            # no common subsequence is longer than the number of the window's
+            # words that are words of the item
+            held = np.zeros((len(cells) + 1, len(order)), count)
+            np.cumsum(_piece_sums(holds, verifier.places(words), sizes, GRID), axis=0, out=held[1:])
+            out, done = [], 0
+            for steps, own in by_steps:
+                start, end, real = _windows(text, last, steps)
+                z = _differences(sums, start, end, steps)
                 cosine = z @ items.latent[own].T
                 norm = np.sqrt(np.einsum("ij,ij->i", z, z))
-                # no common subsequence is longer than the number of the
-                # window's words that are words of the item
-                held = np.zeros((len(cells) + 1, len(own)), np.int32)
-                np.cumsum(_piece_sums(has, places, sizes, GRID), axis=0, out=held[1:])
-                w, i = np.nonzero(cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None])
-                enough = held[end[w], i] - held[start[w], i] >= verifier.floor[own[i]]
-                w, i = w[enough], i[enough]
+                part = slice(done, done + len(own))
+                near = _differences(held[:, part], start, end, steps) >= floor[part].astype(count)
+                near &= cosine >= min_cosine * np.maximum(norm, 1e-12)[:, None]
+                near &= real[:, None]
+                w, i = np.divmod(np.flatnonzero(near), len(own))  # faster than nonzero
+                done += len(own)
                 item, lo, hi = own[i], bounds[start[w]], bounds[end[w]]
                 for c in range(len(w)):
                     shares = verifier.verdict(int(item[c]), words[lo[c] : hi[c]].tolist())
@@ -406,11 +438,21 @@ def _search(
     return table.select("doc", "words").mapInArrow(search, schema)
 
 
-def _windows(text: np.ndarray, last: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first cell, one past the last) of all windows of ``steps`` cells; a
-    text of fewer cells is one window."""
-    at = np.arange(len(text))
-    first = np.append(0, last[:-1])[text]
-    end = np.minimum(at + steps, last[text])
-    keep = (at + steps <= last[text]) | (at == first)
-    return at[keep], end[keep]
+def _windows(text: np.ndarray, last: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first cell, one past the last, whether it lies in one text) of the runs
+    of ``steps`` cells from the first on, and after these of each text of fewer
+    cells, which is one window."""
+    at = np.arange(max(0, len(text) - steps + 1))
+    first = np.append(0, last[:-1])
+    short = np.flatnonzero((last - first < steps) & (last > first))
+    real = np.append(text[at] == text[at + steps - 1], np.ones(len(short), bool))
+    return np.append(at, first[short]), np.append(at + steps, last[short]), real
+
+
+def _differences(sums: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int) -> np.ndarray:
+    """``sums`` at the ends of windows less those at their starts."""
+    out = np.empty((len(start), sums.shape[1]), sums.dtype)
+    runs = max(0, len(sums) - steps)
+    np.subtract(sums[steps:], sums[:runs], out=out[:runs])
+    out[runs:] = sums[end[runs:]] - sums[start[runs:]]
+    return out

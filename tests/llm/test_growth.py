@@ -80,3 +80,30 @@ def test_near_duplicates_leave_no_text_on_disk(spark):
     assert len(left) == 3 and not any({"text", "set", "sketch", "k"} & c for c in columns), columns
     groups = {r["doc"]: r["component_id"] for r in labels.collect()}
     assert groups == {d: d - d % 3 for d in range(600)}
+
+
+def test_sums_by_term_come_from_few_tasks(spark):
+    """Tasks that each send a sum for every term are not as many as the files."""
+    cores = spark.sparkContext.defaultParallelism
+    table = spark.range(0, 1000, 1, 6 * cores)
+    assert decontaminate._few_tasks(table).rdd.getNumPartitions() == 2 * cores
+    many = spark.range(0, 1000, 1, 2 * cores * decontaminate.SHARED * 2)
+    assert decontaminate._few_tasks(many).rdd.getNumPartitions() == 4 * cores
+
+
+def test_sums_by_term_and_windows_against_loops():
+    rng = np.random.default_rng(2)
+    latent = rng.standard_normal((40, 5)).astype(np.float32)
+    t = np.minimum(rng.geometric(0.02, 6000), 400)
+    own = np.sort(rng.integers(0, 40, len(t)))
+    at, sums = decontaminate._term_sums(latent, own, t)
+    assert at.tolist() == sorted(set(t.tolist()))
+    np.testing.assert_allclose(sums, [latent[own[t == x]].sum(axis=0) for x in at], rtol=1e-4, atol=1e-4)
+    sizes = np.array([5, 1, 3, 9, 2])  # cells of each text
+    text, last = np.repeat(np.arange(5), sizes), np.cumsum(sizes)
+    total = np.append(0, np.cumsum(rng.integers(0, 99, 20))).reshape(-1, 1)
+    for steps in (1, 2, 3, 9, 12, 30):
+        start, end, real = decontaminate._windows(text, last, steps)
+        want = {(a, min(a + steps, b)) for a0, b in zip(last - sizes, last) for a in range(a0, b) if a == a0 or a + steps <= b}
+        assert sorted(zip(start[real].tolist(), end[real].tolist())) == sorted(want)
+        assert (decontaminate._differences(total, start, end, steps) == total[end] - total[start]).all()
