@@ -54,6 +54,8 @@ BLOCK = 4096
 #: Pairs between two groups of a word's sets that are verified, if there are so
 #: many, before the groups are taken for connected.
 REACH = 8
+#: Bits of a sketch for each piece that is not spare.
+BITS = 16
 #: Sets whose words a task remembers having sent already.
 SEEN = 1_000_000
 #: Pairs whose texts a task holds at once.
@@ -131,9 +133,10 @@ def sketch_words(own: np.ndarray, j: int, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(own: np.ndarray, j: int, bands: Bands) -> bytes:
-    """One bit flipped for each shingle, 64 bits to a piece that is not spare."""
+    """One bit flipped for each shingle, BITS to a piece that is not spare, in
+    whole 64-bit words."""
     m, spare = bands.pieces(j)
-    bits = 64 * (m - spare)
+    bits = -(-BITS * (m - spare) // 64) * 64
     flips = np.bincount((mix(own) % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -406,7 +409,7 @@ def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.Rec
                 if not len(rest):
                     continue
                 if sure:  # less what meeting bits may hide
-                    hidden = bound / 128
+                    hidden = bound / (2 * BITS)
                     bound = bound - 2 * (1 + hidden + 3 * np.sqrt(hidden))
                 rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64) <= bound]
                 for x in rest.tolist():
@@ -434,9 +437,12 @@ def _spanning(batches: list[pa.RecordBatch], bands: Bands, reach: int) -> pa.Rec
     )
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, traits: DataFrame, width: int, percent: int, folder: str) -> DataFrame:
     """(a, b, u, v, linked) of pairs of set keys, from the sets' texts; u and v
-    are the documents that stand for them."""
+    are the documents that stand for them.  Texts of other sets do not travel
+    where the keys asked for are few, as they are in later rounds."""
+    asked = _stored(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), folder)
+    sets = traits.join(asked, "h1", "left_semi")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = bands_for(percent)
@@ -503,7 +509,7 @@ def near_duplicates(
     seen = found = spans = None
     reach = REACH
     while True:
-        now = _stored(_verify(ask, traits, width, percent), work)
+        now = _stored(_verify(ask, traits, width, percent, work), work)
         seen = now if seen is None else seen.union(now)
         if now.where(F.col("linked")).limit(1).count() or found is None:
             found = components(seen.where(F.col("linked")).select("u", "v").union(own), work)
@@ -525,7 +531,7 @@ def near_duplicates(
             break
         out = again.select("k", F.col("a").alias("b")).join(apart, "b").join(again, ["k", "a"], "left_semi").select("k", "a", "b")
         spans = _stored(_span(again, traits, out, percent, reach), work)
-        ask = spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        ask = _stored(spans.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"), work)
         reach *= 16
 
     # what follows reads the sets and components only

@@ -1,12 +1,13 @@
 """What the text operators keep in one task and on disk as their input grows."""
 
 import os
+import time
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from shopfloor.llm import decontaminate, lm_score
+from shopfloor.llm import decontaminate, lm_score, shingle_join, tables
 from shopfloor.llm.shingle_join import near_duplicates
 from shopfloor.llm.tables import materialise, shared_dir
 
@@ -82,6 +83,43 @@ def test_near_duplicates_leave_no_text_on_disk(spark):
     assert groups == {d: d - d % 3 for d in range(600)}
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A table's shuffle files go when it is written, without waiting for the
+    driver's garbage collector, and the session's setting is as before."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = spark.conf.get(tables.CLEANUP, None)
+
+    def held():
+        files = manager.getAllFiles()
+        return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+    tables.release(spark)
+    time.sleep(1)
+    had = held()
+    rows = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(rows)
+    for _ in range(100):  # the files go in the background
+        if held() <= had:
+            break
+        time.sleep(0.1)
+    assert held() <= had and kept.count() == 1000
+    assert spark.conf.get(tables.CLEANUP, None) == before
+
+
+def test_a_sketch_has_a_few_bits_a_piece():
+    """Sketches travel with every pair and every crowded word: 16 bits a piece,
+    and the distance stays a lower bound of the sets' difference."""
+    bands, rng = shingle_join.bands_for(80), np.random.default_rng(5)
+    for n in (1, 3, 20, 300, 5000):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        j = bands.own(len(own))
+        m, spare = bands.pieces(j)
+        other = np.unique(np.append(own[len(own) // 9 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)))
+        s, t = (shingle_join.bit_sketch(x, j, bands) for x in (own, other))
+        assert len(s) == len(t) == 8 * -(-(m - spare) // 4)
+        assert shingle_join._hamming(s, t) <= len(np.setxor1d(own, other))
+
+
 def test_sums_by_term_come_from_few_tasks(spark):
     """Tasks that each send a sum for every term are not as many as the files."""
     cores = spark.sparkContext.defaultParallelism
