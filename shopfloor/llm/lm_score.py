@@ -400,6 +400,17 @@ def _from_wide(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed, after its size: planes of small numbers take bits, which the
+    fast compression of shuffle files leaves as bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes | pa.Buffer) -> pa.Buffer:
+    view = memoryview(data)
+    return pa.decompress(view[8:], decompressed_size=int.from_bytes(view[:8], "little"), codec="zstd")
+
+
 def _buffers(column: pa.ChunkedArray) -> list[pa.Buffer]:
     return [x.as_buffer() for chunk in column.chunks for x in chunk]
 
@@ -454,15 +465,16 @@ def feature_counts(chunks: DataFrame) -> DataFrame:
                             pa.array([chunk] * len(few), pa.int64()),
                             pa.array([k for k, _ in few], pa.int32()),
                             # sorted keys lie close together, so that their differences have empty planes
-                            pa.array([_wide(np.diff(keys[part], prepend=_U(0))) for _, part in few], pa.binary()),
-                            pa.array([_wide(counts[part]) for _, part in few], pa.binary()),
+                            pa.array([_packed(_wide(np.diff(keys[part], prepend=_U(0)))) for _, part in few], pa.binary()),
+                            pa.array([_packed(_wide(counts[part])) for _, part in few], pa.binary()),
                         ],
                         names=["chunk", "block", "keys", "counts"],
                     )
 
     def add(block: pa.Table) -> pa.Table:
-        counts = add_counts(_buffers(block["keys"]), _buffers(block["counts"]))
-        return pa.table({"chunk": block["chunk"], "block": block["block"], "counts": pa.array(counts, pa.binary())})
+        keys, counts = (list(map(_unpacked, _buffers(block[c]))) for c in ("keys", "counts"))
+        sums = pa.array(add_counts(keys, counts), pa.binary())
+        return pa.table({"chunk": block["chunk"], "block": block["block"], "counts": sums})
 
     rows = chunks.select("chunk", "held", "sizes", "codes", "hashes", "classes").mapInArrow(
         emit, "chunk long, block int, keys binary, counts binary"

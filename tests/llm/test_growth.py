@@ -145,3 +145,11 @@ def test_sums_by_term_and_windows_against_loops():
         want = {(a, min(a + steps, b)) for a0, b in zip(last - sizes, last) for a in range(a0, b) if a == a0 or a + steps <= b}
         assert sorted(zip(start[real].tolist(), end[real].tolist())) == sorted(want)
         assert (decontaminate._differences(total, start, end, steps) == total[end] - total[start]).all()
+
+
+def test_packed_planes_are_small_and_come_back():
+    counts = np.random.default_rng(3).geometric(0.7, 50_000)
+    data = lm_score._wide(counts)
+    packed = lm_score._packed(data)
+    assert len(packed) < 15_000 and (lm_score._from_wide(lm_score._unpacked(packed)) == counts).all()
+    assert (lm_score._from_wide(lm_score._unpacked(lm_score._packed(b""))) == np.zeros(0)).all()
