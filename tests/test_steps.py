@@ -56,7 +56,7 @@ def _dealt_out(spark, run):
         spark.conf.set(name, old)
 
 
-@pytest.mark.parametrize("name", ["work_cell_labels", "labels_one_session"])
+@pytest.mark.parametrize("name", ["work_cell_labels", "labels_one_session", "labels_nocase"])
 def test_a_label_query_leaves_the_files_of_its_order_only(spark, made, tmp_path, name):
     """Before, those of every exchange stayed, the payload of all parts among
     them."""
